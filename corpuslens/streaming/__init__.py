@@ -1,0 +1,7 @@
+"""Streaming.
+
+The summarisation pipeline is a set of finite batch jobs: every input is a
+complete corpus, link graph or statistics table, and every selection needs
+the whole candidate set.  There is no stream source, watermark or stateful
+operator to carry over, so this package is intentionally empty.
+"""

@@ -117,3 +117,106 @@ def f1_cells(spark, sf_dir):
 def q_greedy_select(spark, sf_dir):
     from ..operators.greedy import greedy_select
     return rounded(greedy_select(f1_cells(spark, sf_dir), GREEDY_K))
+
+
+def weighted_cells(spark, sf_dir, count_col="df", how="sqrt"):
+    from ..functions.objectives import weighted_word_coverage_cells
+    c = ctx(spark, sf_dir).corpus
+    return weighted_word_coverage_cells(c.postings, c.kept, count_col, how, counts_rows=c.vocab_size)
+
+
+DOC_CANDIDATES = "SELECT doc_id FROM documents"
+TRIALS = 10
+
+
+def doc_trials(spark, sf_dir):
+    from ..operators.baseline import random_select
+    return random_select(TB.documents(spark, sf_dir), GREEDY_K, TRIALS)
+
+
+@register("random_select", Q.with_(Q.random_sets(DOC_CANDIDATES, GREEDY_K, TRIALS)) + "SELECT trial, rank, doc_id FROM rs")
+def q_random_select(spark, sf_dir):
+    return doc_trials(spark, sf_dir)
+
+
+@register("word_coverage", Q.with_(*Q.CORPUS, Q.F1_CELLS, Q.random_sets(DOC_CANDIDATES, GREEDY_K, TRIALS))
+          + Q.score_sets("cells"))
+def q_word_coverage(spark, sf_dir):
+    from ..operators.baseline import score_sets
+    return rounded(score_sets(f1_cells(spark, sf_dir), doc_trials(spark, sf_dir)))
+
+
+@register("weighted_word_coverage", Q.with_(*Q.CORPUS, *Q.weighted_cells(), Q.random_sets(DOC_CANDIDATES, GREEDY_K, TRIALS))
+          + Q.score_sets("cells"))
+def q_weighted_word_coverage(spark, sf_dir):
+    from ..operators.baseline import score_sets
+    return rounded(score_sets(weighted_cells(spark, sf_dir), doc_trials(spark, sf_dir)))
+
+
+_IMPORTANCE = [("df", "sqrt"), ("df", "log"), ("wc", "sqrt"), ("wc", "log")]
+
+
+def _importance_sql():
+    parts, ctes = [], []
+    for cc, how in _IMPORTANCE:
+        name = f"c_{cc}_{how}"
+        ctes += Q.weighted_cells(cc, how, name=name)
+        parts.append(Q.score_sets(name, extra=f"'{how}' AS importance, '{cc}' AS count_col, "))
+    return Q.with_(*Q.CORPUS, *ctes, Q.random_sets(DOC_CANDIDATES, GREEDY_K, TRIALS)) + "\nUNION ALL\n".join(parts)
+
+
+@register("word_importance", _importance_sql())
+def q_word_importance(spark, sf_dir):
+    from ..operators.baseline import score_sets
+    trials = doc_trials(spark, sf_dir)
+    out = None
+    for cc, how in _IMPORTANCE:
+        s = score_sets(weighted_cells(spark, sf_dir, cc, how), trials).select(
+            F.lit(how).alias("importance"), F.lit(cc).alias("count_col"), "trial", "score")
+        out = s if out is None else out.unionByName(s)
+    return rounded(out)
+
+
+@register("lazy_greedy_select", Q.greedy_query([*Q.CORPUS, *Q.weighted_cells()], GREEDY_K))
+def q_lazy_greedy_select(spark, sf_dir):
+    from ..operators.greedy import lazy_greedy_select
+    return rounded(lazy_greedy_select(weighted_cells(spark, sf_dir), GREEDY_K, batch=8))
+
+
+_PARTED = f"pc AS (SELECT *, CAST(((doc_id % {GREEDI_P}) + {GREEDI_P}) % {GREEDI_P} AS INTEGER) AS part FROM cells)"
+
+
+@register("greedi_first", Q.with_(*Q.CORPUS, Q.F1_CELLS, _PARTED, *Q.greedy_ctes(GREEDY_K, "pc", "f", grouped=True))
+          + Q.selection_select("f", grouped=True))
+def q_greedi_first(spark, sf_dir):
+    from ..operators.greedi import greedi_first
+    return rounded(greedi_first(f1_cells(spark, sf_dir), GREEDY_K, GREEDI_P))
+
+
+@register("greedi_second", Q.greedi_query([*Q.CORPUS, Q.F1_CELLS], GREEDY_K, GREEDI_P))
+def q_greedi_second(spark, sf_dir):
+    from ..operators.greedi import greedi_first, greedi_second
+    cells = f1_cells(spark, sf_dir)
+    return rounded(greedi_second(cells, greedi_first(cells, GREEDY_K, GREEDI_P), GREEDY_K))
+
+
+@register("greedi_word_coverage", Q.greedi_query([*Q.CORPUS, *Q.weighted_cells()], GREEDY_K, GREEDI_P))
+def q_greedi_word_coverage(spark, sf_dir):
+    from ..operators.greedi import greedi_select
+    return rounded(greedi_select(weighted_cells(spark, sf_dir), GREEDY_K, GREEDI_P))
+
+
+@register("baseline_stats", Q.with_(*Q.CORPUS, Q.F1_CELLS, *Q.weighted_cells(name="wcells"),
+                                    Q.random_sets(DOC_CANDIDATES, GREEDY_K, TRIALS),
+                                    "s1 AS (" + Q.score_sets("cells") + ")",
+                                    "s2 AS (" + Q.score_sets("wcells") + ")")
+          + """SELECT objective, round(mean, 6) AS mean, round(std, 6) AS std, trials FROM (
+  SELECT 'word_coverage' AS objective, avg(score) AS mean, stddev_samp(score) AS std, count(*) AS trials FROM s1
+  UNION ALL
+  SELECT 'weighted_word_coverage', avg(score), stddev_samp(score), count(*) FROM s2) q""")
+def q_baseline_stats(spark, sf_dir):
+    from ..operators.baseline import baseline_stats, score_sets
+    trials = doc_trials(spark, sf_dir)
+    s1 = score_sets(f1_cells(spark, sf_dir), trials).withColumn("objective", F.lit("word_coverage"))
+    s2 = score_sets(weighted_cells(spark, sf_dir), trials).withColumn("objective", F.lit("weighted_word_coverage"))
+    return rounded(baseline_stats(s1.unionByName(s2), ["objective"]))

@@ -111,3 +111,28 @@ def score_sql(cells: str, selected: str) -> str:
         WHEN 'exactly_one' THEN CASE WHEN cnt = 1 THEN theta ELSE 0.0 END ELSE 0.0 END), 0.0)
       FROM (SELECT cell, kind, max(theta) AS theta, max(value) AS vmax, count(*) AS cnt
             FROM {cells} WHERE doc_id IN ({selected}) GROUP BY cell, kind) s)"""
+
+
+# ------------------------------------------------------- random selections
+
+def random_sets(candidates: str, k: int, trials: int = 10, seed: str = "corpuslens", name: str = "rs") -> str:
+    """``name(trial, rank, doc_id)`` from a query returning doc_id."""
+    return f"""{name} AS (SELECT CAST(trial AS INTEGER) AS trial, CAST(rank AS INTEGER) AS rank, doc_id FROM (
+  SELECT t.trial, d.doc_id, row_number() OVER (PARTITION BY t.trial ORDER BY
+    md5('{seed}' || ':' || CAST(t.trial AS VARCHAR) || ':' || CAST(d.doc_id AS VARCHAR)), d.doc_id) AS rank
+  FROM (SELECT DISTINCT doc_id FROM ({candidates}) c0) d, (SELECT range AS trial FROM range(0, {trials})) t) q
+  WHERE rank <= {k})"""
+
+
+def score_sets(cells: str, sets: str = "rs", set_col: str = "trial", extra: str = "") -> str:
+    """``SELECT set_col, score`` of every set under ``cells``."""
+    return f"""SELECT {extra}t.{set_col}, round(coalesce(s.score, 0.0), 6) AS score
+FROM (SELECT DISTINCT {set_col} FROM {sets}) t LEFT JOIN (
+  SELECT {set_col}, sum(CASE kind
+        WHEN 'max' THEN theta * greatest(0.0, vmax)
+        WHEN 'sqrt_count' THEN theta * sqrt(cnt + 0.0)
+        WHEN 'exactly_one' THEN CASE WHEN cnt = 1 THEN theta ELSE 0.0 END ELSE 0.0 END) AS score
+  FROM (SELECT r.{set_col}, c.cell, c.kind, max(c.theta) AS theta, max(c.value) AS vmax, count(*) AS cnt
+        FROM {cells} c JOIN (SELECT DISTINCT {set_col}, doc_id FROM {sets}) r ON c.doc_id = r.doc_id
+        GROUP BY r.{set_col}, c.cell, c.kind) x
+  GROUP BY {set_col}) s ON t.{set_col} = s.{set_col}"""

@@ -220,3 +220,205 @@ def q_baseline_stats(spark, sf_dir):
     s1 = score_sets(f1_cells(spark, sf_dir), trials).withColumn("objective", F.lit("word_coverage"))
     s2 = score_sets(weighted_cells(spark, sf_dir), trials).withColumn("objective", F.lit("weighted_word_coverage"))
     return rounded(baseline_stats(s1.unionByName(s2), ["objective"]))
+
+
+# ---------------------------------------------------------------- D: graph
+
+CAT_ROOTS = ["EUROPE", "ASIA"]
+
+
+@register("build_adjacency", Q.with_(Q.EDGES, Q.ADJ) + "SELECT doc_id, src_id FROM adj")
+def q_build_adjacency(spark, sf_dir):
+    from ..operators.graph import build_adjacency
+    return build_adjacency(TB.doc_edges(spark, sf_dir))
+
+
+@register("inlink_counts", Q.with_(Q.EDGES, Q.ADJ) + "SELECT doc_id, count(*) AS inlinks FROM adj GROUP BY doc_id")
+def q_inlink_counts(spark, sf_dir):
+    from ..operators.graph import inlink_counts
+    return inlink_counts(TB.doc_edges(spark, sf_dir))
+
+
+@register("symmetrize_edges", Q.with_(Q.LINES, Q.UND) + "SELECT a, b FROM und")
+def q_symmetrize_edges(spark, sf_dir):
+    from ..operators.graph import symmetrize_edges
+    return symmetrize_edges(TB.cut_edges(spark, sf_dir))
+
+
+@register("degree", Q.with_(Q.EDGES, Q.ADJ) + """SELECT coalesce(i.node, o.node) AS node,
+  coalesce(i.in_degree, 0) AS in_degree, coalesce(o.out_degree, 0) AS out_degree
+FROM (SELECT doc_id AS node, count(*) AS in_degree FROM adj GROUP BY doc_id) i
+FULL OUTER JOIN (SELECT src_id AS node, count(*) AS out_degree FROM adj GROUP BY src_id) o ON i.node = o.node""")
+def q_degree(spark, sf_dir):
+    from ..operators.graph import degree
+    return degree(TB.doc_edges(spark, sf_dir))
+
+
+def _closure_sql(max_depth=None):
+    roots = " UNION ".join(f"SELECT '{r}' AS category, 0 AS depth" for r in CAT_ROOTS)
+    lim = f" WHERE cats.depth < {max_depth}" if max_depth is not None else ""
+    dep = "cats.depth + 1" if max_depth is not None else "0"
+    return ("WITH RECURSIVE " + Q.CATLINKS + ",\n" + Q.PAGECATS + f""",
+cats(category, depth) AS ({roots}
+  UNION SELECT l.child, {dep} FROM cats JOIN category_links l ON l.parent = cats.category{lim})
+SELECT DISTINCT doc_id FROM page_categories WHERE category IN (SELECT category FROM cats)""")
+
+
+@register("category_extract", _closure_sql())
+def q_category_extract(spark, sf_dir):
+    from ..operators.graph import category_extract
+    return category_extract(TB.category_links(spark, sf_dir), TB.page_categories(spark, sf_dir), CAT_ROOTS)
+
+
+@register("category_children", _closure_sql(1))
+def q_category_children(spark, sf_dir):
+    from ..operators.graph import category_extract
+    return category_extract(TB.category_links(spark, sf_dir), TB.page_categories(spark, sf_dir), CAT_ROOTS, max_depth=1)
+
+
+@register("largest_category", Q.with_(Q.PAGECATS) + """SELECT category, count(*) AS pages
+FROM (SELECT DISTINCT doc_id, category FROM page_categories) p GROUP BY category ORDER BY pages DESC, category LIMIT 1""")
+def q_largest_category(spark, sf_dir):
+    from ..operators.graph import largest_category
+    return largest_category(TB.page_categories(spark, sf_dir))
+
+
+@register("document_boost", Q.with_(Q.EDGES, Q.ADJ, Q.REV, Q.boost_cte()) + "SELECT doc_id, round(boost, 6) AS boost FROM boost")
+def q_document_boost(spark, sf_dir):
+    from ..operators.graph import document_boost
+    return rounded(document_boost(TB.documents(spark, sf_dir), TB.doc_edges(spark, sf_dir), TB.revisions(spark, sf_dir)))
+
+
+@register("combine_corpora", """SELECT doc_id, corpus, length(text) AS n_chars FROM (
+  SELECT doc_id, text, 'documents' AS corpus FROM documents
+  UNION ALL
+  SELECT item_id, text, 'benchmark' FROM benchmark WHERE item_id NOT IN (SELECT doc_id FROM documents)) q""")
+def q_combine_corpora(spark, sf_dir):
+    from ..operators.graph import combine_corpora
+    docs = TB.table(spark, sf_dir, "documents").select("doc_id", "text", F.lit("documents").alias("corpus"))
+    bench = TB.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text",
+                                                        F.lit("benchmark").alias("corpus"))
+    return combine_corpora([docs, bench]).select("doc_id", "corpus", F.length("text").alias("n_chars"))
+
+
+# ------------------------------------------------- F/G on graph and boosts
+
+def graph_cells(spark, sf_dir):
+    from ..functions.objectives import graph_coverage_cells
+    return graph_coverage_cells(TB.doc_edges(spark, sf_dir))
+
+
+def cut_cells(spark, sf_dir):
+    from ..functions.objectives import cut_cells as cc
+    from ..operators.graph import symmetrize_edges
+    return cc(symmetrize_edges(TB.cut_edges(spark, sf_dir)))
+
+
+def rev_cells(spark, sf_dir):
+    from ..functions.objectives import revisions_cells
+    return revisions_cells(TB.revisions(spark, sf_dir))
+
+
+def boosted_cells(spark, sf_dir):
+    from ..functions.objectives import boosted_word_coverage_cells
+    from ..operators.graph import document_boost
+    c = ctx(spark, sf_dir).corpus
+    boost = document_boost(TB.documents(spark, sf_dir), TB.doc_edges(spark, sf_dir), TB.revisions(spark, sf_dir))
+    return boosted_word_coverage_cells(c.postings, c.kept, boost, counts_rows=c.vocab_size)
+
+
+def _trials_of(spark, cand: DataFrame):
+    from ..operators.baseline import random_select
+    return random_select(cand, GREEDY_K, TRIALS)
+
+
+def _scored(cells, trials):
+    from ..operators.baseline import score_sets
+    return rounded(score_sets(cells, trials))
+
+
+GRAPH_CAND = "SELECT doc_id FROM adj"
+CUT_CAND = "SELECT a AS doc_id FROM und UNION SELECT b FROM und"
+REV_CAND = "SELECT doc_id FROM rev"
+BOOSTED = [*Q.CORPUS, Q.EDGES, Q.ADJ, Q.REV, Q.boost_cte(), Q.BOOSTED_POSTINGS,
+           *Q.weighted_cells(src="bpost", value="p.weight", name="bcells")]
+
+
+@register("graph_coverage", Q.with_(Q.EDGES, Q.ADJ, Q.GRAPH_CELLS, Q.random_sets(GRAPH_CAND, GREEDY_K, TRIALS))
+          + Q.score_sets("gcells"))
+def q_graph_coverage(spark, sf_dir):
+    return _scored(graph_cells(spark, sf_dir), _trials_of(spark, TB.doc_edges(spark, sf_dir)))
+
+
+@register("graph_cut", Q.with_(Q.LINES, Q.UND, Q.CUT_CELLS, Q.random_sets(CUT_CAND, GREEDY_K, TRIALS))
+          + Q.score_sets("ccells"))
+def q_graph_cut(spark, sf_dir):
+    cells = cut_cells(spark, sf_dir)
+    return _scored(cells, _trials_of(spark, cells))
+
+
+@register("revisions_sum", Q.with_(Q.REV, Q.REV_CELLS, Q.random_sets(REV_CAND, GREEDY_K, TRIALS))
+          + Q.score_sets("rcells"))
+def q_revisions_sum(spark, sf_dir):
+    return _scored(rev_cells(spark, sf_dir), _trials_of(spark, TB.revisions(spark, sf_dir)))
+
+
+@register("boosted_word_coverage", Q.with_(*BOOSTED, Q.random_sets(DOC_CANDIDATES, GREEDY_K, TRIALS))
+          + Q.score_sets("bcells"))
+def q_boosted_word_coverage(spark, sf_dir):
+    return _scored(boosted_cells(spark, sf_dir), doc_trials(spark, sf_dir))
+
+
+@register("greedi_graph", Q.greedi_query([Q.EDGES, Q.ADJ, Q.GRAPH_CELLS], GREEDY_K, GREEDI_P, "gcells"))
+def q_greedi_graph(spark, sf_dir):
+    from ..operators.greedi import greedi_select
+    return rounded(greedi_select(graph_cells(spark, sf_dir), GREEDY_K, GREEDI_P))
+
+
+@register("greedy_cut", Q.greedy_query([Q.LINES, Q.UND, Q.CUT_CELLS], GREEDY_K, "ccells"))
+def q_greedy_cut(spark, sf_dir):
+    from ..operators.greedy import greedy_select
+    return rounded(greedy_select(cut_cells(spark, sf_dir), GREEDY_K))
+
+
+@register("greedi_boosted", Q.greedi_query(BOOSTED, GREEDY_K, GREEDI_P, "bcells"))
+def q_greedi_boosted(spark, sf_dir):
+    from ..operators.greedi import greedi_select
+    return rounded(greedi_select(boosted_cells(spark, sf_dir), GREEDY_K, GREEDI_P))
+
+
+def _variants_sql():
+    parts = []
+    for code in range(8):
+        inl, cnt, vol = bool(code & 4), bool(code & 2), bool(code & 1)
+        flags = f"{int(inl)}{int(cnt)}{int(vol)}"
+        b = f"b{code}"
+        parts.append((Q.boost_cte(b, inl, cnt, vol),
+                      f"""SELECT '{flags}' AS flags, round(sum(tw * vmax), 6) AS score FROM (
+  SELECT p.term, max(t.tw) AS tw, max(p.weight * coalesce({b}.boost, 1.0)) AS vmax
+  FROM postings p JOIN sel0 ON p.doc_id = sel0.doc_id LEFT JOIN {b} ON p.doc_id = {b}.doc_id
+  JOIN tw_cells t ON p.term = t.term GROUP BY p.term) q"""))
+    ctes = [*Q.CORPUS, Q.EDGES, Q.ADJ, Q.REV, *Q.weighted_cells(), Q.random_sets(DOC_CANDIDATES, GREEDY_K, TRIALS),
+            "sel0 AS (SELECT doc_id FROM rs WHERE trial = 0)", *[p[0] for p in parts]]
+    return Q.with_(*ctes) + "\nUNION ALL\n".join(p[1] for p in parts)
+
+
+@register("score_variants", _variants_sql())
+def q_score_variants(spark, sf_dir):
+    from ..operators.report import score_variants
+    c = ctx(spark, sf_dir).corpus
+    sel = doc_trials(spark, sf_dir).filter("trial = 0")
+    return rounded(score_variants(c.postings, c.kept, sel, TB.doc_edges(spark, sf_dir), TB.revisions(spark, sf_dir)))
+
+
+@register("selection_report", Q.with_(Q.EDGES, Q.ADJ, Q.REV, Q.REV_CELLS, *Q.greedy_ctes(GREEDY_K, "rcells"),
+                                      f"sel AS ({Q.selection_select()})",
+                                      """rep AS (SELECT s.rank, s.doc_id, c.c_name AS title, CAST(coalesce(i.inlinks, 0) AS BIGINT) AS inlinks
+  FROM sel s LEFT JOIN customer c ON s.doc_id = c.c_custkey
+  LEFT JOIN (SELECT doc_id, count(*) AS inlinks FROM adj GROUP BY doc_id) i ON s.doc_id = i.doc_id)""")
+          + "SELECT * FROM rep UNION ALL SELECT NULL, NULL, 'TOTAL', CAST(sum(inlinks) AS BIGINT) FROM rep")
+def q_selection_report(spark, sf_dir):
+    from ..operators.greedy import greedy_select
+    from ..operators.report import selection_report
+    sel = greedy_select(rev_cells(spark, sf_dir), GREEDY_K)
+    return selection_report(sel, TB.category_names(spark, sf_dir), TB.doc_edges(spark, sf_dir))

@@ -136,3 +136,51 @@ FROM (SELECT DISTINCT {set_col} FROM {sets}) t LEFT JOIN (
         FROM {cells} c JOIN (SELECT DISTINCT {set_col}, doc_id FROM {sets}) r ON c.doc_id = r.doc_id
         GROUP BY r.{set_col}, c.cell, c.kind) x
   GROUP BY {set_col}) s ON t.{set_col} = s.{set_col}"""
+
+
+# ------------------------------------------------------------- inputs
+
+EDGES = "edges AS (SELECT user_id AS doc_id, event_id AS src_id FROM events)"
+ADJ = "adj AS (SELECT DISTINCT doc_id, src_id FROM edges)"
+LINES = "lines AS (SELECT l_suppkey AS src, l_partkey + 1000000 AS dst FROM lineitem)"
+UND = "und AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM lines WHERE src <> dst)"
+REV = """rev AS (SELECT o_custkey AS doc_id, count(*) AS rev_count,
+  CAST(floor(sum(o_totalprice)) AS BIGINT) AS rev_volume FROM orders GROUP BY o_custkey)"""
+CATLINKS = """category_links AS (
+  SELECT r.r_name AS parent, n.n_name AS child FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
+  UNION ALL
+  SELECT DISTINCT n.n_name, n.n_name || '/' || c.c_mktsegment FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey)"""
+PAGECATS = """page_categories AS (
+  SELECT c.c_custkey AS doc_id, n.n_name AS category FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
+  UNION ALL
+  SELECT c.c_custkey, n.n_name || '/' || c.c_mktsegment FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey)"""
+DATES = "dates AS (SELECT doc_id, CAST((((doc_id // 100) % 100) + 100) % 100 AS INTEGER) AS period FROM documents)"
+
+GRAPH_CELLS = """gcells AS (
+  SELECT doc_id, CAST(doc_id AS VARCHAR) AS cell, 'max' AS kind, 1.0 AS theta, 1.0 AS value FROM (SELECT DISTINCT doc_id FROM adj) o
+  UNION ALL
+  SELECT doc_id, CAST(src_id AS VARCHAR), 'max', 1.0, 1.0 FROM adj)"""
+CUT_CELLS = """ccells AS (
+  SELECT a AS doc_id, CAST(a AS VARCHAR) || '-' || CAST(b AS VARCHAR) AS cell, 'exactly_one' AS kind, 1.0 AS theta, 1.0 AS value FROM und
+  UNION ALL
+  SELECT b, CAST(a AS VARCHAR) || '-' || CAST(b AS VARCHAR), 'exactly_one', 1.0, 1.0 FROM und)"""
+REV_CELLS = """rcells AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS cell, 'max' AS kind,
+  1.0 / (SELECT sum(rev_count) FROM rev) AS theta, CAST(rev_count AS DOUBLE) AS value FROM rev)"""
+
+
+def boost_cte(name: str = "boost", inl: bool = True, cnt: bool = True, vol: bool = True) -> str:
+    f = ["1.0"]
+    if inl:
+        f.append("(1.0 + coalesce(CAST(i.inlinks AS DOUBLE), 0.0))")
+    if cnt:
+        f.append("(1.0 + coalesce(CAST(r.rev_count AS DOUBLE), 0.0))")
+    if vol:
+        f.append("(CASE WHEN r.rev_volume > 0 THEN 1.0 + ln(CAST(r.rev_volume AS DOUBLE)) ELSE 1.0 END)")
+    return f"""{name} AS (SELECT d.doc_id, {' * '.join(f)} AS boost
+  FROM (SELECT DISTINCT doc_id FROM documents) d
+  LEFT JOIN (SELECT doc_id, count(*) AS inlinks FROM adj GROUP BY doc_id) i ON d.doc_id = i.doc_id
+  LEFT JOIN rev r ON d.doc_id = r.doc_id)"""
+
+
+BOOSTED_POSTINGS = """bpost AS (SELECT p.doc_id, p.term, p.weight * coalesce(b.boost, 1.0) AS weight
+  FROM postings p LEFT JOIN boost b ON p.doc_id = b.doc_id)"""

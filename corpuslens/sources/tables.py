@@ -2,7 +2,7 @@
 
 Every builder here is a lazy DataFrame over ``spark.read.parquet`` so column
 pruning and filters reach the scan.  The same definitions are written in SQL
-in ``corpuslens.plans.oracle`` (``INPUT_VIEWS``); keep the two in step.
+in ``corpuslens.plans.oracle_sql``; keep the two in step.
 
 | input          | from                      | definition                                   |
 | -------------- | ------------------------- | -------------------------------------------- |
@@ -12,7 +12,7 @@ in ``corpuslens.plans.oracle`` (``INPUT_VIEWS``); keep the two in step.
 | page_links     | pages                     | every href="..." in the html                 |
 | bipartite      | lineitem                  | distinct (l_suppkey, l_partkey)              |
 | cut_edges      | lineitem                  | supplier ids and part ids + 1 000 000        |
-| revisions      | orders                    | per o_custkey: count(*), sum(totalprice)     |
+| revisions      | orders                    | per o_custkey: count(*), floor(sum(price))   |
 | category tree  | region, nation, customer  | region > nation > nation/segment > customer  |
 | citations      | events                    | count per user_id                            |
 | vectors        | embeddings                | vec_id, embedding                            |
@@ -68,7 +68,7 @@ def revisions(spark, sf_dir) -> DataFrame:
     return (table(spark, sf_dir, "orders")
             .groupBy(F.col("o_custkey").alias("doc_id"))
             .agg(F.count(F.lit(1)).alias("rev_count"),
-                 F.sum("o_totalprice").cast("bigint").alias("rev_volume")))
+                 F.floor(F.sum("o_totalprice")).cast("bigint").alias("rev_volume")))
 
 
 def category_links(spark, sf_dir) -> DataFrame:

@@ -128,7 +128,8 @@ def lsh_bucket_cells(buckets: DataFrame) -> DataFrame:
 
 # -------------------------------------------------------------- influence
 
-def influence_cells(novelty: DataFrame, dates: DataFrame, spread: DataFrame, strict: bool = False) -> DataFrame:
+def influence_cells(novelty: DataFrame, dates: DataFrame, spread: DataFrame, strict: bool = False,
+                    keep_period: bool = False) -> DataFrame:
     """F6 as cells: cell (term, y) for every period y >= t(d) (> if strict)
     where the term has spread; theta = spread(term, y), value = novelty.
 
@@ -138,8 +139,11 @@ def influence_cells(novelty: DataFrame, dates: DataFrame, spread: DataFrame, str
     sp = spread.select("term", F.col("period").alias("y"), F.col("weight").alias("theta"))
     cond = (F.col("y") > F.col("t")) if strict else (F.col("y") >= F.col("t"))
     joined = nd.join(sp, "term").filter(cond)
-    return _cells(joined, F.concat_ws("@", F.col("term"), F.col("y").cast("string")), MAX,
-                  F.col("theta"), F.col("weight"))
+    cells = _cells(joined, F.concat_ws("@", F.col("term"), F.col("y").cast("string")), MAX,
+                   F.col("theta"), F.col("weight"))
+    if keep_period:  # the period as an extra column, for F7
+        cells = cells.withColumn("y", F.regexp_extract(F.col("cell"), "@(-?[0-9]+)$", 1).cast("int"))
+    return cells
 
 
 # ---------------------------------------------------------- combinations

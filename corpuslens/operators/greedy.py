@@ -45,7 +45,7 @@ def contribution(kind: Column, theta: Column, value: Column, cmax: Column, ccnt:
             .otherwise(F.lit(0.0)))
 
 
-def prepare_cells(cells: DataFrame, cache: str = "persist") -> DataFrame:
+def prepare_cells(cells: DataFrame, cache: str = "checkpoint") -> DataFrame:
     """Hash-partition cells by doc_id and materialise them once: every round's
     per-document sum then runs without an exchange."""
     return materialize(cells.select("doc_id", "cell", "kind", "theta", "value").repartition("doc_id"), cache)
@@ -94,7 +94,7 @@ def _to_frame(spark, picks) -> DataFrame:
     return spark.createDataFrame(rows, SELECTION_SCHEMA)
 
 
-def greedy_select(cells: DataFrame, k: int, prepared: bool = False, cache: str = "persist",
+def greedy_select(cells: DataFrame, k: int, prepared: bool = False, cache: str = "checkpoint",
                   broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """G1: exact greedy, k rounds, each adding the argmax marginal gain.
 
@@ -114,7 +114,7 @@ def greedy_select(cells: DataFrame, k: int, prepared: bool = False, cache: str =
 
 
 def lazy_greedy_select(cells: DataFrame, k: int, batch: int = 16, prepared: bool = False,
-                       cache: str = "persist", broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+                       cache: str = "checkpoint", broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
                        stats: dict | None = None) -> DataFrame:
     """Batched lazy greedy.  Same picks as :func:`greedy_select`.
 

@@ -99,7 +99,7 @@ class Corpus:
 def build_corpus(docs: DataFrame, min_wc: int = 6, min_df: int = 3,
                  max_df_sigma: float | None = 3.0, sigma_center: float = 0.0,
                  stop_lang: str | None = "en", normalize: bool = True,
-                 num_partitions: int | None = None, cache: str = "persist") -> Corpus:
+                 num_partitions: int | None = None, cache: str = "checkpoint") -> Corpus:
     """C1-C7 in order; ``N`` counts the documents before pruning."""
     n_docs = docs.select("doc_id").count()
     tf = materialize(term_frequency(tokenize(docs, stop_lang, num_partitions=num_partitions)), cache)

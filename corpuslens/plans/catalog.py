@@ -422,3 +422,211 @@ def q_selection_report(spark, sf_dir):
     from ..operators.report import selection_report
     sel = greedy_select(rev_cells(spark, sf_dir), GREEDY_K)
     return selection_report(sel, TB.category_names(spark, sf_dir), TB.doc_edges(spark, sf_dir))
+
+
+# ------------------------------------------------ E: lsh, neighbours, novelty
+
+LSH = [*Q.CORPUS, *Q.lsh_ctes(LSH_BANDS, LSH_ROWS, LSH_SEED)]
+DATED_LSH = [*LSH, Q.DATES]
+
+
+def _lsh_state(spark, sf_dir):
+    """Shared LSH inputs, materialised once per context."""
+    from ..operators.lsh import lsh_buckets
+    from ..operators.neighbors import past_neighbor_lsh
+    from ..operators.novelty import novelty, word_spread
+    from ..session import materialize
+    cx = ctx(spark, sf_dir)
+    if getattr(cx, "_lsh", None) is None:
+        c = cx.corpus
+        dates = TB.doc_dates(spark, sf_dir)
+        buckets = materialize(lsh_buckets(c.postings, LSH_BANDS, LSH_ROWS, LSH_SEED), "checkpoint")
+        nbr = materialize(past_neighbor_lsh(c.postings, buckets, dates), "checkpoint")
+        nov = materialize(novelty(c.postings, nbr), "checkpoint")
+        spread = materialize(word_spread(c.postings, dates), "checkpoint")
+        cx._lsh = dict(dates=dates, buckets=buckets, nbr=nbr, nov=nov, spread=spread)
+    return cx._lsh
+
+
+@register("projection_basis", Q.with_(*LSH[:-2]) + "SELECT row, term, sign FROM basis")
+def q_projection_basis(spark, sf_dir):
+    from ..operators.lsh import projection_basis
+    return projection_basis(ctx(spark, sf_dir).corpus.kept, LSH_BANDS, LSH_ROWS, LSH_SEED)
+
+
+@register("lsh_signature", Q.with_(*LSH[:-1]) + "SELECT doc_id, row, bit FROM lsig")
+def q_lsh_signature(spark, sf_dir):
+    from ..operators.lsh import lsh_signature
+    return lsh_signature(ctx(spark, sf_dir).corpus.postings, LSH_BANDS, LSH_ROWS, LSH_SEED)
+
+
+@register("lsh_buckets", Q.with_(*LSH) + "SELECT band, bucket, doc_id FROM buckets")
+def q_lsh_buckets(spark, sf_dir):
+    return _lsh_state(spark, sf_dir)["buckets"]
+
+
+@register("bucket_members", Q.with_(*LSH) + """SELECT b.band, b.bucket, b.doc_id, z.size FROM buckets b
+JOIN (SELECT band, bucket, count(*) AS size FROM buckets GROUP BY band, bucket) z ON b.band = z.band AND b.bucket = z.bucket""")
+def q_bucket_members(spark, sf_dir):
+    from ..operators.lsh import bucket_members
+    return bucket_members(_lsh_state(spark, sf_dir)["buckets"])
+
+
+@register("closest_date_neighbor", Q.with_(*DATED_LSH) + """SELECT b.band, b.bucket, b.doc_id,
+  lag(b.doc_id) OVER (PARTITION BY b.band, b.bucket ORDER BY d.period, b.doc_id) AS neighbor_id
+FROM buckets b JOIN dates d ON b.doc_id = d.doc_id""")
+def q_closest_date_neighbor(spark, sf_dir):
+    from ..operators.lsh import closest_date_neighbor
+    st = _lsh_state(spark, sf_dir)
+    return closest_date_neighbor(st["buckets"], st["dates"])
+
+
+@register("first_past_neighbor", Q.with_(*DATED_LSH, "bd AS (SELECT b.band, b.bucket, b.doc_id, d.period FROM buckets b JOIN dates d ON b.doc_id = d.doc_id)")
+          + """SELECT x.doc_id, min(y.doc_id) AS neighbor_id FROM bd x JOIN bd y
+  ON x.band = y.band AND x.bucket = y.bucket AND y.period <= x.period AND y.doc_id <> x.doc_id GROUP BY x.doc_id""")
+def q_first_past_neighbor(spark, sf_dir):
+    from ..operators.lsh import first_past_neighbor
+    st = _lsh_state(spark, sf_dir)
+    return first_past_neighbor(st["buckets"], st["dates"])
+
+
+@register("past_neighbor_lsh", Q.with_(*DATED_LSH, *Q.NEIGHBORS_LSH) + "SELECT doc_id, neighbor_id, round(dot, 6) AS dot FROM nbr")
+def q_past_neighbor_lsh(spark, sf_dir):
+    return rounded(_lsh_state(spark, sf_dir)["nbr"])
+
+
+@register("past_neighbor_exact", Q.with_(*Q.CORPUS, Q.DATES, *Q.NEIGHBORS_EXACT)
+          + "SELECT doc_id, neighbor_id, round(dot, 6) AS dot FROM xnbr")
+def q_past_neighbor_exact(spark, sf_dir):
+    from ..operators.neighbors import past_neighbor_exact
+    return rounded(past_neighbor_exact(ctx(spark, sf_dir).corpus.postings, TB.doc_dates(spark, sf_dir)))
+
+
+NOVELTY = [*DATED_LSH, *Q.NEIGHBORS_LSH, Q.novelty_cte()]
+
+
+@register("novelty", Q.with_(*NOVELTY) + "SELECT doc_id, term, round(weight, 6) AS weight FROM nov")
+def q_novelty(spark, sf_dir):
+    return rounded(_lsh_state(spark, sf_dir)["nov"])
+
+
+@register("novelty_ignore_isolated", Q.with_(*DATED_LSH, *Q.NEIGHBORS_LSH, Q.novelty_cte(inner=True))
+          + "SELECT doc_id, term, round(weight, 6) AS weight FROM nov")
+def q_novelty_ignore_isolated(spark, sf_dir):
+    from ..operators.novelty import novelty
+    st = _lsh_state(spark, sf_dir)
+    return rounded(novelty(ctx(spark, sf_dir).corpus.postings, st["nbr"], ignore_isolated=True))
+
+
+@register("novelty_stats", Q.with_(*DATED_LSH, *Q.NEIGHBORS_LSH, Q.novelty_cte(),
+                                   "docs AS (SELECT DISTINCT doc_id FROM postings)",
+                                   """perband AS (SELECT x.doc_id, count(DISTINCT x.band) AS nb FROM bd x JOIN bd y
+  ON x.band = y.band AND x.bucket = y.bucket AND """ + Q.EARLIER + " GROUP BY x.doc_id)")
+          + """SELECT 'TOTAL' AS counter, CAST(count(*) AS BIGINT) AS value FROM docs
+UNION ALL SELECT 'POTENTIALLY_IGNORED', CAST(count(*) AS BIGINT) FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM nbr)
+UNION ALL SELECT 'DUPLICATES', CAST(count(*) AS BIGINT) FROM perband WHERE nb > 1""")
+def q_novelty_stats(spark, sf_dir):
+    from ..operators.novelty import novelty_stats
+    st = _lsh_state(spark, sf_dir)
+    return novelty_stats(ctx(spark, sf_dir).corpus.postings, st["nbr"], st["buckets"], st["dates"])
+
+
+@register("dedup_by_id", Q.with_(*LSH) + """SELECT p.doc_id, p.term, round(p.weight, 6) AS weight
+FROM postings p JOIN (SELECT doc_id, min(band) AS band FROM buckets GROUP BY doc_id) m ON p.doc_id = m.doc_id""")
+def q_dedup_by_id(spark, sf_dir):
+    from ..operators.novelty import dedup_by_id
+    st = _lsh_state(spark, sf_dir)
+    per_band = ctx(spark, sf_dir).corpus.postings.join(st["buckets"].select("doc_id", "band"), "doc_id")
+    return rounded(dedup_by_id(per_band, "band"))
+
+
+@register("word_spread", Q.with_(*Q.CORPUS, Q.DATES, Q.SPREAD) + "SELECT period, term, round(weight, 6) AS weight FROM spread")
+def q_word_spread(spark, sf_dir):
+    return rounded(_lsh_state(spark, sf_dir)["spread"])
+
+
+@register("cosine_similarity", Q.with_(*Q.CORPUS) + """SELECT doc_a, doc_b, round(dot, 6) AS dot, round(1.0 - dot, 6) AS distance FROM (
+  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, sum(a.weight * b.weight) AS dot
+  FROM postings a JOIN postings b ON a.term = b.term WHERE a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id) q""")
+def q_cosine_similarity(spark, sf_dir):
+    from ..operators.neighbors import cosine_similarity
+    return rounded(cosine_similarity(ctx(spark, sf_dir).corpus.postings))
+
+
+# ------------------------------------------- F/G on lsh and influence cells
+
+def lsh_cells(spark, sf_dir):
+    from ..functions.objectives import lsh_bucket_cells
+    return lsh_bucket_cells(_lsh_state(spark, sf_dir)["buckets"])
+
+
+def infl_cells(spark, sf_dir, strict=False, keep_period=False):
+    from ..functions.objectives import influence_cells
+    st = _lsh_state(spark, sf_dir)
+    return influence_cells(st["nov"], st["dates"], st["spread"], strict=strict, keep_period=keep_period)
+
+
+INFLUENCE = [*NOVELTY, Q.SPREAD, Q.influence_cells()]
+
+
+@register("lsh_bucket_coverage", Q.with_(*LSH, Q.LSH_CELLS, Q.random_sets(DOC_CANDIDATES, GREEDY_K, TRIALS))
+          + Q.score_sets("lcells"))
+def q_lsh_bucket_coverage(spark, sf_dir):
+    return _scored(lsh_cells(spark, sf_dir), doc_trials(spark, sf_dir))
+
+
+@register("combine_objectives", Q.with_(*LSH, Q.LSH_CELLS, *Q.weighted_cells(name="wcells"),
+                                        Q.combine([("wwc", "wcells", 1.0), ("lsh", "lcells", 0.5)]),
+                                        Q.random_sets(DOC_CANDIDATES, GREEDY_K, TRIALS))
+          + Q.score_sets("mcells"))
+def q_combine_objectives(spark, sf_dir):
+    from ..functions.objectives import combine_cells
+    cells = combine_cells({"wwc": (weighted_cells(spark, sf_dir), 1.0), "lsh": (lsh_cells(spark, sf_dir), 0.5)})
+    return _scored(cells, doc_trials(spark, sf_dir))
+
+
+@register("greedi_lsh_coverage", Q.greedi_query([*LSH, Q.LSH_CELLS, *Q.weighted_cells(name="wcells"),
+                                                 Q.combine([("wwc", "wcells", 1.0), ("lsh", "lcells", 1.0)])],
+                                                GREEDY_K, GREEDI_P, "mcells"))
+def q_greedi_lsh_coverage(spark, sf_dir):
+    from ..functions.objectives import combine_cells
+    from ..operators.greedi import greedi_select
+    cells = combine_cells({"wwc": (weighted_cells(spark, sf_dir), 1.0), "lsh": (lsh_cells(spark, sf_dir), 1.0)})
+    return rounded(greedi_select(cells, GREEDY_K, GREEDI_P))
+
+
+@register("document_influence", Q.with_(*INFLUENCE, Q.random_sets(DOC_CANDIDATES, GREEDY_K, TRIALS))
+          + Q.score_sets("icells"))
+def q_document_influence(spark, sf_dir):
+    return _scored(infl_cells(spark, sf_dir), doc_trials(spark, sf_dir))
+
+
+@register("influence_doc_dates", Q.with_(*INFLUENCE, Q.random_sets(DOC_CANDIDATES, GREEDY_K, TRIALS),
+                                         """rsc AS (SELECT r.trial, c.* FROM rs r JOIN icells c ON r.doc_id = c.doc_id
+  WHERE c.y IN (SELECT d.period FROM rs r2 JOIN dates d ON r2.doc_id = d.doc_id WHERE r2.trial = r.trial))""")
+          + """SELECT t.trial, round(coalesce(s.score, 0.0), 6) AS score FROM (SELECT DISTINCT trial FROM rs) t LEFT JOIN (
+  SELECT trial, sum(theta * greatest(0.0, vmax)) AS score FROM (
+    SELECT trial, cell, max(theta) AS theta, max(value) AS vmax FROM rsc GROUP BY trial, cell) x GROUP BY trial) s
+  ON t.trial = s.trial""")
+def q_influence_doc_dates(spark, sf_dir):
+    from ..operators.baseline import score_sets
+    st = _lsh_state(spark, sf_dir)
+    trials = doc_trials(spark, sf_dir)
+    periods = trials.join(st["dates"], "doc_id").select("trial", F.col("period").alias("y")).distinct()
+    cells = infl_cells(spark, sf_dir, keep_period=True)
+    # restrict each trial's cells to the periods its own documents were published in
+    per_trial = (cells.join(F.broadcast(trials.select("trial", "doc_id")), "doc_id")
+                 .join(F.broadcast(periods), ["trial", "y"], "left_semi"))
+    from ..functions.objectives import cell_value
+    scores = (per_trial.groupBy("trial", "cell", "kind").agg(F.max("theta").alias("theta"), F.max("value").alias("vmax"),
+                                                            F.count(F.lit(1)).alias("cnt"))
+              .groupBy("trial").agg(F.sum(cell_value(F.col("kind"), F.col("theta"), F.col("vmax"), F.col("cnt"))).alias("score")))
+    out = trials.select("trial").distinct().join(scores, "trial", "left").select(
+        "trial", F.coalesce(F.col("score"), F.lit(0.0)).alias("score"))
+    return rounded(out)
+
+
+@register("greedi_influence", Q.greedi_query(INFLUENCE, GREEDY_K, GREEDI_P, "icells"))
+def q_greedi_influence(spark, sf_dir):
+    from ..operators.greedi import greedi_select
+    return rounded(greedi_select(infl_cells(spark, sf_dir), GREEDY_K, GREEDI_P))

@@ -184,3 +184,76 @@ def boost_cte(name: str = "boost", inl: bool = True, cnt: bool = True, vol: bool
 
 BOOSTED_POSTINGS = """bpost AS (SELECT p.doc_id, p.term, p.weight * coalesce(b.boost, 1.0) AS weight
   FROM postings p LEFT JOIN boost b ON p.doc_id = b.doc_id)"""
+
+
+# ------------------------------------------------------------------ lsh
+
+def lsh_ctes(bands: int, rows: int, seed: str) -> list[str]:
+    n = bands * rows
+    return [
+        f"""basis AS (SELECT r.row, k.term,
+  CASE WHEN substr(md5('{seed}' || ':' || CAST(r.row AS VARCHAR) || ':' || k.term), 32, 1) < '8' THEN 1.0 ELSE -1.0 END AS sign
+  FROM kept k, (SELECT CAST(range AS INTEGER) AS row FROM range(0, {n})) r)""",
+        """lsig AS (SELECT p.doc_id, b.row, CASE WHEN sum(b.sign * p.weight) > 0 THEN 1 ELSE 0 END AS bit
+  FROM postings p JOIN basis b ON p.term = b.term GROUP BY p.doc_id, b.row)""",
+        f"""buckets AS (SELECT CAST(row // {rows} AS INTEGER) AS band, CAST(sum(bit << (row % {rows})) AS BIGINT) AS bucket, doc_id
+  FROM lsig GROUP BY doc_id, row // {rows})""",
+    ]
+
+
+EARLIER = "(y.period < x.period OR (y.period = x.period AND y.doc_id < x.doc_id))"
+NEIGHBORS_LSH = [
+    "bd AS (SELECT b.band, b.bucket, b.doc_id, d.period FROM buckets b JOIN dates d ON b.doc_id = d.doc_id)",
+    """pb AS (SELECT b.band, b.bucket, p.term, p.doc_id, p.weight, b.period
+  FROM postings p JOIN bd b ON p.doc_id = b.doc_id)""",
+    """ndots AS (SELECT x.doc_id, y.doc_id AS neighbor_id, sum(x.weight * y.weight) AS dot
+  FROM pb x JOIN pb y ON x.band = y.band AND x.bucket = y.bucket AND x.term = y.term
+  WHERE """ + EARLIER + """ GROUP BY x.doc_id, y.doc_id, x.band)""",
+    """nfb AS (SELECT x.doc_id, min(y.doc_id) AS neighbor_id FROM bd x JOIN bd y
+  ON x.band = y.band AND x.bucket = y.bucket AND """ + EARLIER + " GROUP BY x.doc_id)",
+    """ncand AS (SELECT doc_id, neighbor_id, max(dot) AS dot FROM (
+  SELECT doc_id, neighbor_id, dot FROM ndots UNION ALL SELECT doc_id, neighbor_id, 0.0 FROM nfb) q GROUP BY doc_id, neighbor_id)""",
+    """nbr AS (SELECT doc_id, neighbor_id, dot FROM (SELECT *, row_number() OVER (PARTITION BY doc_id
+  ORDER BY round(dot, 9) DESC, neighbor_id) AS rn FROM ncand) q WHERE rn = 1)""",
+]
+NEIGHBORS_EXACT = [
+    "pd AS (SELECT p.term, p.doc_id, p.weight, d.period FROM postings p JOIN dates d ON p.doc_id = d.doc_id)",
+    """xdots AS (SELECT x.doc_id, y.doc_id AS neighbor_id, sum(x.weight * y.weight) AS dot
+  FROM pd x JOIN pd y ON x.term = y.term WHERE """ + EARLIER + " GROUP BY x.doc_id, y.doc_id)",
+    "xd AS (SELECT DISTINCT d.doc_id, d.period FROM dates d JOIN postings p ON d.doc_id = p.doc_id)",
+    "xfb AS (SELECT x.doc_id, min(y.doc_id) AS neighbor_id FROM xd x JOIN xd y ON " + EARLIER + " GROUP BY x.doc_id)",
+    """xcand AS (SELECT doc_id, neighbor_id, max(dot) AS dot FROM (
+  SELECT doc_id, neighbor_id, dot FROM xdots UNION ALL SELECT doc_id, neighbor_id, 0.0 FROM xfb) q GROUP BY doc_id, neighbor_id)""",
+    """xnbr AS (SELECT doc_id, neighbor_id, dot FROM (SELECT *, row_number() OVER (PARTITION BY doc_id
+  ORDER BY round(dot, 9) DESC, neighbor_id) AS rn FROM xcand) q WHERE rn = 1)""",
+]
+
+
+def novelty_cte(nbr: str = "nbr", name: str = "nov", inner: bool = False) -> str:
+    j = "JOIN" if inner else "LEFT JOIN"
+    return f"""{name} AS (SELECT * FROM (SELECT p.doc_id, p.term, greatest(0.0, p.weight - coalesce(q.weight, 0.0)) AS weight
+  FROM postings p {j} {nbr} n ON p.doc_id = n.doc_id LEFT JOIN postings q ON q.doc_id = n.neighbor_id AND q.term = p.term) z
+  WHERE weight > 1e-9)"""
+
+
+SPREAD = """spread AS (SELECT d.period, p.term, sum(p.weight) AS weight FROM postings p JOIN dates d ON p.doc_id = d.doc_id
+  GROUP BY d.period, p.term)"""
+
+
+def influence_cells(nov: str = "nov", name: str = "icells", strict: bool = False) -> str:
+    op = ">" if strict else ">="
+    return f"""{name} AS (SELECT n.doc_id, n.term || '@' || CAST(s.period AS VARCHAR) AS cell, 'max' AS kind,
+  s.weight AS theta, n.weight AS value, s.period AS y
+  FROM {nov} n JOIN dates d ON n.doc_id = d.doc_id JOIN spread s ON n.term = s.term AND s.period {op} d.period)"""
+
+
+LSH_CELLS = """lcells AS (SELECT b.doc_id, CAST(b.band AS VARCHAR) || ':' || CAST(b.bucket AS VARCHAR) AS cell, 'sqrt_count' AS kind,
+  sqrt(CAST(z.n AS DOUBLE)) / (SELECT count(*) FROM buckets) AS theta, 1.0 AS value
+  FROM buckets b JOIN (SELECT band, bucket, count(*) AS n FROM buckets GROUP BY band, bucket) z ON b.band = z.band AND b.bucket = z.bucket)"""
+
+
+def combine(parts: list[tuple[str, str, float]], name: str = "mcells") -> str:
+    sel = " UNION ALL ".join(
+        f"SELECT doc_id, '{label}|' || cell AS cell, kind, theta * {lam} AS theta, value FROM {cells}"
+        for label, cells, lam in parts)
+    return f"{name} AS ({sel})"

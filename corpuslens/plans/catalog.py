@@ -630,3 +630,81 @@ def q_influence_doc_dates(spark, sf_dir):
 def q_greedi_influence(spark, sf_dir):
     from ..operators.greedi import greedi_select
     return rounded(greedi_select(infl_cells(spark, sf_dir), GREEDY_K, GREEDI_P))
+
+
+# --------------------------------------------------------- B: pages and ids
+
+def _classified(spark, sf_dir):
+    from ..functions.pages import classify_pages, html_pages
+    return classify_pages(html_pages(TB.table(spark, sf_dir, "pages")))
+
+
+@register("classify_page", Q.with_(*Q.classified_pages()) + "SELECT doc_id, title, page_type FROM cp")
+def q_classify_page(spark, sf_dir):
+    return _classified(spark, sf_dir).select("doc_id", "title", "page_type")
+
+
+@register("page_type_counts", Q.with_(*Q.classified_pages()) + """SELECT page_type, count(*) AS pages FROM cp GROUP BY page_type
+UNION ALL SELECT 'TOTAL', count(*) FROM cp""")
+def q_page_type_counts(spark, sf_dir):
+    from ..functions.pages import page_type_counts
+    return page_type_counts(_classified(spark, sf_dir))
+
+
+@register("pages_to_text", Q.with_(*Q.classified_pages()) + "SELECT doc_id, content AS text FROM cp WHERE page_type = 'ARTICLE'")
+def q_pages_to_text(spark, sf_dir):
+    from ..functions.pages import pages_to_text
+    return pages_to_text(_classified(spark, sf_dir))
+
+
+@register("document_date", """SELECT event_id AS doc_id, CAST(year(ts) * 1000 + dayofyear(ts) AS INTEGER) AS period
+FROM events WHERE ts IS NOT NULL""")
+def q_document_date(spark, sf_dir):
+    from ..functions.pages import document_date
+    ev = TB.table(spark, sf_dir, "events")
+    return ev.select(F.col("event_id").alias("doc_id"), document_date(F.col("ts")).alias("period")).filter(
+        F.col("period").isNotNull())
+
+
+@register("date_from_id", "SELECT doc_id, CAST((((doc_id // 100) % 100) + 100) % 100 AS INTEGER) AS period FROM documents")
+def q_date_from_id(spark, sf_dir):
+    from ..functions.pages import date_from_id
+    return TB.table(spark, sf_dir, "documents").select("doc_id", date_from_id("doc_id", 100, 100).alias("period"))
+
+
+_AAN_SQL = ("upper(substr(event_type, 1, 1)) || lpad(CAST(user_id % 100 AS VARCHAR), 2, '0') || '-' "
+            "|| lpad(CAST(event_id % 10000 AS VARCHAR), 4, '0')")
+_NIPS_SQL = ("'file is ../nipsdata/txt/nips' || lpad(CAST(user_id % 100 AS VARCHAR), 2, '0') || '/' "
+             "|| lpad(CAST(event_id % 10000 AS VARCHAR), 4, '0') || '.txt'")
+
+
+@register("paper_key", f"""SELECT event_id, name, CAST(CAST(ascii(name) % 100 AS VARCHAR) || substr(name, 2, 2) || substr(name, 5, 4) AS BIGINT) AS aan_key,
+  CAST(substr(line, 29, 2) AS BIGINT) * 10000 + CAST(substr(line, 32, 4) AS BIGINT) AS nips_key
+FROM (SELECT event_id, {_AAN_SQL} AS name, {_NIPS_SQL} AS line FROM events) q""")
+def q_paper_key(spark, sf_dir):
+    from ..functions.pages import aan_key, nips_key
+    ev = TB.table(spark, sf_dir, "events")
+    two = F.lpad((F.col("user_id") % 100).cast("string"), 2, "0")
+    four = F.lpad((F.col("event_id") % 10000).cast("string"), 4, "0")
+    named = ev.select("event_id",
+                      F.concat(F.upper(F.substring("event_type", 1, 1)), two, F.lit("-"), four).alias("name"),
+                      F.concat(F.lit("file is ../nipsdata/txt/nips"), two, F.lit("/"), four, F.lit(".txt")).alias("line"))
+    return named.select("event_id", "name", aan_key(F.col("name")).alias("aan_key"), nips_key(F.col("line")).alias("nips_key"))
+
+
+@register("extract_ids", Q.with_(*Q.CORPUS) + "SELECT DISTINCT doc_id FROM postings")
+def q_extract_ids(spark, sf_dir):
+    return ctx(spark, sf_dir).corpus.postings.select("doc_id").distinct()
+
+
+@register("filter_subset", Q.with_(*Q.CORPUS, Q.random_sets(DOC_CANDIDATES, GREEDY_K, TRIALS))
+          + "SELECT doc_id, term, round(weight, 6) AS weight FROM postings WHERE doc_id IN (SELECT doc_id FROM rs WHERE trial = 0)")
+def q_filter_subset(spark, sf_dir):
+    subset = doc_trials(spark, sf_dir).filter("trial = 0").select("doc_id")
+    return rounded(ctx(spark, sf_dir).corpus.postings.join(F.broadcast(subset), "doc_id", "left_semi"))
+
+
+@register("partition_docs", "SELECT doc_id, CAST(((doc_id % 10) + 10) % 10 AS INTEGER) AS part FROM documents")
+def q_partition_docs(spark, sf_dir):
+    from ..functions.pages import partition_of
+    return TB.table(spark, sf_dir, "documents").select("doc_id", partition_of(F.col("doc_id"), 10).alias("part"))

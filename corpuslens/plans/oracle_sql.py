@@ -257,3 +257,37 @@ def combine(parts: list[tuple[str, str, float]], name: str = "mcells") -> str:
         f"SELECT doc_id, '{label}|' || cell AS cell, kind, theta * {lam} AS theta, value FROM {cells}"
         for label, cells, lam in parts)
     return f"{name} AS ({sel})"
+
+
+# ---------------------------------------------------------------- pages
+
+def _strip_html(col: str) -> str:
+    x = f"regexp_replace({col}, '(?s)<script[^>]*>.*?</script>', ' ', 'g')"
+    x = f"regexp_replace({x}, '(?s)<style[^>]*>.*?</style>', ' ', 'g')"
+    x = f"regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g')"
+    x = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
+    from ..functions.pages import HTML_ENTITIES
+    for ent, ch in HTML_ENTITIES:
+        x = "replace(" + x + ", '" + ent + "', '" + ch.replace("'", "''") + "')"
+    return f"trim(regexp_replace({x}, '[ \\t\\r\\n]+', ' ', 'g'))"
+
+
+def classified_pages() -> list[str]:
+    from ..functions import pages as P
+    pg = f"""pg AS (SELECT page_id AS doc_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title,
+  {_strip_html('html')} AS content,
+  regexp_matches(html, '{P.REDIRECT_PATTERN}') AS is_redirect,
+  regexp_matches(html, '{P.DISAMBIG_PATTERN}') AS is_disambig,
+  regexp_matches(html, '{P.STUB_PATTERN}') AS is_stub,
+  regexp_matches(html, '{P.ARTICLE_PATTERN}') AS is_article FROM pages)"""
+    is_list = " OR ".join(f"starts_with(title, '{p}')" for p in P.LIST_PREFIXES)
+    ct = f"""cp AS (SELECT *, CASE
+    WHEN is_redirect THEN 'REDIRECT'
+    WHEN length(content) = 0 THEN 'EMPTY'
+    WHEN is_disambig OR ends_with(title, '{P.DISAMBIGUATION_SUFFIX}') THEN 'DISAMBIGUATION'
+    WHEN is_stub THEN 'STUB'
+    WHEN is_article AND ({is_list}) THEN 'LIST'
+    WHEN is_article AND length(title) > {P.TITLE_SHARE} * length(content) THEN 'OTHER'
+    WHEN is_article THEN 'ARTICLE'
+    ELSE 'NON_ARTICLE' END AS page_type FROM pg)"""
+    return [pg, ct]

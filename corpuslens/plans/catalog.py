@@ -708,3 +708,127 @@ def q_filter_subset(spark, sf_dir):
 def q_partition_docs(spark, sf_dir):
     from ..functions.pages import partition_of
     return TB.table(spark, sf_dir, "documents").select("doc_id", partition_of(F.col("doc_id"), 10).alias("part"))
+
+
+# ------------------------------------------- A: sources (write, then read)
+
+def _io(spark, name):
+    from ..sources.files import scratch_path
+    return scratch_path(spark, name)
+
+
+@register("read_wiki_dump", Q.with_(*Q.classified_pages()) + "SELECT doc_id, title, content AS text, is_article FROM cp")
+def q_read_wiki_dump(spark, sf_dir):
+    from ..functions.pages import html_pages
+    from ..sources.files import read_wiki_dump, write_wiki_dump
+    pages = html_pages(TB.table(spark, sf_dir, "pages")).select("doc_id", "title", F.col("content").alias("text"),
+                                                                F.lit(None).cast("string").alias("ts"))
+    path = _io(spark, "wiki")
+    write_wiki_dump(pages, path)
+    return read_wiki_dump(spark, path).select("doc_id", "title", "text", "is_article")
+
+
+@register("read_text_dir", "SELECT doc_id, text FROM documents")
+def q_read_text_dir(spark, sf_dir):
+    from ..sources.files import read_text_dir, write_text_dir
+    path = _io(spark, "text")
+    write_text_dir(TB.table(spark, sf_dir, "documents"), path)
+    return read_text_dir(spark, path).select("doc_id", "text")
+
+
+@register("read_edge_list", "SELECT user_id AS doc_id, event_id AS src_id FROM events")
+def q_read_edge_list(spark, sf_dir):
+    from ..sources.files import read_edge_list, write_lines
+    path = _io(spark, "edges")
+    write_lines(TB.doc_edges(spark, sf_dir), ["doc_id", "src_id"], path)
+    return read_edge_list(spark, path)
+
+
+@register("read_revision_stats", Q.with_(Q.REV) + "SELECT doc_id, rev_count, rev_volume FROM rev")
+def q_read_revision_stats(spark, sf_dir):
+    from ..sources.files import read_revision_stats, write_lines
+    path = _io(spark, "revisions")
+    write_lines(TB.revisions(spark, sf_dir), ["doc_id", "rev_count", "rev_volume"], path)
+    return read_revision_stats(spark, path, with_volume=True)
+
+
+@register("read_dense_matrix", """SELECT vec_id AS doc_id, CAST(pos - 1 AS VARCHAR) AS term, round(CAST(v AS DOUBLE), 6) AS weight
+FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings) q
+WHERE abs(v) > 1e-5""")
+def q_read_dense_matrix(spark, sf_dir):
+    from ..sources.files import read_dense_matrix, write_dense_matrix
+    m, n = _io(spark, "matrix"), _io(spark, "names")
+    write_dense_matrix(TB.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", m, n)
+    return rounded(read_dense_matrix(spark, m, n, value_type="float"))
+
+
+@register("read_word_counts", Q.with_(Q.TOKS, Q.TF, Q.WS, Q.SIG, Q.KEPT) + "SELECT term, df AS count FROM kept")
+def q_read_word_counts(spark, sf_dir):
+    from ..sources.files import read_word_counts
+    path = _io(spark, "wordcounts")
+    ctx(spark, sf_dir).corpus.kept.write.mode("overwrite").parquet(path)
+    return read_word_counts(spark, path, "df")
+
+
+@register("read_vectors", Q.with_(*Q.CORPUS) + "SELECT doc_id, term, round(weight, 6) AS weight FROM postings")
+def q_read_vectors(spark, sf_dir):
+    from ..sources.files import read_vectors, write_vectors
+    path = _io(spark, "vectors")
+    write_vectors(ctx(spark, sf_dir).corpus.postings, path)
+    return rounded(read_vectors(spark, path))
+
+
+@register("read_adjacency", Q.with_(Q.EDGES, Q.ADJ, Q.random_sets(GRAPH_CAND, GREEDY_K, TRIALS))
+          + "SELECT doc_id, src_id FROM adj WHERE doc_id IN (SELECT doc_id FROM rs)")
+def q_read_adjacency(spark, sf_dir):
+    from ..operators.graph import build_adjacency
+    from ..sources.files import read_adjacency
+    path = _io(spark, "adjacency")
+    build_adjacency(TB.doc_edges(spark, sf_dir)).write.mode("overwrite").parquet(path)
+    ids = _trials_of(spark, TB.doc_edges(spark, sf_dir)).select("doc_id")
+    return read_adjacency(spark, path, ids)
+
+
+@register("read_buckets", Q.with_(*LSH) + "SELECT band, bucket, doc_id FROM buckets")
+def q_read_buckets(spark, sf_dir):
+    from ..sources.files import read_buckets
+    path = _io(spark, "buckets")
+    _lsh_state(spark, sf_dir)["buckets"].write.mode("overwrite").parquet(path)
+    return read_buckets(spark, path)
+
+
+@register("read_dates", Q.with_(Q.DATES) + "SELECT doc_id, period FROM dates")
+def q_read_dates(spark, sf_dir):
+    from ..sources.files import read_dates
+    path = _io(spark, "dates")
+    TB.doc_dates(spark, sf_dir).write.mode("overwrite").parquet(path)
+    return read_dates(spark, path)
+
+
+@register("read_selection", Q.with_(Q.REV, Q.REV_CELLS, *Q.greedy_ctes(GREEDY_K, "rcells")) + "SELECT doc_id FROM g_all")
+def q_read_selection(spark, sf_dir):
+    from ..operators.greedy import greedy_select
+    from ..sources.files import read_selection, write_selection
+    path = _io(spark, "selection")
+    write_selection(greedy_select(rev_cells(spark, sf_dir), GREEDY_K), path, as_text=True)
+    return read_selection(spark, path, as_text=True)
+
+
+@register("read_citations", "SELECT CAST(user_id AS VARCHAR) AS paper_id, CAST(count(*) AS INTEGER) AS cites FROM events GROUP BY user_id")
+def q_read_citations(spark, sf_dir):
+    from ..sources.files import read_citations_aan, write_lines
+    path = _io(spark, "citations")
+    write_lines(TB.citations(spark, sf_dir), ["cites", "paper_id"], path, sep="\t")
+    return read_citations_aan(spark, path)
+
+
+@register("read_wiki_tables", Q.with_(Q.PAGECATS) + "SELECT doc_id, category FROM page_categories")
+def q_read_wiki_tables(spark, sf_dir):
+    from ..sources.files import read_wiki_tables
+    paths = {k: _io(spark, k) for k in ("pages", "links", "cats", "pagecats")}
+    TB.category_names(spark, sf_dir).write.mode("overwrite").option("header", "true").csv(paths["pages"])
+    TB.doc_edges(spark, sf_dir).select("src_id", "doc_id").write.mode("overwrite").option("header", "true").csv(paths["links"])
+    TB.category_links(spark, sf_dir).write.mode("overwrite").option("header", "true").csv(paths["cats"])
+    TB.page_categories(spark, sf_dir).write.mode("overwrite").option("header", "true").csv(paths["pagecats"])
+    t = read_wiki_tables(spark, paths["pages"], paths["links"], paths["cats"], paths["pagecats"], fmt="csv")
+    return t["page_categories"]

@@ -832,3 +832,96 @@ def q_read_wiki_tables(spark, sf_dir):
     TB.page_categories(spark, sf_dir).write.mode("overwrite").option("header", "true").csv(paths["pagecats"])
     t = read_wiki_tables(spark, paths["pages"], paths["links"], paths["cats"], paths["pagecats"], fmt="csv")
     return t["page_categories"]
+
+
+# ------------------------------------------- F5, G10, F14, H2-H5 reports
+
+def lucene_cells(spark, sf_dir):
+    from ..functions.objectives import lucene_word_coverage_cells
+    c = ctx(spark, sf_dir).corpus
+    return lucene_word_coverage_cells(c.tf, c.stats, c.n_docs)
+
+
+LUCENE = [Q.TOKS, Q.TF, Q.WS, Q.ND, Q.LUCENE_CELLS]
+
+
+@register("lucene_word_coverage", Q.with_(*LUCENE, Q.random_sets(DOC_CANDIDATES, GREEDY_K, TRIALS)) + Q.score_sets("lucells"))
+def q_lucene_word_coverage(spark, sf_dir):
+    return _scored(lucene_cells(spark, sf_dir), doc_trials(spark, sf_dir))
+
+
+@register("greedy_lucene", Q.greedy_query(LUCENE, GREEDY_K, "lucells"))
+def q_greedy_lucene(spark, sf_dir):
+    from ..operators.greedy import greedy_select
+    return rounded(greedy_select(lucene_cells(spark, sf_dir), GREEDY_K))
+
+
+_CROSS = [("word_coverage", "cells", "ga"), ("weighted_word_coverage", "wcells", "gb"), ("lsh_bucket_coverage", "lcells", "gc")]
+
+
+def _cross_sql():
+    ctes = [*LSH, Q.F1_CELLS, *Q.weighted_cells(name="wcells"), Q.LSH_CELLS]
+    for _, cells, pre in _CROSS:
+        ctes += Q.greedy_ctes(GREEDY_K, cells, pre)
+    ctes.append("sets AS (" + " UNION ALL ".join(f"SELECT '{n}' AS selection, doc_id FROM {p}_all" for n, _, p in _CROSS) + ")")
+    ctes.append("sc AS (" + "\nUNION ALL\n".join(
+        Q.score_sets(c, "sets", "selection", extra=f"'{n}' AS objective, ", digits=None) for n, c, _ in _CROSS) + ")")
+    return Q.with_(*ctes) + """SELECT s.selection, s.objective, round(s.score, 6) AS score,
+  round(CASE WHEN o.score > 0 THEN s.score / o.score END, 6) AS relative
+FROM sc s LEFT JOIN sc o ON o.selection = s.objective AND o.objective = s.objective"""
+
+
+@register("cross_score", _cross_sql())
+def q_cross_score(spark, sf_dir):
+    from ..operators.greedy import greedy_select
+    from ..operators.report import cross_score
+    cells = {"word_coverage": f1_cells(spark, sf_dir), "weighted_word_coverage": weighted_cells(spark, sf_dir),
+             "lsh_bucket_coverage": lsh_cells(spark, sf_dir)}
+    sels = {n: greedy_select(c, GREEDY_K) for n, c in cells.items()}
+    return rounded(cross_score(cells, sels))
+
+
+@register("citation_count", Q.with_(Q.EDGES, Q.ADJ, Q.GRAPH_CELLS, *Q.greedy_ctes(GREEDY_K, "gcells"))
+          + """SELECT CAST(coalesce(sum(c.cites), 0) AS BIGINT) AS citations FROM g_all s
+LEFT JOIN (SELECT user_id AS paper_id, count(*) AS cites FROM events GROUP BY user_id) c ON s.doc_id = c.paper_id""")
+def q_citation_count(spark, sf_dir):
+    from ..operators.greedy import greedy_select
+    from ..operators.report import citation_count
+    return citation_count(greedy_select(graph_cells(spark, sf_dir), GREEDY_K), TB.citations(spark, sf_dir))
+
+
+@register("citation_bound", f"""WITH c AS (SELECT user_id AS paper_id, count(*) AS cites FROM events GROUP BY user_id)
+SELECT 'best' AS metric, CAST(coalesce(sum(cites), 0) AS BIGINT) AS citations
+  FROM (SELECT cites FROM c ORDER BY cites DESC, paper_id LIMIT {GREEDY_K}) t
+UNION ALL SELECT 'total', CAST(coalesce(sum(cites), 0) AS BIGINT) FROM c""")
+def q_citation_bound(spark, sf_dir):
+    from ..operators.report import citation_bound
+    return citation_bound(TB.citations(spark, sf_dir), GREEDY_K)
+
+
+@register("cosine_diff", Q.with_(*Q.CORPUS, Q.EMB_POSTINGS, Q.pair_dots("postings", "ours"), Q.pair_dots("embp", "refd"),
+                                 "ref AS (SELECT doc_a, doc_b, 1.0 - dot AS value FROM refd)",
+                                 """errs AS (SELECT r.doc_a, r.doc_b, abs((1.0 - coalesce(o.dot, 0.0)) - r.value) AS error
+  FROM ref r LEFT JOIN ours o ON r.doc_a = o.doc_a AND r.doc_b = o.doc_b WHERE NOT isnan(r.value))""")
+          + """SELECT count(*) AS cells, CAST(coalesce(sum(CASE WHEN error > 1e-2 THEN 1 ELSE 0 END), 0) AS BIGINT) AS over_threshold,
+  round(coalesce(sum(error), 0.0), 6) AS total_error FROM errs""")
+def q_cosine_diff(spark, sf_dir):
+    from ..operators.neighbors import cosine_similarity
+    from ..operators.report import cosine_diff, cosine_diff_summary
+    from ..operators.tfidf import l2_normalize
+    from ..sources.files import dense_to_postings
+    ours = cosine_similarity(ctx(spark, sf_dir).corpus.postings)
+    emb = l2_normalize(dense_to_postings(TB.table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
+    ref = cosine_similarity(emb).select("doc_a", "doc_b", F.col("distance").alias("value"))
+    return rounded(cosine_diff_summary(cosine_diff(ours, ref)))
+
+
+@register("vector_diff", Q.with_(*NOVELTY) + """SELECT doc_id, round(sq, 6) AS sq_dist, CASE WHEN na = 0 THEN 'missing_left'
+  WHEN nb = 0 THEN 'missing_right' WHEN sq > 1e-2 THEN 'over' ELSE 'ok' END AS status FROM (
+  SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, sum((coalesce(a.weight, 0.0) - coalesce(b.weight, 0.0)) ^ 2) AS sq,
+    count(a.weight) AS na, count(b.weight) AS nb
+  FROM postings a FULL OUTER JOIN nov b ON a.doc_id = b.doc_id AND a.term = b.term
+  GROUP BY coalesce(a.doc_id, b.doc_id)) q""")
+def q_vector_diff(spark, sf_dir):
+    from ..operators.report import vector_diff
+    return rounded(vector_diff(ctx(spark, sf_dir).corpus.postings, _lsh_state(spark, sf_dir)["nov"]))

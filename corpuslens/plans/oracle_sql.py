@@ -124,9 +124,10 @@ def random_sets(candidates: str, k: int, trials: int = 10, seed: str = "corpusle
   WHERE rank <= {k})"""
 
 
-def score_sets(cells: str, sets: str = "rs", set_col: str = "trial", extra: str = "") -> str:
+def score_sets(cells: str, sets: str = "rs", set_col: str = "trial", extra: str = "", digits: int | None = 6) -> str:
     """``SELECT set_col, score`` of every set under ``cells``."""
-    return f"""SELECT {extra}t.{set_col}, round(coalesce(s.score, 0.0), 6) AS score
+    sc = f"round(coalesce(s.score, 0.0), {digits})" if digits is not None else "coalesce(s.score, 0.0)"
+    return f"""SELECT {extra}t.{set_col}, {sc} AS score
 FROM (SELECT DISTINCT {set_col} FROM {sets}) t LEFT JOIN (
   SELECT {set_col}, sum(CASE kind
         WHEN 'max' THEN theta * greatest(0.0, vmax)
@@ -291,3 +292,16 @@ def classified_pages() -> list[str]:
     WHEN is_article THEN 'ARTICLE'
     ELSE 'NON_ARTICLE' END AS page_type FROM pg)"""
     return [pg, ct]
+
+
+LUCENE_CELLS = """lucells AS (SELECT tf.doc_id, tf.term AS cell, 'max' AS kind, sqrt(CAST(ws.wc AS DOUBLE)) AS theta,
+  sqrt(CAST(tf.tf AS DOUBLE)) * (1 + ln(nd.n / (ws.df + 1.0))) AS value FROM tf JOIN ws ON tf.term = ws.term, nd)"""
+EMB_POSTINGS = """embp AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM (
+  SELECT vec_id AS doc_id, CAST(pos - 1 AS VARCHAR) AS term, CAST(v AS DOUBLE) AS w
+  FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings) q
+  WHERE abs(v) > 1e-5) z)"""
+
+
+def pair_dots(src: str, name: str) -> str:
+    return f"""{name} AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, sum(a.weight * b.weight) AS dot
+  FROM {src} a JOIN {src} b ON a.term = b.term WHERE a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id)"""

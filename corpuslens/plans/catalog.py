@@ -925,3 +925,32 @@ def q_cosine_diff(spark, sf_dir):
 def q_vector_diff(spark, sf_dir):
     from ..operators.report import vector_diff
     return rounded(vector_diff(ctx(spark, sf_dir).corpus.postings, _lsh_state(spark, sf_dir)["nov"]))
+
+
+# ------------------------------------------------ I: clustering; G13 dispatch
+
+KMEANS_K = 10
+
+
+@register("kmeans_docs")
+def q_kmeans_docs(spark, sf_dir):
+    from ..operators.cluster import dense_features, kmeans_docs
+    return kmeans_docs(dense_features(TB.table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), KMEANS_K)
+
+
+@register("sketch_kmeans")
+def q_sketch_kmeans(spark, sf_dir):
+    from ..operators.cluster import dense_features, sketch_kmeans
+    feats = dense_features(TB.table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return sketch_kmeans(feats, KMEANS_K, sketch_size=100, partitions=4)
+
+
+@register("choose_objective", Q.greedi_query([*LSH, Q.LSH_CELLS, *Q.weighted_cells(name="wcells"),
+                                              Q.combine([("wwc", "wcells", 1.0), ("lsh", "lcells", 1.0)])],
+                                             GREEDY_K, GREEDI_P, "mcells").replace(
+    "SELECT CAST(r AS INTEGER) AS rank", "SELECT 'word_coverage_lsh' AS objective, CAST(r AS INTEGER) AS rank"))
+def q_choose_objective(spark, sf_dir):
+    from .summarize import choose_objective, summarize
+    c = ctx(spark, sf_dir).corpus
+    obj = choose_objective(c.postings, c.vocab_size, counts=c.kept, buckets=_lsh_state(spark, sf_dir)["buckets"])
+    return rounded(summarize(obj, GREEDY_K, method="greedi", partitions=GREEDI_P))

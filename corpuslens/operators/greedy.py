@@ -46,9 +46,14 @@ def contribution(kind: Column, theta: Column, value: Column, cmax: Column, ccnt:
 
 
 def prepare_cells(cells: DataFrame, cache: str = "checkpoint") -> DataFrame:
-    """Hash-partition cells by doc_id and materialise them once: every round's
-    per-document sum then runs without an exchange."""
-    return materialize(cells.select("doc_id", "cell", "kind", "theta", "value").repartition("doc_id"), cache)
+    """Hash-partition cells by doc_id, sort each partition by doc_id and
+    materialise them once.  All cells of a doc sit in one partition (the
+    per-round sum per doc is a partial aggregate of one row per doc), and the
+    sort gives every cached column batch a narrow doc_id range, so the
+    ``doc_id IN (...)`` scans of the cover and of lazy re-evaluation skip
+    almost all batches by their min/max statistics."""
+    return materialize(cells.select("doc_id", "cell", "kind", "theta", "value")
+                       .repartition("doc_id").sortWithinPartitions("doc_id"), cache)
 
 
 class _Engine:
@@ -113,61 +118,80 @@ def greedy_select(cells: DataFrame, k: int, prepared: bool = False, cache: str =
     return _to_frame(cells.sparkSession, picks)
 
 
+def _after(key_col: str, last) -> Column:
+    """Rows strictly after ``last`` in (round(key, 9) desc, doc_id asc) order."""
+    r = F.round(F.col(key_col), GAIN_DIGITS)
+    lr = round(last[1], GAIN_DIGITS)
+    return (r < F.lit(lr)) | ((r == F.lit(lr)) & (F.col("doc_id") > F.lit(int(last[0]))))
+
+
 def lazy_greedy_select(cells: DataFrame, k: int, batch: int = 16, prepared: bool = False,
                        cache: str = "checkpoint", broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-                       stats: dict | None = None) -> DataFrame:
+                       stats: dict | None = None, fetch: int | None = None) -> DataFrame:
     """Batched lazy greedy.  Same picks as :func:`greedy_select`.
 
     Gains only shrink as the selection grows (submodularity), so a gain
-    computed in an earlier round is an upper bound.  Each step re-evaluates
-    the ``batch`` documents with the best bounds; a freshly evaluated doc
-    wins once its (rounded gain, -id) key beats every remaining bound.
-    ``stats`` (if given) receives the share of documents re-evaluated.
+    computed earlier is an upper bound.  The driver keeps a candidate list:
+    the best ``fetch`` documents by initial gain (a distributed take-ordered,
+    extended only when exhausted).  Every step re-evaluates the ``batch``
+    candidates with the best bounds in one Spark job; a freshly evaluated doc
+    wins once its (rounded gain, -id) key beats every remaining bound,
+    including the bound of all documents beyond the list (at most the
+    initial gain of the list's last entry).  Memory on the driver is the
+    list, not the corpus.  ``stats`` receives the share re-evaluated.
     """
     spark = cells.sparkSession
     c = cells if prepared else prepare_cells(cells, cache)
     eng = _Engine(c, broadcast_rows)
     base = materialize(eng.gains().withColumnRenamed("gain", "base"), cache)
     n_docs = base.count()
+    fetch = fetch or max(4 * batch, 2 * batch * k)
+    cand: list[tuple[int, float, int]] = []        # (doc_id, base, n_cells) in base order
+    exhausted = False
+
+    def extend():
+        nonlocal exhausted
+        q = base if not cand else base.filter(_after("base", cand[-1]))
+        rows = q.orderBy(*_order("base")).limit(fetch).collect()
+        cand.extend((r["doc_id"], r["base"], r["n_cells"]) for r in rows)
+        exhausted = len(rows) < fetch
+
+    extend()
     fresh: dict[int, float] = {}
-    n_cells: dict[int, int] = {}
+    chosen: set[int] = set()
     picks, evaluated_per_round = [], []
     for rnd in range(min(k, n_docs)):
         exact: dict[int, float] = {}
+        if rnd == 0:
+            exact[cand[0][0]] = cand[0][1]      # initial gains are exact
         while True:
-            bounds = base.filter(~F.col("doc_id").isin(eng.selected)) if eng.selected else base
-            if fresh:
-                upd = spark.createDataFrame([(d, g) for d, g in fresh.items()], "doc_id long, fresh double")
-                bounds = join_small(bounds, upd, "doc_id", "left", broadcast_rows, known_rows=len(fresh))
-                bound = F.coalesce(F.col("fresh"), F.col("base"))
-            else:
-                bound = F.col("base")
-            want = len(exact) + batch + 1
-            top = (bounds.select("doc_id", "n_cells", bound.alias("bound"))
-                   .orderBy(*_order("bound")).limit(want).collect())
-            for r in top:
-                n_cells[r["doc_id"]] = r["n_cells"]
-            todo = [r["doc_id"] for r in top if r["doc_id"] not in exact][:batch]
-            if rnd == 0 and not fresh:
-                # round 1: the base gains are exact
-                for r in top:
-                    exact[r["doc_id"]] = r["bound"]
-            elif todo:
+            live = [(d, fresh.get(d, b)) for d, b, _ in cand if d not in chosen]
+            todo = [d for d, g in sorted(live, key=lambda x: _key(x[1], x[0]), reverse=True) if d not in exact][:batch]
+            if len(todo) < batch and not exhausted:
+                extend()
+                continue
+            if rnd > 0 and todo:
                 for r in eng.gains(only=todo).collect():
                     exact[r["doc_id"]] = r["gain"]
                 for d in todo:
                     exact.setdefault(d, 0.0)
-            fresh.update(exact)
+                fresh.update(exact)
             best = max(exact.items(), key=lambda kv: _key(kv[1], kv[0]))
-            stale = [r for r in top if r["doc_id"] not in exact]
-            if not stale or _key(best[1], best[0]) >= _key(stale[0]["bound"], stale[0]["doc_id"]):
+            stale = [_key(g, d) for d, g in live if d not in exact]
+            if not exhausted:
+                stale.append(_key(cand[-1][1], cand[-1][0]))
+            if not stale or _key(best[1], best[0]) >= max(stale):
+                break
+            if rnd == 0:
                 break
         evaluated_per_round.append(len(exact))
-        eng.select(best[0], n_cells[best[0]])
-        fresh.pop(best[0], None)
+        eng.select(best[0], next(n for d, _, n in cand if d == best[0]))
+        chosen.add(best[0])
         picks.append(best)
     if stats is not None:
         stats["n_docs"] = n_docs
         stats["evaluated_per_round"] = evaluated_per_round
-        stats["share_evaluated"] = (sum(evaluated_per_round[1:]) / max(1, len(evaluated_per_round) - 1)) / max(1, n_docs)
+        stats["candidates_fetched"] = len(cand)
+        later = evaluated_per_round[1:]
+        stats["share_evaluated"] = (sum(later) / max(1, len(later))) / max(1, n_docs)
     return _to_frame(spark, picks)

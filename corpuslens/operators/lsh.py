@@ -2,16 +2,31 @@
 
 No basis matrix is stored: the sign of (row, term) is a hash of
 ``seed:row:term`` (md5, identical in Spark and in SQL engines), so the basis
-is deterministic and has an open vocabulary.  Signatures are computed inline
-on the doc-partitioned postings (``explode`` of the row numbers, then a
-per-(doc, row) sum): no join, no shuffle, map-side only.
+is deterministic and has an open vocabulary.
+
+Signatures: the signs of a term are computed once per distinct term and
+packed into 64-bit words (``basis_words``: vocabulary x rows md5s, one
+aggregation by term).  The words are joined to the postings (broadcast
+under a checked row bound, shuffle otherwise) and a numpy kernel inside
+``mapInPandas`` turns each Arrow batch into partial dot products per
+(doc, row).  Spark then sums the partials per (doc, row), so the result is
+exact whatever the partitioning; the data that crosses the shuffle is
+docs x rows, not postings x rows.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import DEFAULT_BROADCAST_ROWS, join_small
+
+WORD_BITS = 64
+
 
 def sign(seed: str, row: Column, term: Column) -> Column:
     """E1 entry: +1 if the last hex digit of md5(seed:row:term) is < '8', else -1."""
@@ -25,12 +40,48 @@ def projection_basis(terms: DataFrame, bands: int = 9, rows: int = 13, seed: str
     return t.select(F.col("row").cast("int").alias("row"), "term", sign(seed, F.col("row"), F.col("term")).alias("sign"))
 
 
-def lsh_signature(postings: DataFrame, bands: int = 9, rows: int = 13, seed: str = "corpuslens") -> DataFrame:
+def basis_words(terms: DataFrame, n_rows: int, seed: str = "corpuslens") -> DataFrame:
+    """``(term, words ARRAY<BIGINT>)``: bit ``r % 64`` of word ``r // 64`` is 1
+    where sign(r, term) = +1."""
+    x = terms.select("term").distinct().select("term", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("row"))
+    x = x.select("term", "row", (sign(seed, F.col("row"), F.col("term")) > 0).cast("bigint").alias("bit"))
+    n_words = math.ceil(n_rows / WORD_BITS)
+    aggs = [F.bit_or(F.when(F.floor(F.col("row") / WORD_BITS) == j,
+                            F.expr(f"shiftleft(bit, CAST(row - {j * WORD_BITS} AS INT))")).otherwise(F.lit(0).cast("bigint")))
+            .alias(f"w{j}") for j in range(n_words)]
+    return x.groupBy("term").agg(*aggs).select("term", F.array(*[F.col(f"w{j}") for j in range(n_words)]).alias("words"))
+
+
+def _partial_dots(n_rows: int):
+    """mapInPandas kernel: postings + sign words -> partial (doc, row, dot)."""
+    shifts = np.arange(WORD_BITS, dtype=np.uint64)
+
+    def run(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            words = np.stack(pdf["words"].to_numpy()).astype(np.int64).view(np.uint64)
+            bits = ((words[:, :, None] >> shifts[None, None, :]) & np.uint64(1)).reshape(len(pdf), -1)[:, :n_rows]
+            signed = (bits.astype(np.float64) * 2.0 - 1.0) * pdf["weight"].to_numpy(np.float64)[:, None]
+            docs, inv = np.unique(pdf["doc_id"].to_numpy(np.int64), return_inverse=True)
+            order = np.argsort(inv, kind="stable")
+            starts = np.searchsorted(inv[order], np.arange(len(docs)))
+            sums = np.add.reduceat(signed[order], starts, axis=0)
+            yield pd.DataFrame({"doc_id": np.repeat(docs, n_rows),
+                                "row": np.tile(np.arange(n_rows, dtype=np.int32), len(docs)),
+                                "dot": sums.reshape(-1)})
+    return run
+
+
+def lsh_signature(postings: DataFrame, bands: int = 9, rows: int = 13, seed: str = "corpuslens",
+                  broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """``(doc_id, row, bit)`` with bit = dot(basis_row, v) > 0."""
-    x = postings.select("doc_id", "term", "weight",
-                        F.explode(F.sequence(F.lit(0), F.lit(bands * rows - 1))).alias("row"))
-    dots = x.groupBy("doc_id", "row").agg(F.sum(sign(seed, F.col("row"), F.col("term")) * F.col("weight")).alias("dot"))
-    return dots.select("doc_id", F.col("row").cast("int").alias("row"), (F.col("dot") > 0).cast("int").alias("bit"))
+    n_rows = bands * rows
+    words = basis_words(postings.select("term"), n_rows, seed)
+    pw = join_small(postings.select("doc_id", "term", "weight"), words, "term", max_rows=broadcast_rows)
+    partial = pw.select("doc_id", "weight", "words").mapInPandas(_partial_dots(n_rows), "doc_id long, row int, dot double")
+    dots = partial.groupBy("doc_id", "row").agg(F.sum("dot").alias("dot"))
+    return dots.select("doc_id", "row", (F.col("dot") > 0).cast("int").alias("bit"))
 
 
 def lsh_buckets(postings: DataFrame, bands: int = 9, rows: int = 13, seed: str = "corpuslens") -> DataFrame:

@@ -102,9 +102,12 @@ def build_corpus(docs: DataFrame, min_wc: int = 6, min_df: int = 3,
                  num_partitions: int | None = None, cache: str = "checkpoint") -> Corpus:
     """C1-C7 in order; ``N`` counts the documents before pruning."""
     n_docs = docs.select("doc_id").count()
-    tf = materialize(term_frequency(tokenize(docs, stop_lang, num_partitions=num_partitions)), cache)
-    stats = materialize(word_stats(tf), cache)
-    kept = materialize(prune_vocabulary(stats, min_wc, min_df, max_df_sigma, sigma_center), cache)
+    # tf and the statistics feed only the next steps: cached; the postings
+    # feed every later operator: checkpointed (``cache``)
+    inner = "persist" if cache != "none" else "none"
+    tf = materialize(term_frequency(tokenize(docs, stop_lang, num_partitions=num_partitions)), inner)
+    stats = materialize(word_stats(tf), inner)
+    kept = materialize(prune_vocabulary(stats, min_wc, min_df, max_df_sigma, sigma_center), inner)
     vocab_size = kept.count()
     post = tfidf(tf, kept, n_docs, kept_rows=vocab_size)
     if normalize:

@@ -66,16 +66,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, mode: str = "checkpoint") -> DataFrame:
     """Cut lineage of a table that is reused many times.
 
-    ``checkpoint`` writes to the shared checkpoint folder, so the table
-    survives the loss of any executor; ``persist`` keeps it in executor
-    memory/disk and recomputes lost blocks from lineage; ``none`` is a no-op.
+    ``checkpoint`` writes to the shared checkpoint folder (the plan of every
+    later job starts from the written files, and the table survives the loss
+    of any executor), then keeps a columnar in-memory copy for the repeated
+    scans of iterative operators; a lost cached block is re-read from the
+    checkpoint, not recomputed.  ``persist`` only caches (lost blocks are
+    recomputed from lineage); ``none`` is a no-op.
     """
     if mode == "none":
         return df
     if mode == "persist":
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return df.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",

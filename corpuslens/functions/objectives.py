@@ -2,13 +2,21 @@
 
     f(S) = sum over cells of theta(cell) * C({ value(d, cell) : d in S })
 
-``cells(doc_id BIGINT, cell STRING, kind STRING, theta DOUBLE, value DOUBLE)``
-holds one row per (document, cell) where the document has a value.  The
-combiner ``C`` is named by ``kind``:
+``cells(doc_id BIGINT, cell STRING, kind STRING, theta DOUBLE, value DOUBLE,
+t INT)`` holds one row per (document, cell) where the document has a value.
+The combiner ``C`` is named by ``kind``:
 
-* ``max``          C = max(0, max value)            (coverage family, influence)
+* ``max``          C = max(0, max value)            (coverage family)
 * ``sqrt_count``   C = sqrt(#docs of S in the cell)  (LSH bucket diversity)
 * ``exactly_one``  C = 1 if exactly one doc of S     (graph cut, not monotone)
+* ``influence``    document influence (F6): the cell is a term, ``t`` the
+  document's period, ``value`` its novelty and ``theta`` the tail weight
+  T(term, t) = sum of spread(term, y) over y >= t.  The term's contribution
+  is sum_y spread(term, y) * max{value(s) : s in S, t(s) <= y}, evaluated
+  from the step function of S's values over time (at most |S| segments per
+  term), so periods are never exploded.
+
+``t`` is null for every kind but ``influence``.
 
 All builders are lazy DataFrame expressions; none collects rows.  The
 greedy engines in ``corpuslens.operators.greedy`` work on any such table,
@@ -17,20 +25,21 @@ and so does :func:`score`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import join_small, scalar
 
-MAX, SQRT_COUNT, EXACTLY_ONE = "max", "sqrt_count", "exactly_one"
-CELL_COLUMNS = ("doc_id", "cell", "kind", "theta", "value")
-MONOTONE_KINDS = (MAX, SQRT_COUNT)
+MAX, SQRT_COUNT, EXACTLY_ONE, INFLUENCE = "max", "sqrt_count", "exactly_one", "influence"
+CELL_COLUMNS = ("doc_id", "cell", "kind", "theta", "value", "t")
+MONOTONE_KINDS = (MAX, SQRT_COUNT, INFLUENCE)
 
 
-def _cells(df: DataFrame, cell: Column, kind: str, theta: Column, value: Column) -> DataFrame:
+def _cells(df: DataFrame, cell: Column, kind: str, theta: Column, value: Column, t: Column | None = None) -> DataFrame:
     return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), cell.cast("string").alias("cell"),
                      F.lit(kind).alias("kind"), theta.cast("double").alias("theta"),
-                     value.cast("double").alias("value"))
+                     value.cast("double").alias("value"),
+                     (t if t is not None else F.lit(None)).cast("int").alias("t"))
 
 
 # ---------------------------------------------------------------- coverage
@@ -128,22 +137,71 @@ def lsh_bucket_cells(buckets: DataFrame) -> DataFrame:
 
 # -------------------------------------------------------------- influence
 
-def influence_cells(novelty: DataFrame, dates: DataFrame, spread: DataFrame, strict: bool = False,
-                    keep_period: bool = False) -> DataFrame:
-    """F6 as cells: cell (term, y) for every period y >= t(d) (> if strict)
-    where the term has spread; theta = spread(term, y), value = novelty.
-
-    The equi-join is on ``term``; the period condition is a range filter on
-    top of it, so it stays a hash/sort-merge join, never a nested loop."""
-    nd = novelty.join(dates.select("doc_id", F.col("period").alias("t")), "doc_id")
-    sp = spread.select("term", F.col("period").alias("y"), F.col("weight").alias("theta"))
-    cond = (F.col("y") > F.col("t")) if strict else (F.col("y") >= F.col("t"))
-    joined = nd.join(sp, "term").filter(cond)
-    cells = _cells(joined, F.concat_ws("@", F.col("term"), F.col("y").cast("string")), MAX,
-                   F.col("theta"), F.col("weight"))
-    if keep_period:  # the period as an extra column, for F7
-        cells = cells.withColumn("y", F.regexp_extract(F.col("cell"), "@(-?[0-9]+)$", 1).cast("int"))
-    return cells
+def spread_tails(spread: DataFrame, strict: bool = False) -> DataFrame:
+    """``(term, period, tail)``: tail = sum of spread(term, y) over y >= period
+    (y > period if strict).  A window per term over its periods: a group
+    holds at most one row per period, never one per document."""
+    w = Window.partitionBy("term").orderBy(F.col("period").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    tail = F.sum("weight").over(w)
+    if strict:
+        tail = tail - F.col("weight")
+    return spread.select("term", "period", tail.alias("tail"))
+
+
+def influence_cells(novelty: DataFrame, dates: DataFrame, spread: DataFrame, strict: bool = False) -> DataFrame:
+    """F6 cells: one row per novelty posting, ``t`` = the doc's period and
+    ``theta`` = T(term, t).  A doc's own (term, period) always has spread
+    (the doc contributes to it), so the tail is an equi-join on
+    ``(term, period)``; nothing is exploded over periods."""
+    nd = novelty.join(dates.select("doc_id", "period"), "doc_id")
+    joined = nd.join(spread_tails(spread, strict), ["term", "period"])
+    return _cells(joined, F.col("term"), INFLUENCE, F.col("tail"), F.col("weight"), F.col("period"))
+
+
+def influence_segments(selected_cells: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
+    """Step function of the selected documents per term (and group):
+    ``(group..., cell, lo, t_lo, hi, t_hi, m)``: on periods [lo, hi) the max
+    novelty so far is ``m``; ``t_lo``/``t_hi`` are the tails at the bounds
+    (``hi`` null = open end, tail 0).  A leading segment (lo null, m = 0)
+    covers the periods before the first selected date.  Groups hold at most
+    |S| rows per term."""
+    g = list(group_cols or [])
+    per = (selected_cells.groupBy(*g, "cell", "t")
+           .agg(F.max("value").alias("v"), F.max("theta").alias("tail")))
+    w = Window.partitionBy(*g, "cell").orderBy("t")
+    seg = per.select(*g, "cell", F.col("t").alias("lo"), F.col("tail").alias("t_lo"),
+                     F.lead("t").over(w).alias("hi"), F.coalesce(F.lead("tail").over(w), F.lit(0.0)).alias("t_hi"),
+                     F.max("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("m"))
+    first = (per.groupBy(*g, "cell").agg(F.min_by("t", "t").alias("hi"), F.min_by("tail", "t").alias("t_hi"))
+             .select(*g, "cell", F.lit(None).cast("int").alias("lo"), F.lit(None).cast("double").alias("t_lo"),
+                     "hi", "t_hi", F.lit(0.0).alias("m")))
+    return seg.unionByName(first)
+
+
+def influence_contribution(t: Column, value: Column, theta: Column, lo: Column, t_lo: Column,
+                           hi: Column, t_hi: Column, m: Column) -> Column:
+    """Marginal value of a candidate's (term) row on one segment of the cover."""
+    active = hi.isNull() | (hi > t)
+    start_tail = F.when(lo.isNull() | (t >= lo), theta).otherwise(t_lo)
+    return F.when(active, F.greatest(F.lit(0.0), value - m) * (start_tail - t_hi)).otherwise(F.lit(0.0))
+
+
+def influence_doc_dates_scores(novelty: DataFrame, dates: DataFrame, spread: DataFrame, sets: DataFrame,
+                               set_col: str = "trial", strict: bool = False) -> DataFrame:
+    """``(set_col, score)``: F6 counted only on the periods on which a
+    selected document was published.  Per set: its docs' novelty rows joined
+    with its own periods (|S| x |S| per term), the running max per (period,
+    term), times the spread of that (period, term)."""
+    s = sets.select(set_col, "doc_id").distinct()
+    sel = novelty.join(F.broadcast(s), "doc_id").join(dates.select("doc_id", F.col("period").alias("ts")), "doc_id")
+    ys = s.join(dates.select("doc_id", F.col("period").alias("y")), "doc_id").select(set_col, "y").distinct()
+    cond = (F.col("ts") < F.col("y")) if strict else (F.col("ts") <= F.col("y"))
+    m = (sel.join(F.broadcast(ys), set_col).filter(cond)
+         .groupBy(set_col, "y", "term").agg(F.max("weight").alias("m")))
+    sp = spread.select(F.col("period").alias("y"), "term", F.col("weight").alias("theta"))
+    scores = m.join(sp, ["y", "term"]).groupBy(set_col).agg(F.sum(F.col("theta") * F.greatest(F.lit(0.0), F.col("m"))).alias("score"))
+    return s.select(set_col).distinct().join(scores, set_col, "left").select(
+        set_col, F.coalesce(F.col("score"), F.lit(0.0)).alias("score"))
 
 
 # ---------------------------------------------------------- combinations
@@ -156,7 +214,7 @@ def combine_cells(parts: dict[str, tuple[DataFrame, float]]) -> DataFrame:
         if lam < 0:
             raise ValueError("weights of a combination must be >= 0")
         c = cells.select("doc_id", F.concat(F.lit(name + "|"), F.col("cell")).alias("cell"), "kind",
-                         (F.col("theta") * F.lit(float(lam))).alias("theta"), "value")
+                         (F.col("theta") * F.lit(float(lam))).alias("theta"), "value", "t")
         out = c if out is None else out.unionByName(c)
     return out
 
@@ -171,12 +229,20 @@ def cell_value(kind: Column, theta: Column, vmax: Column, cnt: Column) -> Column
             .otherwise(F.lit(0.0)))
 
 
-def cell_scores(cells: DataFrame, selection: DataFrame) -> DataFrame:
-    """``(cell, kind, contrib)`` for the cells touched by ``selection(doc_id)``."""
-    sel = cells.join(selection.select("doc_id").distinct(), "doc_id", "left_semi")
-    per = sel.groupBy("cell", "kind").agg(F.max("theta").alias("theta"), F.max("value").alias("vmax"),
-                                          F.count(F.lit(1)).alias("cnt"))
-    return per.select("cell", "kind", cell_value(F.col("kind"), F.col("theta"), F.col("vmax"), F.col("cnt")).alias("contrib"))
+def cell_scores(cells: DataFrame, selection: DataFrame, set_col: str | None = None) -> DataFrame:
+    """``([set_col,] cell, kind, contrib)`` for the cells touched by the
+    selection(s) ``([set_col,] doc_id)``; influence cells are scored from
+    their step functions."""
+    g = [set_col] if set_col else []
+    sets = selection.select(*g, "doc_id").distinct()
+    sel = cells.join(F.broadcast(sets), "doc_id") if set_col else cells.join(sets, "doc_id", "left_semi")
+    std = sel.filter(F.col("kind") != INFLUENCE)
+    per = std.groupBy(*g, "cell", "kind").agg(F.max("theta").alias("theta"), F.max("value").alias("vmax"),
+                                              F.count(F.lit(1)).alias("cnt"))
+    out = per.select(*g, "cell", "kind", cell_value(F.col("kind"), F.col("theta"), F.col("vmax"), F.col("cnt")).alias("contrib"))
+    seg = influence_segments(sel.filter(F.col("kind") == INFLUENCE), g).filter(F.col("lo").isNotNull())
+    inf = seg.groupBy(*g, "cell").agg(F.sum(F.col("m") * (F.col("t_lo") - F.col("t_hi"))).alias("contrib"))
+    return out.unionByName(inf.select(*g, "cell", F.lit(INFLUENCE).alias("kind"), "contrib"))
 
 
 def score(cells: DataFrame, selection: DataFrame, objective: str = "objective") -> DataFrame:

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.objectives import cell_value
 
 
 def random_select(candidates: DataFrame, k: int, trials: int = 10, seed: str = "corpuslens") -> DataFrame:
@@ -27,14 +26,12 @@ def random_select(candidates: DataFrame, k: int, trials: int = 10, seed: str = "
 def score_sets(cells: DataFrame, sets: DataFrame, set_col: str = "trial") -> DataFrame:
     """``(set_col, score)`` for many selections at once.
 
-    ``sets(set_col, doc_id)`` is small (k rows per set) and joined by
-    broadcast; cells are grouped by (set, cell), then summed per set."""
+    ``sets(set_col, doc_id)`` is small (k rows per set, a bound set by the
+    parameters) and joined by broadcast; cells are grouped by (set, cell),
+    then summed per set."""
+    from ..functions.objectives import cell_scores
     s = sets.select(set_col, "doc_id").distinct()
-    joined = cells.join(F.broadcast(s), "doc_id")
-    per = joined.groupBy(set_col, "cell", "kind").agg(F.max("theta").alias("theta"), F.max("value").alias("vmax"),
-                                                      F.count(F.lit(1)).alias("cnt"))
-    scores = per.groupBy(set_col).agg(F.sum(cell_value(F.col("kind"), F.col("theta"), F.col("vmax"),
-                                                       F.col("cnt"))).alias("score"))
+    scores = cell_scores(cells, s, set_col).groupBy(set_col).agg(F.sum("contrib").alias("score"))
     # sets that touch no cell score 0
     return s.select(set_col).distinct().join(scores, set_col, "left").select(
         set_col, F.coalesce(F.col("score"), F.lit(0.0)).alias("score"))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.objectives import EXACTLY_ONE, MAX, SQRT_COUNT
+from ..functions.objectives import EXACTLY_ONE, INFLUENCE, MAX, SQRT_COUNT, influence_contribution, influence_segments
 from ..session import DEFAULT_BROADCAST_ROWS, join_small, materialize
 
 SELECTION_SCHEMA = T.StructType([
@@ -52,7 +52,9 @@ def prepare_cells(cells: DataFrame, cache: str = "checkpoint") -> DataFrame:
     sort gives every cached column batch a narrow doc_id range, so the
     ``doc_id IN (...)`` scans of the cover and of lazy re-evaluation skip
     almost all batches by their min/max statistics."""
-    return materialize(cells.select("doc_id", "cell", "kind", "theta", "value")
+    if "t" not in cells.columns:
+        cells = cells.withColumn("t", F.lit(None).cast("int"))
+    return materialize(cells.select("doc_id", "cell", "kind", "theta", "value", "t")
                        .repartition("doc_id").sortWithinPartitions("doc_id"), cache)
 
 
@@ -62,14 +64,14 @@ class _Engine:
         self.broadcast_rows = broadcast_rows
         self.selected: list[int] = []
         self.cover_bound = 0  # sum of the selected docs' cell counts
+        kinds = {r[0] for r in cells.select("kind").distinct().collect()}
+        self.has_std = bool(kinds - {INFLUENCE})
+        self.has_inf = INFLUENCE in kinds
 
-    def gains(self, only: list[int] | None = None) -> DataFrame:
-        """``(doc_id, gain, n_cells)`` for unselected docs (or just ``only``)."""
-        c = self.cells
-        if only is not None:
-            c = c.filter(F.col("doc_id").isin(only))
+    def _standard(self, c: DataFrame) -> DataFrame:
+        if self.has_inf:
+            c = c.filter(F.col("kind") != INFLUENCE)
         if self.selected:
-            c = c.filter(~F.col("doc_id").isin(self.selected))
             cover = (self.cells.filter(F.col("doc_id").isin(self.selected))
                      .groupBy("cell").agg(F.max("value").alias("cmax"), F.count(F.lit(1)).alias("ccnt")))
             c = join_small(c, cover, "cell", "left", self.broadcast_rows, known_rows=self.cover_bound)
@@ -78,6 +80,34 @@ class _Engine:
             contrib = contribution(F.col("kind"), F.col("theta"), F.col("value"), F.lit(None), F.lit(None))
         return c.groupBy("doc_id").agg(F.sum(contrib).alias("gain"), F.count(F.lit(1)).alias("n_cells"))
 
+    def _influence(self, c: DataFrame) -> DataFrame:
+        c = c.filter(F.col("kind") == INFLUENCE)
+        n = F.count(F.lit(1)).alias("n_cells")
+        if not self.selected:
+            return c.groupBy("doc_id").agg(F.sum(F.col("value") * F.col("theta")).alias("gain"), n)
+        sel = self.cells.filter(F.col("doc_id").isin(self.selected) & (F.col("kind") == INFLUENCE))
+        seg = influence_segments(sel)
+        # one row per (candidate cell, segment of its term); a term outside the
+        # cover keeps one row with null segment -> value * tail
+        j = join_small(c, seg, "cell", "left", self.broadcast_rows, known_rows=2 * self.cover_bound)
+        contrib = influence_contribution(F.col("t"), F.col("value"), F.col("theta"), F.col("lo"), F.col("t_lo"),
+                                         F.col("hi"), F.coalesce(F.col("t_hi"), F.lit(0.0)),
+                                         F.coalesce(F.col("m"), F.lit(0.0)))
+        return j.groupBy("doc_id").agg(F.sum(contrib).alias("gain"), F.countDistinct("cell").alias("n_cells"))
+
+    def gains(self, only: list[int] | None = None) -> DataFrame:
+        """``(doc_id, gain, n_cells)`` for unselected docs (or just ``only``)."""
+        c = self.cells
+        if only is not None:
+            c = c.filter(F.col("doc_id").isin(only))
+        if self.selected:
+            c = c.filter(~F.col("doc_id").isin(self.selected))
+        parts = ([self._standard(c)] if self.has_std else []) + ([self._influence(c)] if self.has_inf else [])
+        if len(parts) == 1:
+            return parts[0]
+        return parts[0].unionByName(parts[1]).groupBy("doc_id").agg(
+            F.sum("gain").alias("gain"), F.sum("n_cells").alias("n_cells"))
+
     def select(self, doc_id: int, n_cells: int):
         self.selected.append(int(doc_id))
         self.cover_bound += int(n_cells)

@@ -560,10 +560,10 @@ def lsh_cells(spark, sf_dir):
     return lsh_bucket_cells(_lsh_state(spark, sf_dir)["buckets"])
 
 
-def infl_cells(spark, sf_dir, strict=False, keep_period=False):
+def infl_cells(spark, sf_dir, strict=False):
     from ..functions.objectives import influence_cells
     st = _lsh_state(spark, sf_dir)
-    return influence_cells(st["nov"], st["dates"], st["spread"], strict=strict, keep_period=keep_period)
+    return influence_cells(st["nov"], st["dates"], st["spread"], strict=strict)
 
 
 INFLUENCE = [*NOVELTY, Q.SPREAD, Q.influence_cells()]
@@ -609,21 +609,9 @@ def q_document_influence(spark, sf_dir):
     SELECT trial, cell, max(theta) AS theta, max(value) AS vmax FROM rsc GROUP BY trial, cell) x GROUP BY trial) s
   ON t.trial = s.trial""")
 def q_influence_doc_dates(spark, sf_dir):
-    from ..operators.baseline import score_sets
+    from ..functions.objectives import influence_doc_dates_scores
     st = _lsh_state(spark, sf_dir)
-    trials = doc_trials(spark, sf_dir)
-    periods = trials.join(st["dates"], "doc_id").select("trial", F.col("period").alias("y")).distinct()
-    cells = infl_cells(spark, sf_dir, keep_period=True)
-    # restrict each trial's cells to the periods its own documents were published in
-    per_trial = (cells.join(F.broadcast(trials.select("trial", "doc_id")), "doc_id")
-                 .join(F.broadcast(periods), ["trial", "y"], "left_semi"))
-    from ..functions.objectives import cell_value
-    scores = (per_trial.groupBy("trial", "cell", "kind").agg(F.max("theta").alias("theta"), F.max("value").alias("vmax"),
-                                                            F.count(F.lit(1)).alias("cnt"))
-              .groupBy("trial").agg(F.sum(cell_value(F.col("kind"), F.col("theta"), F.col("vmax"), F.col("cnt"))).alias("score")))
-    out = trials.select("trial").distinct().join(scores, "trial", "left").select(
-        "trial", F.coalesce(F.col("score"), F.lit(0.0)).alias("score"))
-    return rounded(out)
+    return rounded(influence_doc_dates_scores(st["nov"], st["dates"], st["spread"], doc_trials(spark, sf_dir)))
 
 
 @register("greedi_influence", Q.greedi_query(INFLUENCE, GREEDY_K, GREEDI_P, "icells"))

@@ -103,12 +103,14 @@ def bucket_members(buckets: DataFrame) -> DataFrame:
     return buckets.join(sizes, ["band", "bucket"])
 
 
-def closest_date_neighbor(buckets: DataFrame, dates: DataFrame) -> DataFrame:
+def closest_date_neighbor(buckets: DataFrame, dates: DataFrame, partitions: int | None = None) -> DataFrame:
     """``(band, bucket, doc_id, neighbor_id)``: predecessor in (period, doc_id)
-    order inside the bucket (null for the first)."""
-    b = buckets.join(dates, "doc_id")
-    w = Window.partitionBy("band", "bucket").orderBy("period", "doc_id")
-    return b.select("band", "bucket", "doc_id", F.lag("doc_id").over(w).alias("neighbor_id"))
+    order inside the bucket (null for the first).  Range-partitioned, so a
+    hot bucket is spread over many tasks (see ``ordered_predecessor``)."""
+    from .ordered import ordered_predecessor
+    b = buckets.join(dates, "doc_id").select("band", "bucket", "period", "doc_id")
+    out = ordered_predecessor(b, ["band", "bucket"], ["period", "doc_id"], "doc_id", "neighbor_id", partitions)
+    return out.select("band", "bucket", "doc_id", "neighbor_id")
 
 
 def earliest_mates(buckets: DataFrame, dates: DataFrame, strict_order: bool = True) -> DataFrame:

@@ -19,6 +19,7 @@ best ``batch`` documents per step; it returns exactly the same picks.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,16 +47,26 @@ def contribution(kind: Column, theta: Column, value: Column, cmax: Column, ccnt:
 
 
 def prepare_cells(cells: DataFrame, cache: str = "checkpoint") -> DataFrame:
-    """Hash-partition cells by doc_id, sort each partition by doc_id and
-    materialise them once.  All cells of a doc sit in one partition (the
-    per-round sum per doc is a partial aggregate of one row per doc), and the
-    sort gives every cached column batch a narrow doc_id range, so the
+    """Materialise the cells once for the k rounds.
+
+    The cells are checkpointed as they come (lineage cut, survives executor
+    loss), then hash-partitioned by doc_id, sorted by doc_id inside each
+    partition and cached.  The cache keeps ``HashPartitioning(doc_id)``, so
+    every round's per-document sum is partition-local (no exchange), and the
+    sort gives each cached column batch a narrow doc_id range, so the
     ``doc_id IN (...)`` scans of the cover and of lazy re-evaluation skip
-    almost all batches by their min/max statistics."""
+    almost all batches by their min/max statistics.  A lost cached block is
+    rebuilt from the checkpoint files."""
     if "t" not in cells.columns:
         cells = cells.withColumn("t", F.lit(None).cast("int"))
-    return materialize(cells.select("doc_id", "cell", "kind", "theta", "value", "t")
-                       .repartition("doc_id").sortWithinPartitions("doc_id"), cache)
+    base = materialize(cells.select("doc_id", "cell", "kind", "theta", "value", "t"), cache)
+    if cache == "none":
+        return base
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = base.repartition(n, "doc_id").sortWithinPartitions("doc_id").persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    base.unpersist()
+    return out
 
 
 class _Engine:

@@ -115,7 +115,7 @@ def date_from_id(id_col: str, divisor: int = 10000, modulus: int = 100) -> Colum
 
 def aan_key(name: Column) -> Column:
     """B6 (AAN): ``str(code(name[0]) % 100) || name[1:3] || name[4:8]`` as int."""
-    return F.concat((F.ascii(name) % 100).cast("string"), F.substring(name, 2, 2), F.substring(name, 5, 4)).cast("bigint")
+    return F.concat((F.ascii(name) % 100).cast("string"), F.substring(name, 2, 2), F.substring(name, 5, 4)).try_cast("bigint")
 
 
 NIPS_PREFIX = "file is ../nipsdata/txt/"
@@ -124,7 +124,7 @@ NIPS_PREFIX = "file is ../nipsdata/txt/"
 def nips_key(line: Column) -> Column:
     """B6 (NIPS): after the prefix, ``int(s[4:6]) * 10000 + int(s[7:11])``."""
     s = F.substring(line, len(NIPS_PREFIX) + 1, 1 << 20)
-    return (F.substring(s, 5, 2).cast("bigint") * 10000 + F.substring(s, 8, 4).cast("bigint"))
+    return (F.substring(s, 5, 2).try_cast("bigint") * 10000 + F.substring(s, 8, 4).try_cast("bigint"))
 
 
 def partition_of(doc_id: Column, partitions: int) -> Column:

@@ -75,7 +75,7 @@ def read_text_dir(spark: SparkSession, path: str) -> DataFrame:
     name = F.regexp_extract(F.col("file_path"), r"([^/]+)$", 1)
     folder_id = F.regexp_extract(F.col("file_path"), r"doc_id=(-?[0-9]+)/", 1)
     file_id = F.regexp_extract(name, r"^(-?[0-9]+)", 1)
-    doc_id = F.when(folder_id != "", folder_id).when(file_id != "", file_id).cast("bigint")
+    doc_id = F.when(folder_id != "", folder_id).when(file_id != "", file_id).try_cast("bigint")
     return df.select(name.alias("name"), doc_id.alias("doc_id"), F.regexp_replace("text", r"\n$", "").alias("text"))
 
 
@@ -95,16 +95,18 @@ def _int_fields(path_df: DataFrame) -> DataFrame:
 def read_edge_list(spark: SparkSession, path: str) -> DataFrame:
     """A3: lines ``node source`` (``#`` comments skipped) -> ``(doc_id, src_id)``."""
     f = _int_fields(spark.read.text(path))
-    return f.select(F.col("f")[0].cast("bigint").alias("doc_id"), F.col("f")[1].cast("bigint").alias("src_id"))
+    out = f.select(F.col("f")[0].try_cast("bigint").alias("doc_id"), F.col("f")[1].try_cast("bigint").alias("src_id"))
+    return out.filter(F.col("doc_id").isNotNull() & F.col("src_id").isNotNull())
 
 
 def read_revision_stats(spark: SparkSession, path: str, with_volume: bool = True) -> DataFrame:
     """A4: lines ``id count [volume]`` -> ``(doc_id, rev_count, rev_volume)``;
     the volume is null when absent or not asked for."""
     f = _int_fields(spark.read.text(path))
-    vol = F.when(F.size("f") > 2, F.col("f")[2].cast("bigint")) if with_volume else F.lit(None).cast("bigint")
-    return f.select(F.col("f")[0].cast("bigint").alias("doc_id"), F.col("f")[1].cast("bigint").alias("rev_count"),
-                    vol.alias("rev_volume"))
+    vol = F.when(F.size("f") > 2, F.col("f")[2].try_cast("bigint")) if with_volume else F.lit(None).cast("bigint")
+    out = f.select(F.col("f")[0].try_cast("bigint").alias("doc_id"), F.col("f")[1].try_cast("bigint").alias("rev_count"),
+                   vol.alias("rev_volume"))
+    return out.filter(F.col("doc_id").isNotNull() & F.col("rev_count").isNotNull())
 
 
 def write_lines(df: DataFrame, cols: list[str], path: str, sep: str = " ") -> None:
@@ -142,10 +144,10 @@ def read_dense_matrix(spark: SparkSession, matrix_path: str, names_path: str | N
     float it was written from."""
     m = _numbered_lines(spark, matrix_path).select(
         "part", "line_no",
-        F.split(F.trim("line"), r"\s+").cast(f"array<{value_type}>").cast("array<double>").alias("vec"))
+        F.split(F.trim("line"), r"\s+").try_cast(f"array<{value_type}>").cast("array<double>").alias("vec"))
     if names_path is None:
         return dense_to_postings(m.withColumnRenamed("line_no", "doc_id"), "doc_id", "vec", eps)
-    names = _numbered_lines(spark, names_path).select("part", "line_no", F.trim("line").cast("bigint").alias("doc_id"))
+    names = _numbered_lines(spark, names_path).select("part", "line_no", F.trim("line").try_cast("bigint").alias("doc_id"))
     return dense_to_postings(m.join(names, ["part", "line_no"]), "doc_id", "vec", eps)
 
 
@@ -211,7 +213,7 @@ def write_selection(selection: DataFrame, path: str, as_text: bool = False) -> N
 def read_selection(spark: SparkSession, path: str, as_text: bool = False) -> DataFrame:
     """A10: back as ``(doc_id)`` (text) or the full selection (parquet)."""
     if as_text:
-        return spark.read.text(path).select(F.trim("value").cast("bigint").alias("doc_id")).filter(F.col("doc_id").isNotNull())
+        return spark.read.text(path).select(F.trim("value").try_cast("bigint").alias("doc_id")).filter(F.col("doc_id").isNotNull())
     return spark.read.parquet(path)
 
 
@@ -221,7 +223,7 @@ def read_citations_aan(spark: SparkSession, path: str) -> DataFrame:
     """A7 (AAN): TSV ``cites <tab> paper_id``; short or empty rows skipped."""
     raw = spark.read.text(path).select(F.split(F.col("value"), "\t").alias("f"))
     ok = raw.filter((F.size("f") >= 2) & (F.trim(F.col("f")[1]) != ""))
-    return ok.select(F.trim(F.col("f")[1]).alias("paper_id"), F.trim(F.col("f")[0]).cast("int").alias("cites"))
+    return ok.select(F.trim(F.col("f")[1]).alias("paper_id"), F.trim(F.col("f")[0]).try_cast("int").alias("cites"))
 
 
 def read_citations_nips(spark: SparkSession, ids_path: str, counts_path: str, count_tokens: bool = False) -> DataFrame:
@@ -229,7 +231,7 @@ def read_citations_nips(spark: SparkSession, ids_path: str, counts_path: str, co
     count is the second integer of its line, or the number of tokens."""
     ids = _numbered_lines(spark, ids_path).select("part", "line_no", F.trim("line").alias("paper_line"))
     cnt = _numbered_lines(spark, counts_path).select("part", "line_no", F.split(F.trim("line"), r"\s+").alias("f"))
-    c = F.size("f") if count_tokens else F.col("f")[1].cast("int")
+    c = F.size("f") if count_tokens else F.col("f")[1].try_cast("int")
     return ids.join(cnt, ["part", "line_no"]).select("paper_line", c.cast("int").alias("cites"))
 
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import join_small
 from .lsh import earliest_mates
 
 DOT_DIGITS = 9
@@ -38,12 +39,17 @@ def past_neighbor_lsh(postings: DataFrame, buckets: DataFrame, dates: DataFrame)
     precede the doc in (period, id) order, the one with the largest dot
     product; with no shared term, the lowest-id earlier mate (dot 0).
     Docs with no earlier mate in any band are absent."""
-    pb = (postings.join(dates, "doc_id").join(buckets, "doc_id")
+    # a bucket with one member has no mate: drop those memberships first
+    sizes = buckets.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    shared = join_small(buckets, sizes.select("band", "bucket"), ["band", "bucket"], "left_semi")
+    pb = (postings.join(dates, "doc_id").join(shared, "doc_id")
           .select("band", "bucket", "term", "doc_id", "weight", "period"))
     a = pb.alias("a")
     b = pb.alias("b")
-    pairs = (a.join(b, [F.col("a.band") == F.col("b.band"), F.col("a.bucket") == F.col("b.bucket"),
-                        F.col("a.term") == F.col("b.term")])
+    # keys (band, bucket, term) are at most a bucket's docs sharing a term:
+    # hash join without sorting either side
+    pairs = (a.join(b.hint("shuffle_hash"), [F.col("a.band") == F.col("b.band"), F.col("a.bucket") == F.col("b.bucket"),
+                                              F.col("a.term") == F.col("b.term")])
              .filter(_earlier(F.col("a.period"), F.col("a.doc_id"), F.col("b.period"), F.col("b.doc_id"))))
     # one dot per (doc, mate, band); all bands give the same value, max folds them
     dots = (pairs.groupBy(F.col("a.doc_id").alias("doc_id"), F.col("b.doc_id").alias("neighbor_id"), F.col("a.band").alias("band"))

@@ -75,6 +75,7 @@ class _Engine:
         self.broadcast_rows = broadcast_rows
         self.selected: list[int] = []
         self.cover_bound = 0  # sum of the selected docs' cell counts
+        self._covers: dict[str, DataFrame] = {}  # this round's covers, cached on first use
         kinds = {r[0] for r in cells.select("kind").distinct().collect()}
         self.has_std = bool(kinds - {INFLUENCE})
         self.has_inf = INFLUENCE in kinds
@@ -83,8 +84,8 @@ class _Engine:
         if self.has_inf:
             c = c.filter(F.col("kind") != INFLUENCE)
         if self.selected:
-            cover = (self.cells.filter(F.col("doc_id").isin(self.selected))
-                     .groupBy("cell").agg(F.max("value").alias("cmax"), F.count(F.lit(1)).alias("ccnt")))
+            cover = self._cover("std", lambda: self.cells.filter(F.col("doc_id").isin(self.selected))
+                                .groupBy("cell").agg(F.max("value").alias("cmax"), F.count(F.lit(1)).alias("ccnt")))
             c = join_small(c, cover, "cell", "left", self.broadcast_rows, known_rows=self.cover_bound)
             contrib = contribution(F.col("kind"), F.col("theta"), F.col("value"), F.col("cmax"), F.col("ccnt"))
         else:
@@ -96,8 +97,8 @@ class _Engine:
         n = F.count(F.lit(1)).alias("n_cells")
         if not self.selected:
             return c.groupBy("doc_id").agg(F.sum(F.col("value") * F.col("theta")).alias("gain"), n)
-        sel = self.cells.filter(F.col("doc_id").isin(self.selected) & (F.col("kind") == INFLUENCE))
-        seg = influence_segments(sel)
+        seg = self._cover("inf", lambda: influence_segments(
+            self.cells.filter(F.col("doc_id").isin(self.selected) & (F.col("kind") == INFLUENCE))))
         # one row per (candidate cell, segment of its term); a term outside the
         # cover keeps one row with null segment -> value * tail
         j = join_small(c, seg, "cell", "left", self.broadcast_rows, known_rows=2 * self.cover_bound)
@@ -119,9 +120,19 @@ class _Engine:
         return parts[0].unionByName(parts[1]).groupBy("doc_id").agg(
             F.sum("gain").alias("gain"), F.sum("n_cells").alias("n_cells"))
 
+    def _cover(self, name: str, build) -> DataFrame:
+        """The cover of the current selection; cached (filled by the first job
+        that uses it) so re-evaluation steps of one round reuse it."""
+        if name not in self._covers:
+            self._covers[name] = build().persist(StorageLevel.MEMORY_AND_DISK)
+        return self._covers[name]
+
     def select(self, doc_id: int, n_cells: int):
         self.selected.append(int(doc_id))
         self.cover_bound += int(n_cells)
+        for df in self._covers.values():
+            df.unpersist()
+        self._covers = {}
 
 
 def _order(gain: str = "gain"):
@@ -186,7 +197,7 @@ def lazy_greedy_select(cells: DataFrame, k: int, batch: int = 16, prepared: bool
     eng = _Engine(c, broadcast_rows)
     base = materialize(eng.gains().withColumnRenamed("gain", "base"), cache)
     n_docs = base.count()
-    fetch = fetch or max(4 * batch, 2 * batch * k)
+    fetch = fetch or max(16 * batch, 2 * batch * k)
     cand: list[tuple[int, float, int]] = []        # (doc_id, base, n_cells) in base order
     exhausted = False
 
@@ -203,12 +214,13 @@ def lazy_greedy_select(cells: DataFrame, k: int, batch: int = 16, prepared: bool
     picks, evaluated_per_round = [], []
     for rnd in range(min(k, n_docs)):
         exact: dict[int, float] = {}
+        step = batch
         if rnd == 0:
             exact[cand[0][0]] = cand[0][1]      # initial gains are exact
         while True:
             live = [(d, fresh.get(d, b)) for d, b, _ in cand if d not in chosen]
-            todo = [d for d, g in sorted(live, key=lambda x: _key(x[1], x[0]), reverse=True) if d not in exact][:batch]
-            if len(todo) < batch and not exhausted:
+            todo = [d for d, g in sorted(live, key=lambda x: _key(x[1], x[0]), reverse=True) if d not in exact][:step]
+            if len(todo) < step and not exhausted:
                 extend()
                 continue
             if rnd > 0 and todo:
@@ -225,6 +237,7 @@ def lazy_greedy_select(cells: DataFrame, k: int, batch: int = 16, prepared: bool
                 break
             if rnd == 0:
                 break
+            step *= 4                            # geometric growth: O(log) jobs per round
         evaluated_per_round.append(len(exact))
         eng.select(best[0], next(n for d, _, n in cand if d == best[0]))
         chosen.add(best[0])

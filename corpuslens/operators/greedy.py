@@ -127,6 +127,11 @@ class _Engine:
             self._covers[name] = build().persist(StorageLevel.MEMORY_AND_DISK)
         return self._covers[name]
 
+    def release(self):
+        for df in self._covers.values():
+            df.unpersist()
+        self._covers = {}
+
     def select(self, doc_id: int, n_cells: int):
         self.selected.append(int(doc_id))
         self.cover_bound += int(n_cells)
@@ -167,6 +172,9 @@ def greedy_select(cells: DataFrame, k: int, prepared: bool = False, cache: str =
         b = best[0]
         eng.select(b["doc_id"], b["n_cells"])
         picks.append((b["doc_id"], b["gain"]))
+    eng.release()
+    if not prepared:
+        c.unpersist()
     return _to_frame(cells.sparkSession, picks)
 
 
@@ -242,6 +250,10 @@ def lazy_greedy_select(cells: DataFrame, k: int, batch: int = 16, prepared: bool
         eng.select(best[0], next(n for d, _, n in cand if d == best[0]))
         chosen.add(best[0])
         picks.append(best)
+    eng.release()
+    base.unpersist()
+    if not prepared:
+        c.unpersist()
     if stats is not None:
         stats["n_docs"] = n_docs
         stats["evaluated_per_round"] = evaluated_per_round

@@ -942,3 +942,14 @@ def q_choose_objective(spark, sf_dir):
     c = ctx(spark, sf_dir).corpus
     obj = choose_objective(c.postings, c.vocab_size, counts=c.kept, buckets=_lsh_state(spark, sf_dir)["buckets"])
     return rounded(summarize(obj, GREEDY_K, method="greedi", partitions=GREEDI_P))
+
+
+# ------------------------------------------------ extension surface
+
+@register("custom_objective", Q.greedy_query([*Q.CORPUS, Q.F1_CELLS], GREEDY_K).replace(
+    "SELECT CAST(r AS INTEGER) AS rank", "SELECT 'custom' AS objective, CAST(r AS INTEGER) AS rank"))
+def q_custom_objective(spark, sf_dir):
+    """A user-defined objective is any cells table; here word coverage wrapped
+    as a custom objective and run through ``summarize``."""
+    from .summarize import CellsObjective, summarize
+    return rounded(summarize(CellsObjective("custom", f1_cells(spark, sf_dir)), GREEDY_K, method="lazy"))

@@ -46,10 +46,11 @@ def past_neighbor_lsh(postings: DataFrame, buckets: DataFrame, dates: DataFrame)
           .select("band", "bucket", "term", "doc_id", "weight", "period"))
     a = pb.alias("a")
     b = pb.alias("b")
-    # keys (band, bucket, term) are at most a bucket's docs sharing a term:
-    # hash join without sorting either side
-    pairs = (a.join(b.hint("shuffle_hash"), [F.col("a.band") == F.col("b.band"), F.col("a.bucket") == F.col("b.bucket"),
-                                              F.col("a.term") == F.col("b.term")])
+    # no join hint: AQE turns this into a shuffled hash join only when every
+    # partition is small (spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold)
+    # and keeps the spillable sort-merge join for a hot bucket
+    pairs = (a.join(b, [F.col("a.band") == F.col("b.band"), F.col("a.bucket") == F.col("b.bucket"),
+                        F.col("a.term") == F.col("b.term")])
              .filter(_earlier(F.col("a.period"), F.col("a.doc_id"), F.col("b.period"), F.col("b.doc_id"))))
     # one dot per (doc, mate, band); all bands give the same value, max folds them
     dots = (pairs.groupBy(F.col("a.doc_id").alias("doc_id"), F.col("b.doc_id").alias("neighbor_id"), F.col("a.band").alias("band"))

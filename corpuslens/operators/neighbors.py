@@ -7,6 +7,9 @@ that share nothing are never formed.  The "no positive neighbour" fallback
 (lowest earlier id, dot 0) comes from aggregates, not from pairs
 (:func:`corpuslens.operators.lsh.earliest_mates`).
 
+A term (or bucket-term) key with more than ``max_group_rows`` postings is
+salted (``session.salted_join``), so no task holds a hot key's whole group.
+
 Tie rule for the best neighbour: highest ``round(dot, 9)``, then lowest id.
 """
 
@@ -15,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import join_small
+from ..session import DEFAULT_MAX_GROUP_ROWS, join_small, salted_join
 from .lsh import earliest_mates
 
 DOT_DIGITS = 9
@@ -34,7 +37,8 @@ def _best(cands: DataFrame) -> DataFrame:
             .select("doc_id", F.col("b.neighbor_id").alias("neighbor_id"), F.col("b.dot").alias("dot")))
 
 
-def past_neighbor_lsh(postings: DataFrame, buckets: DataFrame, dates: DataFrame) -> DataFrame:
+def past_neighbor_lsh(postings: DataFrame, buckets: DataFrame, dates: DataFrame,
+                      max_group_rows: int = DEFAULT_MAX_GROUP_ROWS) -> DataFrame:
     """E5: ``(doc_id, neighbor_id, dot)``: among bucket-mates (any band) that
     precede the doc in (period, id) order, the one with the largest dot
     product; with no shared term, the lowest-id earlier mate (dot 0).
@@ -44,33 +48,31 @@ def past_neighbor_lsh(postings: DataFrame, buckets: DataFrame, dates: DataFrame)
     shared = join_small(buckets, sizes.select("band", "bucket"), ["band", "bucket"], "left_semi")
     pb = (postings.join(dates, "doc_id").join(shared, "doc_id")
           .select("band", "bucket", "term", "doc_id", "weight", "period"))
-    a = pb.alias("a")
-    b = pb.alias("b")
-    # no join hint: AQE turns this into a shuffled hash join only when every
-    # partition is small (spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold)
-    # and keeps the spillable sort-merge join for a hot bucket
-    pairs = (a.join(b, [F.col("a.band") == F.col("b.band"), F.col("a.bucket") == F.col("b.bucket"),
-                        F.col("a.term") == F.col("b.term")])
-             .filter(_earlier(F.col("a.period"), F.col("a.doc_id"), F.col("b.period"), F.col("b.doc_id"))))
+    a = pb.select("band", "bucket", "term", "doc_id", F.col("weight").alias("wa"), F.col("period").alias("pa"))
+    b = pb.select("band", "bucket", "term", F.col("doc_id").alias("neighbor_id"), F.col("weight").alias("wb"),
+                  F.col("period").alias("pb"))
+    # hot (band, bucket, term) keys are salted; otherwise AQE picks the join
+    # (shuffled hash only when every partition is small, else sort-merge)
+    pairs = (salted_join(a, b, ["band", "bucket", "term"], max_group_rows=max_group_rows)
+             .filter(_earlier(F.col("pa"), F.col("doc_id"), F.col("pb"), F.col("neighbor_id"))))
     # one dot per (doc, mate, band); all bands give the same value, max folds them
-    dots = (pairs.groupBy(F.col("a.doc_id").alias("doc_id"), F.col("b.doc_id").alias("neighbor_id"), F.col("a.band").alias("band"))
-            .agg(F.sum(F.col("a.weight") * F.col("b.weight")).alias("dot"))
+    dots = (pairs.groupBy("doc_id", "neighbor_id", "band").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
             .select("doc_id", "neighbor_id", "dot"))
     fallback = (earliest_mates(buckets, dates).groupBy("doc_id").agg(F.min("min_mate").alias("neighbor_id"))
                 .filter(F.col("neighbor_id").isNotNull()).select("doc_id", "neighbor_id", F.lit(0.0).alias("dot")))
     return _best(dots.unionByName(fallback))
 
 
-def past_neighbor_exact(postings: DataFrame, dates: DataFrame) -> DataFrame:
+def past_neighbor_exact(postings: DataFrame, dates: DataFrame,
+                        max_group_rows: int = DEFAULT_MAX_GROUP_ROWS) -> DataFrame:
     """E5 with every document in one bucket (inverted index over the
     whole corpus).  Only the first doc in (period, id) order has none."""
     pd_ = postings.join(dates, "doc_id").select("term", "doc_id", "weight", "period")
-    a = pd_.alias("a")
-    b = pd_.alias("b")
-    pairs = (a.join(b, F.col("a.term") == F.col("b.term"))
-             .filter(_earlier(F.col("a.period"), F.col("a.doc_id"), F.col("b.period"), F.col("b.doc_id"))))
-    dots = (pairs.groupBy(F.col("a.doc_id").alias("doc_id"), F.col("b.doc_id").alias("neighbor_id"))
-            .agg(F.sum(F.col("a.weight") * F.col("b.weight")).alias("dot")))
+    a = pd_.select("term", "doc_id", F.col("weight").alias("wa"), F.col("period").alias("pa"))
+    b = pd_.select("term", F.col("doc_id").alias("neighbor_id"), F.col("weight").alias("wb"), F.col("period").alias("pb"))
+    pairs = (salted_join(a, b, ["term"], max_group_rows=max_group_rows)
+             .filter(_earlier(F.col("pa"), F.col("doc_id"), F.col("pb"), F.col("neighbor_id"))))
+    dots = pairs.groupBy("doc_id", "neighbor_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
     # lowest id among all earlier documents: one global bucket
     one = dates.join(postings.select("doc_id").distinct(), "doc_id").select(
         F.lit(0).alias("band"), F.lit(0).cast("bigint").alias("bucket"), "doc_id")
@@ -79,12 +81,13 @@ def past_neighbor_exact(postings: DataFrame, dates: DataFrame) -> DataFrame:
     return _best(dots.unionByName(fallback))
 
 
-def cosine_similarity(postings: DataFrame, min_similarity: float | None = None) -> DataFrame:
+def cosine_similarity(postings: DataFrame, min_similarity: float | None = None,
+                      max_group_rows: int = DEFAULT_MAX_GROUP_ROWS) -> DataFrame:
     """``(doc_a, doc_b, dot, distance)`` for pairs ``doc_a < doc_b`` with a
     non-zero dot product of their (normalised) vectors; distance = 1 - dot."""
     a = postings.select("term", F.col("doc_id").alias("doc_a"), F.col("weight").alias("wa"))
     b = postings.select("term", F.col("doc_id").alias("doc_b"), F.col("weight").alias("wb"))
-    dots = (a.join(b, "term").filter(F.col("doc_a") < F.col("doc_b"))
+    dots = (salted_join(a, b, ["term"], max_group_rows=max_group_rows).filter(F.col("doc_a") < F.col("doc_b"))
             .groupBy("doc_a", "doc_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot")))
     if min_similarity is not None:
         dots = dots.filter(F.col("dot") >= F.lit(float(min_similarity)))

@@ -102,3 +102,35 @@ def scalar(df: DataFrame, column: str = None):
     if row is None:
         return None
     return row[column] if column else row[0]
+
+
+DEFAULT_MAX_GROUP_ROWS = 200_000
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
+                max_group_rows: int = DEFAULT_MAX_GROUP_ROWS, salt_by: list[str] | None = None) -> DataFrame:
+    """Equi-join on ``keys`` where no key's left side exceeds ``max_group_rows``
+    rows in one task.
+
+    Keys with more left rows are split into ``ceil(n / max_group_rows)``
+    sub-keys: each left row takes a salt from a hash of ``salt_by`` (default:
+    all its non-key columns) and the right rows of that key are replicated
+    once per salt.  Every (left, right) match still meets exactly once, so
+    the result equals the plain join.  The table of hot keys has at most
+    rows / max_group_rows entries and is joined by a size-checked broadcast.
+    """
+    hot = (left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+           .filter(F.col("_n") > F.lit(max_group_rows))
+           .select(*keys, F.ceil(F.col("_n") / F.lit(max_group_rows)).cast("int").alias("_s")))
+    hot = materialize(hot, "persist")
+    n_hot = hot.count()
+    if n_hot == 0:
+        hot.unpersist()
+        return left.join(right, keys, how)
+    cols = salt_by or [c for c in left.columns if c not in keys]
+    lsalt = F.when(F.col("_s").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*cols), F.col("_s")).cast("int"))
+    rsalt = F.explode(F.when(F.col("_s").isNull(), F.array(F.lit(0)))
+                      .otherwise(F.sequence(F.lit(0), F.col("_s") - 1)))
+    lx = join_small(left, hot, keys, "left", known_rows=n_hot).withColumn("_salt", lsalt).drop("_s")
+    rx = join_small(right, hot, keys, "left", known_rows=n_hot).withColumn("_salt", rsalt).drop("_s")
+    return lx.join(rx, keys + ["_salt"], how).drop("_salt")

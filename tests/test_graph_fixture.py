@@ -93,3 +93,21 @@ def test_neighbours_and_cosine(spark, small):
     assert nb == {2: (1, 0.6), 3: (1, 0.0)}
     dots = {(r.doc_a, r.doc_b): round(r.dot, 6) for r in cosine_similarity(post).collect()}
     assert dots == {(1, 2): 0.6}
+
+
+def test_salted_pair_joins_equal_plain(spark):
+    """Forcing every key to be 'hot' (max_group_rows=1) must not change results."""
+    import random
+    rnd = random.Random(11)
+    rows = [(d, f"w{t}", rnd.random()) for d in range(25) for t in rnd.sample(range(6), 3)]
+    post = spark.createDataFrame(rows, "doc_id long, term string, weight double")
+    dates = spark.createDataFrame([(d, d % 4) for d in range(25)], "doc_id long, period int")
+    buckets = spark.createDataFrame([(b, d % 3, d) for b in range(2) for d in range(25)], "band int, bucket long, doc_id long")
+    from corpuslens.operators.neighbors import past_neighbor_lsh
+    rnd6 = lambda df, cols: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(*cols).collect())
+    assert rnd6(cosine_similarity(post, max_group_rows=1), ["doc_a", "doc_b", "dot"]) == \
+        rnd6(cosine_similarity(post), ["doc_a", "doc_b", "dot"])
+    assert rnd6(past_neighbor_exact(post, dates, max_group_rows=1), ["doc_id", "neighbor_id", "dot"]) == \
+        rnd6(past_neighbor_exact(post, dates), ["doc_id", "neighbor_id", "dot"])
+    assert rnd6(past_neighbor_lsh(post, buckets, dates, max_group_rows=2), ["doc_id", "neighbor_id", "dot"]) == \
+        rnd6(past_neighbor_lsh(post, buckets, dates), ["doc_id", "neighbor_id", "dot"])

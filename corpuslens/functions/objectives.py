@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import join_small, scalar
+from ..session import join_small, salted_join, scalar
 
 MAX, SQRT_COUNT, EXACTLY_ONE, INFLUENCE = "max", "sqrt_count", "exactly_one", "influence"
 CELL_COLUMNS = ("doc_id", "cell", "kind", "theta", "value", "t")
@@ -130,7 +130,7 @@ def lsh_bucket_cells(buckets: DataFrame) -> DataFrame:
     """bucket B weighs sqrt(#B) / sum #B; combiner sqrt(#(S n B))."""
     sizes = buckets.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"))
     total = scalar(sizes.agg(F.sum("n"))) or 1
-    joined = buckets.join(sizes, ["band", "bucket"])
+    joined = join_small(buckets, sizes, ["band", "bucket"])
     return _cells(joined, F.concat_ws(":", F.col("band").cast("string"), F.col("bucket").cast("string")),
                   SQRT_COUNT, F.sqrt(F.col("n").cast("double")) / F.lit(float(total)), F.lit(1.0))
 
@@ -154,7 +154,8 @@ def influence_cells(novelty: DataFrame, dates: DataFrame, spread: DataFrame, str
     (the doc contributes to it), so the tail is an equi-join on
     ``(term, period)``; nothing is exploded over periods."""
     nd = novelty.join(dates.select("doc_id", "period"), "doc_id")
-    joined = nd.join(spread_tails(spread, strict), ["term", "period"])
+    # a common term in a crowded period is a hot key with one tail row: salted
+    joined = salted_join(nd, spread_tails(spread, strict), ["term", "period"], salt_by=["doc_id"])
     return _cells(joined, F.col("term"), INFLUENCE, F.col("tail"), F.col("weight"), F.col("period"))
 
 

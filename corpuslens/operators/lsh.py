@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import DEFAULT_BROADCAST_ROWS, join_small
+from ..session import DEFAULT_BROADCAST_ROWS, join_small, salted_join
 
 WORD_BITS = 64
 
@@ -100,7 +100,7 @@ def bucket_members(buckets: DataFrame) -> DataFrame:
     """``(band, bucket, doc_id, size)``: membership in long form with the
     bucket size attached (a hot bucket stays spread over many tasks)."""
     sizes = buckets.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size"))
-    return buckets.join(sizes, ["band", "bucket"])
+    return join_small(buckets, sizes, ["band", "bucket"])
 
 
 def closest_date_neighbor(buckets: DataFrame, dates: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -120,13 +120,15 @@ def earliest_mates(buckets: DataFrame, dates: DataFrame, strict_order: bool = Tr
     two smallest ids, then a running min over the bucket's periods (a group
     per bucket holds at most one row per period, not one per document)."""
     b = buckets.join(dates, "doc_id")
-    per = b.groupBy("band", "bucket", "period").agg(F.min("doc_id").alias("m1"))
-    second = (b.join(per, ["band", "bucket", "period"]).filter(F.col("doc_id") > F.col("m1"))
-              .groupBy("band", "bucket", "period").agg(F.min("doc_id").alias("m2")))
-    per = per.join(second, ["band", "bucket", "period"], "left")
+    keys = ["band", "bucket", "period"]
+    per = b.groupBy(*keys).agg(F.min("doc_id").alias("m1"))
+    # a hot bucket-period (copies) has many members and one aggregate row: salted
+    second = (salted_join(b, per, keys, salt_by=["doc_id"]).filter(F.col("doc_id") > F.col("m1"))
+              .groupBy(*keys).agg(F.min("doc_id").alias("m2")))
+    per = per.join(second, keys, "left")
     w = Window.partitionBy("band", "bucket").orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("before", F.min("m1").over(w))
-    j = b.join(per, ["band", "bucket", "period"])
+    j = salted_join(b, per, keys, salt_by=["doc_id"])
     if strict_order:
         same = F.when(F.col("m1") < F.col("doc_id"), F.col("m1"))
     else:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import DEFAULT_MAX_GROUP_ROWS, join_small, salted_join
+from ..session import join_small, salted_join
 from .lsh import earliest_mates
 
 DOT_DIGITS = 9
@@ -38,7 +38,7 @@ def _best(cands: DataFrame) -> DataFrame:
 
 
 def past_neighbor_lsh(postings: DataFrame, buckets: DataFrame, dates: DataFrame,
-                      max_group_rows: int = DEFAULT_MAX_GROUP_ROWS) -> DataFrame:
+                      max_group_rows: int | None = None) -> DataFrame:
     """E5: ``(doc_id, neighbor_id, dot)``: among bucket-mates (any band) that
     precede the doc in (period, id) order, the one with the largest dot
     product; with no shared term, the lowest-id earlier mate (dot 0).
@@ -64,7 +64,7 @@ def past_neighbor_lsh(postings: DataFrame, buckets: DataFrame, dates: DataFrame,
 
 
 def past_neighbor_exact(postings: DataFrame, dates: DataFrame,
-                        max_group_rows: int = DEFAULT_MAX_GROUP_ROWS) -> DataFrame:
+                        max_group_rows: int | None = None) -> DataFrame:
     """E5 with every document in one bucket (inverted index over the
     whole corpus).  Only the first doc in (period, id) order has none."""
     pd_ = postings.join(dates, "doc_id").select("term", "doc_id", "weight", "period")
@@ -82,7 +82,7 @@ def past_neighbor_exact(postings: DataFrame, dates: DataFrame,
 
 
 def cosine_similarity(postings: DataFrame, min_similarity: float | None = None,
-                      max_group_rows: int = DEFAULT_MAX_GROUP_ROWS) -> DataFrame:
+                      max_group_rows: int | None = None) -> DataFrame:
     """``(doc_a, doc_b, dot, distance)`` for pairs ``doc_a < doc_b`` with a
     non-zero dot product of their (normalised) vectors; distance = 1 - dot."""
     a = postings.select("term", F.col("doc_id").alias("doc_a"), F.col("weight").alias("wa"))

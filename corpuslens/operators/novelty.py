@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import salted_join
+
 # Differences at or below this are float noise (exact copies of a document
 # differ by ~1e-17 after normalisation) and count as zero.
 NOVELTY_EPS = 1e-9
@@ -18,7 +20,9 @@ def novelty(postings: DataFrame, neighbors: DataFrame, ignore_isolated: bool = F
     nb = neighbors.select("doc_id", "neighbor_id")
     own = postings.join(nb, "doc_id", "inner" if ignore_isolated else "left")
     other = postings.select(F.col("doc_id").alias("neighbor_id"), "term", F.col("weight").alias("nweight"))
-    j = own.join(other, ["neighbor_id", "term"], "left")
+    # many documents can share one neighbour (copies pick the same earliest
+    # copy): hot (neighbour, term) keys are salted
+    j = salted_join(own, other, ["neighbor_id", "term"], "left", salt_by=["doc_id"])
     v = F.greatest(F.lit(0.0), F.col("weight") - F.coalesce(F.col("nweight"), F.lit(0.0)))
     return j.select("doc_id", "term", v.alias("weight")).filter(F.col("weight") > F.lit(NOVELTY_EPS))
 

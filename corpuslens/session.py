@@ -105,10 +105,11 @@ def scalar(df: DataFrame, column: str = None):
 
 
 DEFAULT_MAX_GROUP_ROWS = 200_000
+MAX_GROUP_ROWS = DEFAULT_MAX_GROUP_ROWS  # read at call time; tests lower it to force salting
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
-                max_group_rows: int = DEFAULT_MAX_GROUP_ROWS, salt_by: list[str] | None = None) -> DataFrame:
+                max_group_rows: int | None = None, salt_by: list[str] | None = None) -> DataFrame:
     """Equi-join on ``keys`` where no key's left side exceeds ``max_group_rows``
     rows in one task.
 
@@ -119,6 +120,7 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     the result equals the plain join.  The table of hot keys has at most
     rows / max_group_rows entries and is joined by a size-checked broadcast.
     """
+    max_group_rows = max_group_rows or MAX_GROUP_ROWS
     hot = (left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
            .filter(F.col("_n") > F.lit(max_group_rows))
            .select(*keys, F.ceil(F.col("_n") / F.lit(max_group_rows)).cast("int").alias("_s")))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import join_small, salted_join
+from ..session import join_small, materialize, salted_join
 from .lsh import earliest_mates
 
 DOT_DIGITS = 9
@@ -46,8 +46,9 @@ def past_neighbor_lsh(postings: DataFrame, buckets: DataFrame, dates: DataFrame,
     # a bucket with one member has no mate: drop those memberships first
     sizes = buckets.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     shared = join_small(buckets, sizes.select("band", "bucket"), ["band", "bucket"], "left_semi")
-    pb = (postings.join(dates, "doc_id").join(shared, "doc_id")
-          .select("band", "bucket", "term", "doc_id", "weight", "period"))
+    # read three times (hot-key sample, both join sides): cached
+    pb = materialize(postings.join(dates, "doc_id").join(shared, "doc_id")
+                     .select("band", "bucket", "term", "doc_id", "weight", "period"), "persist")
     a = pb.select("band", "bucket", "term", "doc_id", F.col("weight").alias("wa"), F.col("period").alias("pa"))
     b = pb.select("band", "bucket", "term", F.col("doc_id").alias("neighbor_id"), F.col("weight").alias("wb"),
                   F.col("period").alias("pb"))

@@ -121,9 +121,14 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     rows / max_group_rows entries and is joined by a size-checked broadcast.
     """
     max_group_rows = max_group_rows or MAX_GROUP_ROWS
-    hot = (left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-           .filter(F.col("_n") > F.lit(max_group_rows))
-           .select(*keys, F.ceil(F.col("_n") / F.lit(max_group_rows)).cast("int").alias("_s")))
+    # hot keys from a Bernoulli sample: a key at the limit appears ~64 times,
+    # keys above half the limit are split (conservative); exact when small
+    frac = min(1.0, 64.0 / max_group_rows)
+    src = left.select(*keys).sample(fraction=frac, seed=17) if frac < 1.0 else left.select(*keys)
+    est = F.col("_n") / F.lit(frac)
+    hot = (src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+           .filter(est > F.lit(max_group_rows / 2 if frac < 1.0 else max_group_rows))
+           .select(*keys, F.greatest(F.lit(2), F.ceil(est / F.lit(max_group_rows))).cast("int").alias("_s")))
     hot = materialize(hot, "persist")
     n_hot = hot.count()
     if n_hot == 0:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import salted_join
+from ..session import materialize, salted_join
 
 # Differences at or below this are float noise (exact copies of a document
 # differ by ~1e-17 after normalisation) and count as zero.
@@ -17,7 +17,8 @@ def novelty(postings: DataFrame, neighbors: DataFrame, ignore_isolated: bool = F
     ``weight = max(0, phi(d, w) - phi(n(d), w))`` on the doc's own terms,
     zeros (|x| <= NOVELTY_EPS) dropped.  Docs without a past neighbour keep their own vector, or
     are dropped with ``ignore_isolated``.  Always compares original vectors."""
-    nb = neighbors.select("doc_id", "neighbor_id")
+    # one row per doc, read by the hot-key sample and the join: cached
+    nb = materialize(neighbors.select("doc_id", "neighbor_id"), "persist")
     own = postings.join(nb, "doc_id", "inner" if ignore_isolated else "left")
     other = postings.select(F.col("doc_id").alias("neighbor_id"), "term", F.col("weight").alias("nweight"))
     # many documents can share one neighbour (copies pick the same earliest

@@ -203,7 +203,8 @@ def lazy_greedy_select(cells: DataFrame, k: int, batch: int = 16, prepared: bool
     spark = cells.sparkSession
     c = cells if prepared else prepare_cells(cells, cache)
     eng = _Engine(c, broadcast_rows)
-    base = materialize(eng.gains().withColumnRenamed("gain", "base"), cache)
+    # one row per doc, derived from the checkpointed cells (short lineage): cached
+    base = materialize(eng.gains().withColumnRenamed("gain", "base"), "persist" if cache != "none" else "none")
     n_docs = base.count()
     fetch = fetch or max(16 * batch, 2 * batch * k)
     cand: list[tuple[int, float, int]] = []        # (doc_id, base, n_cells) in base order

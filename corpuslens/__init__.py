@@ -10,6 +10,14 @@ Typical use::
 Every operator is a DataFrame function; see README.md for the inventory.
 """
 
+import sys as _sys
+
+# Functions that run in Python workers (applyInPandas / mapInPandas kernels)
+# are shipped by value, so executors need no installed copy of this package.
+from pyspark import cloudpickle as _cloudpickle
+
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
 from .functions.objectives import (boosted_word_coverage_cells, combine_cells, cut_cells, graph_coverage_cells,
                                    influence_cells, lsh_bucket_cells, lucene_word_coverage_cells, revisions_cells,
                                    score, weighted_word_coverage_cells, word_coverage_cells)

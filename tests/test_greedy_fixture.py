@@ -1,8 +1,6 @@
 """Three-document corpus of FIXTURES.md §3: objectives and greedy picks."""
 
-import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from corpuslens.functions import objectives as O
 from corpuslens.operators.greedi import greedi_select

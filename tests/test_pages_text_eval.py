@@ -1,7 +1,6 @@
 """FIXTURES.md §5-§6: pages, ids, dates, text weights and evaluation."""
 
 import math
-import os
 
 from pyspark.sql import functions as F
 

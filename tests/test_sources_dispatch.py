@@ -1,7 +1,6 @@
 """Readers/writers round trips, objective dispatch, summarize and k-means."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from corpuslens.functions import objectives as O
 from corpuslens.operators.cluster import dense_features, kmeans_docs, sketch_kmeans

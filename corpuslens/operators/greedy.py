@@ -64,7 +64,8 @@ def prepare_cells(cells: DataFrame, cache: str = "checkpoint") -> DataFrame:
         return base
     n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = base.repartition(n, "doc_id").sortWithinPartitions("doc_id").persist(StorageLevel.MEMORY_AND_DISK)
-    out.count()
+    # one job fills the cache and lists the combiner kinds for the engine
+    out._corpuslens_kinds = {r[0] for r in out.groupBy("kind").count().collect()}
     base.unpersist()
     return out
 
@@ -76,7 +77,9 @@ class _Engine:
         self.selected: list[int] = []
         self.cover_bound = 0  # sum of the selected docs' cell counts
         self._covers: dict[str, DataFrame] = {}  # this round's covers, cached on first use
-        kinds = {r[0] for r in cells.select("kind").distinct().collect()}
+        kinds = getattr(cells, "_corpuslens_kinds", None)
+        if kinds is None:
+            kinds = {r[0] for r in cells.select("kind").distinct().collect()}
         self.has_std = bool(kinds - {INFLUENCE})
         self.has_inf = INFLUENCE in kinds
 

@@ -16,11 +16,17 @@ ENGLISH_STOP_WORDS = (
 
 # Fixed value: a token is a maximal run of Unicode letters and digits.
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
+# Fixed value: an English possessive ending ('s or ’s before a non-word character).
+POSSESSIVE_PATTERN = r"['’]s([^\p{L}\p{N}]|$)"
 
 
-def tokens(text: Column) -> Column:
-    """``ARRAY<STRING>`` of lower-cased tokens of ``text``."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), 0)
+def tokens(text: Column, possessive: Column | None = None) -> Column:
+    """``ARRAY<STRING>`` of lower-cased tokens of ``text``; where
+    ``possessive`` is true, possessive endings are removed first."""
+    low = F.lower(text)
+    if possessive is not None:
+        low = F.when(possessive, F.regexp_replace(low, POSSESSIVE_PATTERN, "$1")).otherwise(low)
+    return F.regexp_extract_all(low, F.lit(TOKEN_PATTERN), 0)
 
 
 def is_stop_word(term: Column, lang: Column | None = None, stop_lang: str = "en") -> Column:

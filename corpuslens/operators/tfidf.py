@@ -25,16 +25,20 @@ def tokenize(docs: DataFrame, stop_lang: str | None = "en", stem=None,
              num_partitions: int | None = None) -> DataFrame:
     """``(doc_id, text[, lang])`` -> ``(doc_id, term)``, one row per token.
 
-    Stop words are removed only for documents whose ``lang`` is ``stop_lang``
-    (every document when there is no ``lang`` column).  ``stem`` is an
-    optional ``Column -> Column`` applied to each term.
+    Stop words and possessive endings are removed only for documents whose
+    ``lang`` is ``stop_lang`` (every document when there is no ``lang``
+    column).  ``stem`` is an optional ``Column -> Column`` applied to each
+    term.
     """
     has_lang = "lang" in docs.columns
     cols = ["doc_id", "text"] + (["lang"] if has_lang else [])
     parts = (docs.select(*cols).repartition(num_partitions, "doc_id") if num_partitions
              else docs.select(*cols).repartition("doc_id"))
+    poss = None
+    if stop_lang is not None:
+        poss = (F.col("lang") == F.lit(stop_lang)) if has_lang else F.lit(True)
     exploded = parts.select("doc_id", *(["lang"] if has_lang else []),
-                            F.explode(tokens(F.col("text"))).alias("term"))
+                            F.explode(tokens(F.col("text"), poss)).alias("term"))
     if stop_lang is not None:
         exploded = exploded.filter(~is_stop_word(F.col("term"), F.col("lang") if has_lang else None, stop_lang))
     if stem is not None:

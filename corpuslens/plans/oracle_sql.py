@@ -21,7 +21,9 @@ def with_(*ctes: str) -> str:
 
 TOKS = f"""toks AS (
   SELECT doc_id, term FROM (
-    SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+', 0)) AS term
+    SELECT doc_id, lang, unnest(regexp_extract_all(
+      CASE WHEN lang = 'en' THEN regexp_replace(lower(text), '[''’]s([^\\p{{L}}\\p{{N}}]|$)', '\\1', 'g') ELSE lower(text) END,
+      '[\\p{{L}}\\p{{N}}]+', 0)) AS term
     FROM documents) t
   WHERE NOT (lang = 'en' AND term IN ({STOP_LIST})))"""
 TF = "tf AS (SELECT doc_id, term, count(*) AS tf FROM toks GROUP BY doc_id, term)"

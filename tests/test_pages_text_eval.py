@@ -84,3 +84,10 @@ def test_edge_and_revision_readers(spark, tmp_path):
     assert e == {(10, 1), (10, 2), (11, 3)}
     r = {x.doc_id: (x.rev_count, x.rev_volume) for x in IO.read_revision_stats(spark, str(tmp_path / "r.txt")).collect()}
     assert r == {1: (2, 100), 3: (0, None)}
+
+
+def test_possessive_stripped_for_english_only(spark):
+    docs = spark.createDataFrame([(1, "John's book and Mary’s pen's.", "en"), (2, "John's book", "fr")],
+                                 "doc_id long, text string, lang string")
+    toks = sorted((r.doc_id, r.term) for r in C.tokenize(docs).collect())
+    assert toks == [(1, "book"), (1, "john"), (1, "mary"), (1, "pen"), (2, "book"), (2, "john"), (2, "s")]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import decontaminate, near_dedup
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +25,9 @@ def register(name: str, sql: str | None = None):
 @register("op8_minhash_near_dedup")
 def op8(spark, sf_dir):
     return near_dedup.near_groups(read_table(spark, sf_dir, "documents"), size=2)
+
+
+@register("op7_benchmark_decontamination")
+def op7(spark, sf_dir):
+    docs, items = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return decontaminate.digest(decontaminate.benchmark_matches(docs, items))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dedup
+from . import decontaminate, near_dedup, packing, token_counts
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,13 @@ def op8(spark, sf_dir):
 def op7(spark, sf_dir):
     docs, items = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
     return decontaminate.digest(decontaminate.benchmark_matches(docs, items))
+
+
+@register("op6_token_counts")
+def op6(spark, sf_dir):
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
+
+
+@register("op5_best_fit_packing")
+def op5(spark, sf_dir):
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))

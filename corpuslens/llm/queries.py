@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dedup, packing, token_counts
+from . import decontaminate, language, near_dedup, packing, token_counts, toxicity
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,13 @@ def op6(spark, sf_dir):
 @register("op5_best_fit_packing")
 def op5(spark, sf_dir):
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+@register("op9_language_id")
+def op9(spark, sf_dir):
+    return language.languages(read_table(spark, sf_dir, "documents"))
+
+
+@register("op10_toxicity")
+def op10(spark, sf_dir):
+    return toxicity.toxicity(*(read_table(spark, sf_dir, t) for t in ("documents", "labels")))

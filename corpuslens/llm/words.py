@@ -74,17 +74,24 @@ class SpanHasher:
             self._up, self._down = np.cumprod(up), np.cumprod(down)
         return self._up, self._down
 
-    def hash(self, units: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        up, down = self._powers(len(units))
+    def sums(self, units: np.ndarray) -> np.ndarray:
+        """Running sums from which ``spans`` reads any span's hash."""
+        up, _ = self._powers(len(units))
         h = np.empty(len(units) + 1, np.uint64)
         h[0] = 0
         v = self.table[units]
         v *= up[:len(units)]
         np.cumsum(v, out=h[1:])
-        out = h[end] - h[start]
-        out *= down[start]
+        return h
+
+    def spans(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = sums[end] - sums[start]
+        out *= self._down[start]
         return mix64(out + (end - start).astype(np.uint64))
 
+    def hash(self, units: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return self.spans(self.sums(units), start, end)
+
 
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, last row + 1, bytes, offsets)`` of whole rows; null is empty."""
@@ -111,7 +118,7 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
 class Words:
     """Words of a slice: byte spans, hashes, and the first word of each row."""
 
-    __slots__ = ("data", "start", "end", "hash", "first")
+    __slots__ = ("data", "start", "end", "hash", "first", "sums")
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, mask: np.ndarray, hasher: SpanHasher):
         self.data = lower_bytes()[data]
@@ -124,7 +131,8 @@ class Words:
         begin[edges] = inside[edges]
         stop[edges - 1] = inside[edges - 1]
         self.start, self.end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-        self.hash = hasher.hash(self.data, self.start, self.end)
+        self.sums = hasher.sums(self.data)
+        self.hash = hasher.spans(self.sums, self.start, self.end)
         self.first = np.searchsorted(self.start, offsets)  # words of row r: first[r]:first[r + 1]
 
     def texts(self, lo: int, hi: int) -> bytes:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +21,15 @@ def arrow_batches(spark: SparkSession) -> None:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Write a table to the shared checkpoint folder once and go on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a table to the shared checkpoint folder once and go on from there.
+
+    Parquet rather than ``checkpoint()``: a checkpoint keeps the constraints that
+    the optimizer inferred for its plan, and in a loop of joins those double
+    with every round.  The folder is the cluster's to clean, like checkpoints."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -9,11 +9,11 @@ share the longest prefix, so the depth at which a stretch of the order is
 compared grows with how crowded it is.  A pair goes on if its two classes are
 neighbours in two orders, or in one with a long common prefix; by chance
 neither happens to unlike texts.  Pairs are compared on their full sets.  A
-first round compares each class with its best partner only; the groups found
-then pool their evidence: all pairs between two groups that met in two orders
-are compared in a second round, and each class of such a pair with the other
-group's hubs (its classes with the most confirmed links), which finds the
-borderline members of crowded groups that are like the group's original only.
+first round compares each class with its best partner only.  Groups so found
+pool their evidence: where two met in two orders, a second round compares the
+classes that met with the other group's hubs (its classes with the most
+confirmed links), which finds borderline members that are like the group's
+original only, and a third round all pairs that still lie between two groups.
 
 Recall: a pair at similarity 0.8 shares a prefix of four values in a tree
 with probability 0.41, so that of 32 trees fewer than two do is a matter of
@@ -43,7 +43,7 @@ from .words import SpanHasher, Words, distinct_in_rows, mix64, not_space, random
 TREES, DEPTH = 32, 8          # signature orders, values per signature
 LEAST_DEPTH, DEEP = 4, 6      # shortest common prefix; prefix that suffices alone
 MEETINGS = 2                  # orders in which a pair, or two groups, must meet else
-NEIGHBOURS = 6                # rows looked back at in each order
+NEIGHBOURS = 3                # rows looked back at in each order
 HUBS = 8                      # classes of a group that its doubtful members are compared with
 HASHED_AT_ONCE = 1 << 16      # shingles whose hashes stay in a core's cache
 
@@ -199,7 +199,17 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _with_hubs(doubtful: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
+def _doubtful(pairs: DataFrame, labels: DataFrame, met) -> DataFrame:
+    """The pairs between two groups that pooled together met often enough."""
+    mine = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
+    rest = (pairs.join(mine("a"), "a", "left").join(mine("b"), "b", "left")
+            .withColumns({"of_a": F.coalesce("of_a", "a"), "of_b": F.coalesce("of_b", "b")}).filter("of_a <> of_b")
+            .withColumns({"p": F.least("of_a", "of_b"), "q": F.greatest("of_a", "of_b")}))
+    groups = rest.groupBy("p", "q").agg(F.sum("trees").alias("trees"), F.max("same").alias("same")).filter(met)
+    return staged(rest.join(groups.select("p", "q"), ["p", "q"]).select("a", "b", "of_a", "of_b"))
+
+
+def _hub_pairs(doubtful: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs (a, b) of each doubtful class and the hubs of the group it may belong to."""
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("links"), "node"))
@@ -207,7 +217,7 @@ def _with_hubs(doubtful: DataFrame, links: DataFrame, labels: DataFrame) -> Data
             .select(F.col("label").alias("group"), F.col("node").alias("hub")))
     ask = (doubtful.select(F.col("a").alias("node"), F.col("of_b").alias("group"))
            .union(doubtful.select("b", "of_a")).distinct())
-    return ask.join(hubs, "group").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    return ask.join(hubs, "group").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
@@ -228,19 +238,16 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, trees: int =
             .mapInArrow(_sets(size), "node bigint, set_key binary, members binary"))
     sets = staged(sets.join(classes.select("node", "set_key"), ["node", "set_key"]).dropDuplicates(["node", "set_key"]))
 
-    # first each class's best partner; then only pairs that still lie in two groups
     best = pairs.filter(met).groupBy("b").agg(F.max(F.struct("trees", "same", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    first = staged(confirmed(best, sets, percent))
-    labels = components(first)
-    mine = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
-    rest = staged(pairs.join(best, ["a", "b"], "left_anti").join(mine("a"), "a", "left").join(mine("b"), "b", "left")
-                  .withColumns({"of_a": F.coalesce("of_a", "a"), "of_b": F.coalesce("of_b", "b")}).filter("of_a <> of_b")
-                  .withColumns({"p": F.least("of_a", "of_b"), "q": F.greatest("of_a", "of_b")}))
-    groups = rest.groupBy("p", "q").agg(F.sum("trees").alias("trees"), F.max("same").alias("same")).filter(met)
-    doubtful = rest.join(groups.select("p", "q"), ["p", "q"])
-    second = staged(confirmed(doubtful.select("a", "b").union(_with_hubs(doubtful, first, labels)).distinct(), sets, percent))
-    if second.limit(1).count():
-        labels = components(first.union(second))
+    links = staged(confirmed(best, sets, percent))
+    labels = components(links)
+    for with_hubs in (True, False):
+        doubtful = _doubtful(pairs, labels, met)
+        ask = _hub_pairs(doubtful, links, labels) if with_hubs else doubtful
+        found = staged(confirmed(ask, sets, percent))
+        if found.limit(1).count():
+            links = links.union(found)
+            labels = components(links)
 
     ids = (classes.select("set_key", "node").join(labels, "node", "left")
            .select("set_key", F.coalesce("label", "node").alias("component_id")))

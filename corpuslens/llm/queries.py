@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, near_dedup, packing, token_counts, toxicity
+from . import decontaminate, language, near_dedup, packing, personal_data, token_counts, toxicity
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,8 @@ def op9(spark, sf_dir):
 @register("op10_toxicity")
 def op10(spark, sf_dir):
     return toxicity.toxicity(*(read_table(spark, sf_dir, t) for t in ("documents", "labels")))
+
+
+@register("op2_personal_data")
+def op2(spark, sf_dir):
+    return personal_data.digest(personal_data.find(read_table(spark, sf_dir, "documents")))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, near_dedup, packing, personal_data, token_counts, toxicity
+from . import decontaminate, language, near_dedup, packing, personal_data, token_counts, toxicity, weighted_sampling
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,8 @@ def op10(spark, sf_dir):
 @register("op2_personal_data")
 def op2(spark, sf_dir):
     return personal_data.digest(personal_data.find(read_table(spark, sf_dir, "documents")))
+
+
+@register("op3_weighted_sampling")
+def op3(spark, sf_dir):
+    return weighted_sampling.fingerprints(read_table(spark, sf_dir, "documents"))

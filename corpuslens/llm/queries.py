@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, near_dedup, packing, personal_data, token_counts, toxicity, weighted_sampling
+from . import decontaminate, language, near_dedup, packing, personal_data, sharding, token_counts, toxicity, weighted_sampling
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,8 @@ def op2(spark, sf_dir):
 @register("op3_weighted_sampling")
 def op3(spark, sf_dir):
     return weighted_sampling.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+@register("op4_sharding", sharding.oracle())
+def op4(spark, sf_dir):
+    return sharding.assign(read_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", sharding.shard_names())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, near_dedup, packing, personal_data, sharding, token_counts, toxicity, weighted_sampling
+from . import decontaminate, html_text, language, near_dedup, packing, personal_data, sharding, token_counts, toxicity, weighted_sampling
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,8 @@ def op3(spark, sf_dir):
 @register("op4_sharding", sharding.oracle())
 def op4(spark, sf_dir):
     return sharding.assign(read_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", sharding.shard_names())
+
+
+@register("op1_html_extraction")
+def op1(spark, sf_dir):
+    return html_text.extract(read_table(spark, sf_dir, "pages"))

@@ -10,19 +10,45 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslens.llm import near_dedup
+from corpuslens.llm import decontaminate, language, near_dedup, packing, personal_data
 from corpuslens.llm.common import read_table
 from corpuslens.session import ensure_checkpoint_dir
 
 
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or far from every language's centroids, go."""
+    return language.drop_rejected(docs)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, 0.8) stays."""
     return near_dedup.drop_near_copies(docs)
 
 
-STAGES = [("near_dedup", drop_near_copies)]
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts gives way to the name of its kind; ``n_chars`` follows."""
+    return personal_data.redact(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of the documents with their places in training sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", keep_known_languages),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("personal_data", redact_personal_data),
+    ("packing", pack_sequences),
+]
 
-ORACLE_SQL = None  # MinHash trees, a trained model and packing have no SQL form; tests compare with brute force
+ORACLE_SQL = None  # trained models, signature trees and packing have no SQL form; tests compare with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

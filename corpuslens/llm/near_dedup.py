@@ -37,13 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import join_small
 from .common import arrow_batches, staged
 from .words import SpanHasher, Words, distinct_in_rows, mix64, not_space, random_words, shingle_hashes, text_slices
 
 TREES, DEPTH = 32, 8          # signature orders, values per signature
 LEAST_DEPTH, DEEP = 4, 6      # shortest common prefix; prefix that suffices alone
 MEETINGS = 2                  # orders in which a pair, or two groups, must meet else
-NEIGHBOURS = 3                # rows looked back at in each order
+NEIGHBOURS = 2                # rows looked back at in each order
 HUBS = 8                      # classes of a group that its doubtful members are compared with
 HASHED_AT_ONCE = 1 << 16      # shingles whose hashes stay in a core's cache
 
@@ -199,14 +200,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _doubtful(pairs: DataFrame, labels: DataFrame, met) -> DataFrame:
-    """The pairs between two groups that pooled together met often enough."""
+def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs that lie between two groups (``of_a`` and ``of_b``)."""
     mine = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
-    rest = (pairs.join(mine("a"), "a", "left").join(mine("b"), "b", "left")
-            .withColumns({"of_a": F.coalesce("of_a", "a"), "of_b": F.coalesce("of_b", "b")}).filter("of_a <> of_b")
-            .withColumns({"p": F.least("of_a", "of_b"), "q": F.greatest("of_a", "of_b")}))
-    groups = rest.groupBy("p", "q").agg(F.sum("trees").alias("trees"), F.max("same").alias("same")).filter(met)
-    return staged(rest.join(groups.select("p", "q"), ["p", "q"]).select("a", "b", "of_a", "of_b"))
+    return staged(pairs.select("a", "b", "trees", "same").join(mine("a"), "a", "left").join(mine("b"), "b", "left")
+                  .withColumns({"of_a": F.coalesce("of_a", "a"), "of_b": F.coalesce("of_b", "b")}).filter("of_a <> of_b"))
+
+
+def _doubtful(between: DataFrame, met) -> DataFrame:
+    """Of these, the pairs of groups that pooled together met often enough."""
+    sides = between.withColumns({"p": F.least("of_a", "of_b"), "q": F.greatest("of_a", "of_b")})
+    groups = sides.groupBy("p", "q").agg(F.sum("trees").alias("trees"), F.max("same").alias("same")).filter(met)
+    return staged(sides.join(groups.select("p", "q"), ["p", "q"]).select("a", "b", "of_a", "of_b"))
 
 
 def _hub_pairs(doubtful: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
@@ -233,8 +238,8 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, trees: int =
     pairs = staged(candidates(classes.select("node", "signature"), trees, depth))
 
     met = (F.col("trees") >= MEETINGS) | (F.col("same") >= DEEP)
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
-    sets = (texts.withColumnRenamed("doc_id", "node").join(wanted, "node")
+    wanted = staged(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"))
+    sets = (join_small(texts.withColumnRenamed("doc_id", "node"), wanted, "node")
             .mapInArrow(_sets(size), "node bigint, set_key binary, members binary"))
     sets = staged(sets.join(classes.select("node", "set_key"), ["node", "set_key"]).dropDuplicates(["node", "set_key"]))
 
@@ -242,7 +247,8 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, trees: int =
     links = staged(confirmed(best, sets, percent))
     labels = components(links)
     for with_hubs in (True, False):
-        doubtful = _doubtful(pairs, labels, met)
+        pairs = _between(pairs, labels)
+        doubtful = _doubtful(pairs, met)
         ask = _hub_pairs(doubtful, links, labels) if with_hubs else doubtful
         found = staged(confirmed(ask, sets, percent))
         if found.limit(1).count():

@@ -86,8 +86,8 @@ class TestSuffixes:
             v = np.zeros(len(ids), np.uint64)
             for j in range(k, k + self.per_key):
                 v = (v << np.uint64(self.bits)) | (ids[:, j] if j < self.window else np.uint64(0))
-            cols.append(v.astype(">u8"))
-        return np.ascontiguousarray(np.stack(cols, axis=1)).view(f"S{8 * len(cols)}").ravel()
+            cols.append(v)
+        return np.stack(cols, axis=1).astype(">u8").view(f"S{8 * len(cols)}").ravel()
 
     def word_ids(self, hashes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(hashes), np.int64)

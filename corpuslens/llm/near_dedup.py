@@ -10,10 +10,11 @@ compared grows with how crowded it is.  A pair goes on if its two classes are
 neighbours in two orders, or in one with a long common prefix; by chance
 neither happens to unlike texts.  Pairs are compared on their full sets.  A
 first round compares each class with its best partner only.  Groups so found
-pool their evidence: where two met in two orders, a second round compares the
+pool their evidence: where two met in two orders, a further round compares the
 classes that met with the other group's hubs (its classes with the most
 confirmed links), which finds borderline members that are like the group's
-original only, and a third round all pairs that still lie between two groups.
+original only.  That goes on until no link is found; then all pairs that still
+lie between two such groups are compared.
 
 Recall: a pair at similarity 0.8 shares a prefix of four values in a tree
 with probability 0.41, so that of 32 trees fewer than two do is a matter of
@@ -246,14 +247,20 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, trees: int =
     best = pairs.filter(met).groupBy("b").agg(F.max(F.struct("trees", "same", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     links = staged(confirmed(best, sets, percent))
     labels = components(links)
-    for with_hubs in (True, False):
+    asked, hubs_left = best, True
+    while True:
         pairs = _between(pairs, labels)
         doubtful = _doubtful(pairs, met)
-        ask = _hub_pairs(doubtful, links, labels) if with_hubs else doubtful
+        ask = _hub_pairs(doubtful, links, labels) if hubs_left else doubtful.select("a", "b")
+        ask = staged(ask.join(asked, ["a", "b"], "left_anti"))
         found = staged(confirmed(ask, sets, percent))
-        if found.limit(1).count():
-            links = links.union(found)
+        news = found.limit(1).count()
+        if news:
+            links, asked = links.union(found), asked.union(ask)
             labels = components(links)
+        if not hubs_left:
+            break
+        hubs_left = bool(news)                # else hubs bring no more: the pairs themselves
 
     ids = (classes.select("set_key", "node").join(labels, "node", "left")
            .select("set_key", F.coalesce("label", "node").alias("component_id")))

@@ -32,7 +32,7 @@ from ..session import join_small, salted_join, scalar
 
 MAX, SQRT_COUNT, EXACTLY_ONE, INFLUENCE = "max", "sqrt_count", "exactly_one", "influence"
 CELL_COLUMNS = ("doc_id", "cell", "kind", "theta", "value", "t")
-MONOTONE_KINDS = (MAX, SQRT_COUNT, INFLUENCE)
+KINDS = (MAX, SQRT_COUNT, EXACTLY_ONE, INFLUENCE)
 
 
 def _cells(df: DataFrame, cell: Column, kind: str, theta: Column, value: Column, t: Column | None = None) -> DataFrame:
@@ -96,11 +96,13 @@ def lucene_word_coverage_cells(tf: DataFrame, stats: DataFrame, n_docs: int,
 
 # ------------------------------------------------------------------- graph
 
-def graph_coverage_cells(edges: DataFrame, normalize: bool = False) -> DataFrame:
-    """F8: a node covers itself and its distinct inlinks; candidates are the
-    nodes that have inlinks.  ``normalize`` divides by the number of them."""
+def graph_coverage_cells(edges: DataFrame, normalize: bool = False, candidates: DataFrame | None = None) -> DataFrame:
+    """F8: a node covers itself and its distinct inlinks.  Candidates are all
+    documents of ``candidates(doc_id)`` and all nodes that have inlinks, so a
+    node without inlinks covers itself.  ``normalize`` divides by their number."""
     e = edges.select("doc_id", "src_id").distinct()
-    own = e.select("doc_id").distinct().select("doc_id", F.col("doc_id").alias("node"))
+    nodes = e.select("doc_id") if candidates is None else e.select("doc_id").union(candidates.select("doc_id"))
+    own = nodes.distinct().select("doc_id", F.col("doc_id").alias("node"))
     links = e.select("doc_id", F.col("src_id").alias("node"))
     both = own.unionByName(links)
     theta = F.lit(1.0)
@@ -227,7 +229,7 @@ def cell_value(kind: Column, theta: Column, vmax: Column, cnt: Column) -> Column
     return (F.when(kind == MAX, theta * F.greatest(F.lit(0.0), vmax))
             .when(kind == SQRT_COUNT, theta * F.sqrt(cnt.cast("double")))
             .when(kind == EXACTLY_ONE, F.when(cnt == 1, theta).otherwise(F.lit(0.0)))
-            .otherwise(F.lit(0.0)))
+            .otherwise(F.raise_error(F.concat(F.lit("unknown kind of cell: "), kind))))
 
 
 def cell_scores(cells: DataFrame, selection: DataFrame, set_col: str | None = None) -> DataFrame:

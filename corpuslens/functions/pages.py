@@ -103,7 +103,7 @@ def pages_to_text(classified: DataFrame) -> DataFrame:
 def document_date(ts: Column, fmt: str | None = None) -> Column:
     """``YEAR * 1000 + DAY_OF_YEAR`` (UTC); strings are parsed leniently
     and unparsable values give null (callers drop those rows)."""
-    t = F.try_to_timestamp(ts, F.lit(fmt)) if fmt else ts.cast("timestamp")
+    t = F.try_to_timestamp(ts, F.lit(fmt)) if fmt else ts.try_cast("timestamp")
     return (F.year(t) * 1000 + F.dayofyear(t)).cast("int")
 
 
@@ -123,7 +123,7 @@ NIPS_PREFIX = "file is ../nipsdata/txt/"
 
 def nips_key(line: Column) -> Column:
     """B6 (NIPS): after the prefix, ``int(s[4:6]) * 10000 + int(s[7:11])``."""
-    s = F.substring(line, len(NIPS_PREFIX) + 1, 1 << 20)
+    s = F.substring(line, F.lit(len(NIPS_PREFIX) + 1), F.length(line))
     return (F.substring(s, 5, 2).try_cast("bigint") * 10000 + F.substring(s, 8, 4).try_cast("bigint"))
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.objectives import EXACTLY_ONE, INFLUENCE, MAX, SQRT_COUNT, influence_contribution, influence_segments
+from ..functions.objectives import EXACTLY_ONE, INFLUENCE, KINDS, MAX, SQRT_COUNT, influence_contribution, influence_segments
 from ..session import DEFAULT_BROADCAST_ROWS, join_small, materialize
 
 SELECTION_SCHEMA = T.StructType([
@@ -80,6 +80,8 @@ class _Engine:
         kinds = getattr(cells, "_corpuslens_kinds", None)
         if kinds is None:
             kinds = {r[0] for r in cells.select("kind").distinct().collect()}
+        if unknown := kinds - set(KINDS):
+            raise ValueError(f"unknown kinds of cells: {sorted(map(str, unknown))}")
         self.has_std = bool(kinds - {INFLUENCE})
         self.has_inf = INFLUENCE in kinds
 

@@ -19,13 +19,17 @@ def novelty(postings: DataFrame, neighbors: DataFrame, ignore_isolated: bool = F
     are dropped with ``ignore_isolated``.  Always compares original vectors."""
     # one row per doc, read by the hot-key sample and the join: cached
     nb = materialize(neighbors.select("doc_id", "neighbor_id"), "persist")
-    own = postings.join(nb, "doc_id", "inner" if ignore_isolated else "left")
+    own = postings.join(nb.filter("neighbor_id IS NOT NULL"), "doc_id")
     other = postings.select(F.col("doc_id").alias("neighbor_id"), "term", F.col("weight").alias("nweight"))
     # many documents can share one neighbour (copies pick the same earliest
     # copy): hot (neighbour, term) keys are salted
     j = salted_join(own, other, ["neighbor_id", "term"], "left", salt_by=["doc_id"])
     v = F.greatest(F.lit(0.0), F.col("weight") - F.coalesce(F.col("nweight"), F.lit(0.0)))
-    return j.select("doc_id", "term", v.alias("weight")).filter(F.col("weight") > F.lit(NOVELTY_EPS))
+    out = j.select("doc_id", "term", v.alias("weight"))
+    if not ignore_isolated:  # without a neighbour nothing is compared: no join, and no hot null key
+        alone = postings.join(nb.filter("neighbor_id IS NOT NULL").select("doc_id"), "doc_id", "left_anti")
+        out = out.unionByName(alone.select("doc_id", "term", F.col("weight").cast("double").alias("weight")))
+    return out.filter(F.col("weight") > F.lit(NOVELTY_EPS))
 
 
 def novelty_stats(postings: DataFrame, neighbors: DataFrame, buckets: DataFrame | None = None,

@@ -8,7 +8,8 @@ computes the lag of its own rows; only the first row of a partition can
 have its predecessor elsewhere, and that is the last row of the nearest
 non-empty earlier partition (range partitions are ordered).  Those boundary
 rows are one per partition (a count bound by the partition number, not by
-the data) and are shipped to the second pass in the task closure.
+the data) and are broadcast.  Everything stays in the JVM, so 64-bit ids are
+exact.
 
 The partitioned, sorted rows are checkpointed between the two passes so
 both see identical partitions even if an executor is lost.
@@ -16,9 +17,9 @@ both see identical partitions even if an executor is lost.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize
 
@@ -31,48 +32,26 @@ def ordered_predecessor(df: DataFrame, group_cols: list[str], order_cols: list[s
     cols = list(dict.fromkeys(keys + [value_col]))
     ranged = df.select(*cols)
     ranged = ranged.repartitionByRange(partitions, *keys) if partitions else ranged.repartitionByRange(*keys)
-    ranged = materialize(ranged.sortWithinPartitions(*keys).withColumn("_pid", F.spark_partition_id()), "checkpoint")
-
-    # pass 1: last row of every non-empty partition
-    def last_rows(batches):
-        last = None
-        for pdf in batches:
-            if len(pdf):
-                last = pdf.iloc[[-1]]
-        if last is not None:
-            yield last
-    schema = ranged.select(*cols, "_pid").schema
-    tails = {int(r["_pid"]): tuple(r[c] for c in group_cols) + (r[value_col],)
-             for r in ranged.mapInPandas(last_rows, schema).collect()}
-    prev_tail, carry = {}, None
-    for pid in range(max(tails) + 1 if tails else 0):
-        prev_tail[pid] = carry
-        if pid in tails:
-            carry = tails[pid]
-    n_groups = len(group_cols)
-
-    # pass 2: lag inside the partition, first row fixed from the boundary
-    def lag(batches):
-        carry_row = None
-        first = True
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            g = pdf[group_cols].apply(tuple, axis=1) if n_groups > 1 else pdf[group_cols[0]].map(lambda x: (x,))
-            prev_val = pdf[value_col].shift(1)
-            prev_grp = g.shift(1)
-            if first:
-                b = prev_tail.get(int(pdf["_pid"].iloc[0]))
-                carry_row = (b[:n_groups], b[n_groups]) if b is not None else None
-                first = False
-            if carry_row is not None:
-                prev_grp.iloc[0] = carry_row[0]
-                prev_val.iloc[0] = carry_row[1]
-            same = [a == b for a, b in zip(g, prev_grp)]
-            out = pdf.drop(columns=["_pid"]).copy()
-            out[out_col] = prev_val.where(pd.Series(same, index=pdf.index)).astype("Int64" if
-                                                                                     pd.api.types.is_integer_dtype(pdf[value_col]) else "object")
-            carry_row = (g.iloc[-1], pdf[value_col].iloc[-1])
-            yield out
-    out_schema = ranged.select(*cols, F.col(value_col).alias(out_col)).schema
-    return ranged.mapInPandas(lag, out_schema)
+    ranged = materialize(ranged.sortWithinPartitions(*keys).withColumns({"_pid": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "checkpoint")
+
+    # the last row of every non-empty partition: a row per partition
+    tail = F.max_by(F.struct(*[F.col(c) for c in dict.fromkeys([*group_cols, value_col])]), "_at").alias("tail")
+    tails = {r["_pid"]: r["tail"] for r in ranged.groupBy("_pid").agg(tail).collect()}
+    rows, carry = [], None
+    for pid in sorted(tails):
+        if carry is not None:
+            rows.append((pid, carry))
+        carry = tails[pid]
+    spark = df.sparkSession
+    kind = ranged.select(F.struct(*[F.col(c) for c in dict.fromkeys([*group_cols, value_col])]).alias("t")).schema["t"].dataType
+    before = spark.createDataFrame(rows, T.StructType([T.StructField("_pid", T.IntegerType()), T.StructField("_before", kind)]))
+
+    # partitions are even (range-partitioned), so a window per partition is no hot group
+    w = Window.partitionBy("_pid").orderBy("_at")
+    row = F.struct(*[F.col(c) for c in dict.fromkeys([*group_cols, value_col])])
+    out = ranged.withColumn("_last", F.lag(row).over(w)).join(F.broadcast(before), "_pid", "left")
+    last = F.coalesce(F.col("_last"), F.col("_before"))
+    same = F.lit(True)
+    for c in group_cols:
+        same = same & last.getField(c).eqNullSafe(F.col(c))
+    return out.select(*cols, F.when(last.isNotNull() & same, last.getField(value_col)).alias(out_col))

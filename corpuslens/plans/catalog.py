@@ -21,7 +21,7 @@ from . import oracle_sql as Q
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 GREEDY_K = 5
-GREEDI_P = 2
+GREEDI_P = 16
 LSH_BANDS, LSH_ROWS = 3, 4
 LSH_SEED = "corpuslens"
 
@@ -183,7 +183,7 @@ def q_lazy_greedy_select(spark, sf_dir):
     return rounded(lazy_greedy_select(weighted_cells(spark, sf_dir), GREEDY_K, batch=8))
 
 
-_PARTED = f"pc AS (SELECT *, CAST(((doc_id % {GREEDI_P}) + {GREEDI_P}) % {GREEDI_P} AS INTEGER) AS part FROM cells)"
+_PARTED = f"pc AS (SELECT *, {Q.part_of(GREEDI_P)} AS part FROM cells)"
 
 
 @register("greedi_first", Q.with_(*Q.CORPUS, Q.F1_CELLS, _PARTED, *Q.greedy_ctes(GREEDY_K, "pc", "f", grouped=True))
@@ -305,7 +305,7 @@ def q_combine_corpora(spark, sf_dir):
 
 def graph_cells(spark, sf_dir):
     from ..functions.objectives import graph_coverage_cells
-    return graph_coverage_cells(TB.doc_edges(spark, sf_dir))
+    return graph_coverage_cells(TB.doc_edges(spark, sf_dir), candidates=TB.documents(spark, sf_dir))
 
 
 def cut_cells(spark, sf_dir):
@@ -337,7 +337,7 @@ def _scored(cells, trials):
     return rounded(score_sets(cells, trials))
 
 
-GRAPH_CAND = "SELECT doc_id FROM adj"
+GRAPH_CAND = "SELECT doc_id FROM adj UNION SELECT doc_id FROM documents"
 CUT_CAND = "SELECT a AS doc_id FROM und UNION SELECT b FROM und"
 REV_CAND = "SELECT doc_id FROM rev"
 BOOSTED = [*Q.CORPUS, Q.EDGES, Q.ADJ, Q.REV, Q.boost_cte(), Q.BOOSTED_POSTINGS,
@@ -347,7 +347,7 @@ BOOSTED = [*Q.CORPUS, Q.EDGES, Q.ADJ, Q.REV, Q.boost_cte(), Q.BOOSTED_POSTINGS,
 @register("graph_coverage", Q.with_(Q.EDGES, Q.ADJ, Q.GRAPH_CELLS, Q.random_sets(GRAPH_CAND, GREEDY_K, TRIALS))
           + Q.score_sets("gcells"))
 def q_graph_coverage(spark, sf_dir):
-    return _scored(graph_cells(spark, sf_dir), _trials_of(spark, TB.doc_edges(spark, sf_dir)))
+    return _scored(graph_cells(spark, sf_dir), _trials_of(spark, TB.doc_edges(spark, sf_dir).select("doc_id").union(TB.documents(spark, sf_dir).select("doc_id"))))
 
 
 @register("graph_cut", Q.with_(Q.LINES, Q.UND, Q.CUT_CELLS, Q.random_sets(CUT_CAND, GREEDY_K, TRIALS))

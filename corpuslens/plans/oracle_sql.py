@@ -97,9 +97,15 @@ def greedy_query(cell_ctes: list[str], k: int, cells: str = "cells") -> str:
     return with_(*cell_ctes, *greedy_ctes(k, cells)) + selection_select()
 
 
+def part_of(p: int) -> str:
+    """Part of a document, as ``operators.greedi.part_of``."""
+    m = (1 << 31) - 1
+    return f"CAST((((((doc_id % {m}) + {m}) % {m}) * 48271 % {m}) // 65536) % {p} AS INTEGER)"
+
+
 def greedi_query(cell_ctes: list[str], k: int, p: int, cells: str = "cells") -> str:
     """G3 + G4: k rounds per part, then k rounds over the winners."""
-    parted = f"pc AS (SELECT *, CAST(((doc_id % {p}) + {p}) % {p} AS INTEGER) AS part FROM {cells})"
+    parted = f"pc AS (SELECT *, {part_of(p)} AS part FROM {cells})"
     second = f"sc AS (SELECT * FROM {cells} WHERE doc_id IN (SELECT doc_id FROM f_all))"
     return with_(*cell_ctes, parted, *greedy_ctes(k, "pc", "f", grouped=True), second,
                  *greedy_ctes(k, "sc", "g")) + selection_select()
@@ -160,7 +166,7 @@ PAGECATS = """page_categories AS (
 DATES = "dates AS (SELECT doc_id, CAST((((doc_id // 100) % 100) + 100) % 100 AS INTEGER) AS period FROM documents)"
 
 GRAPH_CELLS = """gcells AS (
-  SELECT doc_id, CAST(doc_id AS VARCHAR) AS cell, 'max' AS kind, 1.0 AS theta, 1.0 AS value FROM (SELECT DISTINCT doc_id FROM adj) o
+  SELECT doc_id, CAST(doc_id AS VARCHAR) AS cell, 'max' AS kind, 1.0 AS theta, 1.0 AS value FROM (SELECT doc_id FROM adj UNION SELECT doc_id FROM documents) o
   UNION ALL
   SELECT doc_id, CAST(src_id AS VARCHAR), 'max', 1.0, 1.0 FROM adj)"""
 CUT_CELLS = """ccells AS (

@@ -62,7 +62,7 @@ def choose_objective(postings: DataFrame, vocab_size: int, counts: DataFrame | N
     return CellsObjective("word_coverage", O.word_coverage_cells(postings, vocab_size))
 
 
-def summarize(objective, k: int, method: str = "greedi", partitions: int | str = "auto",
+def summarize(objective, k: int, method: str = "greedi", partitions: int = 16,
               keep_best: bool = False, batch: int = 16) -> DataFrame:
     """Select ``k`` documents maximising ``objective`` (a CustomObjective or a
     cells DataFrame).  ``method``: ``greedi`` (two rounds), ``lazy`` or
@@ -73,7 +73,7 @@ def summarize(objective, k: int, method: str = "greedi", partitions: int | str =
     cells = objective if isinstance(objective, DataFrame) else objective.cells()
     name = getattr(objective, "name", "custom")
     if method == "greedi":
-        sel = greedi_select(cells, k, partitions, keep_best=keep_best, batch=batch)
+        sel = greedi_select(cells, k, partitions, keep_best=keep_best)
     elif method == "lazy":
         sel = lazy_greedy_select(cells, k, batch=batch)
     elif method == "greedy":

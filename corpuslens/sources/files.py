@@ -95,7 +95,7 @@ def _int_fields(path_df: DataFrame) -> DataFrame:
 def read_edge_list(spark: SparkSession, path: str) -> DataFrame:
     """A3: lines ``node source`` (``#`` comments skipped) -> ``(doc_id, src_id)``."""
     f = _int_fields(spark.read.text(path))
-    out = f.select(F.col("f")[0].try_cast("bigint").alias("doc_id"), F.col("f")[1].try_cast("bigint").alias("src_id"))
+    out = f.select(F.get("f", 0).try_cast("bigint").alias("doc_id"), F.get("f", 1).try_cast("bigint").alias("src_id"))
     return out.filter(F.col("doc_id").isNotNull() & F.col("src_id").isNotNull())
 
 
@@ -103,8 +103,8 @@ def read_revision_stats(spark: SparkSession, path: str, with_volume: bool = True
     """A4: lines ``id count [volume]`` -> ``(doc_id, rev_count, rev_volume)``;
     the volume is null when absent or not asked for."""
     f = _int_fields(spark.read.text(path))
-    vol = F.when(F.size("f") > 2, F.col("f")[2].try_cast("bigint")) if with_volume else F.lit(None).cast("bigint")
-    out = f.select(F.col("f")[0].try_cast("bigint").alias("doc_id"), F.col("f")[1].try_cast("bigint").alias("rev_count"),
+    vol = F.when(F.size("f") > 2, F.get("f", 2).try_cast("bigint")) if with_volume else F.lit(None).cast("bigint")
+    out = f.select(F.get("f", 0).try_cast("bigint").alias("doc_id"), F.get("f", 1).try_cast("bigint").alias("rev_count"),
                    vol.alias("rev_volume"))
     return out.filter(F.col("doc_id").isNotNull() & F.col("rev_count").isNotNull())
 

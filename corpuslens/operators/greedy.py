@@ -13,8 +13,8 @@ shuffle otherwise.  The plan of every round is rebuilt from the cached cells
 and a literal id list, so lineage never grows with k.  Only k rows (the picks)
 ever reach the driver.
 
-The lazy variant keeps upper bounds (stale gains) and re-evaluates only the
-best ``batch`` documents per step; it returns exactly the same picks.
+The lazy variant keeps upper bounds (stale gains) in a table and re-evaluates
+only documents whose bound may still win; it returns exactly the same picks.
 """
 
 from __future__ import annotations
@@ -82,6 +82,7 @@ class _Engine:
             kinds = {r[0] for r in cells.select("kind").distinct().collect()}
         if unknown := kinds - set(KINDS):
             raise ValueError(f"unknown kinds of cells: {sorted(map(str, unknown))}")
+        self.kinds = kinds
         self.has_std = bool(kinds - {INFLUENCE})
         self.has_inf = INFLUENCE in kinds
 
@@ -112,11 +113,14 @@ class _Engine:
                                          F.coalesce(F.col("m"), F.lit(0.0)))
         return j.groupBy("doc_id").agg(F.sum(contrib).alias("gain"), F.countDistinct("cell").alias("n_cells"))
 
-    def gains(self, only: list[int] | None = None) -> DataFrame:
-        """``(doc_id, gain, n_cells)`` for unselected docs (or just ``only``)."""
+    def gains(self, only: list[int] | None = None, due: DataFrame | None = None) -> DataFrame:
+        """``(doc_id, gain, n_cells)`` for unselected docs (or just the ids of
+        ``only``, a short list, or of ``due(doc_id)``)."""
         c = self.cells
         if only is not None:
             c = c.filter(F.col("doc_id").isin(only))
+        if due is not None:
+            c = c.join(due, "doc_id", "left_semi")
         if self.selected:
             c = c.filter(~F.col("doc_id").isin(self.selected))
         parts = ([self._standard(c)] if self.has_std else []) + ([self._influence(c)] if self.has_inf else [])
@@ -149,10 +153,6 @@ def _order(gain: str = "gain"):
     return [F.round(F.col(gain), GAIN_DIGITS).desc(), F.col("doc_id").asc()]
 
 
-def _key(gain: float, doc_id: int):
-    return (round(gain, GAIN_DIGITS), -doc_id)
-
-
 def _to_frame(spark, picks) -> DataFrame:
     rows, total = [], 0.0
     for i, (doc_id, gain) in enumerate(picks, start=1):
@@ -183,87 +183,54 @@ def greedy_select(cells: DataFrame, k: int, prepared: bool = False, cache: str =
     return _to_frame(cells.sparkSession, picks)
 
 
-def _after(key_col: str, last) -> Column:
-    """Rows strictly after ``last`` in (round(key, 9) desc, doc_id asc) order."""
-    r = F.round(F.col(key_col), GAIN_DIGITS)
-    lr = round(last[1], GAIN_DIGITS)
-    return (r < F.lit(lr)) | ((r == F.lit(lr)) & (F.col("doc_id") > F.lit(int(last[0]))))
-
-
 def lazy_greedy_select(cells: DataFrame, k: int, batch: int = 16, prepared: bool = False,
                        cache: str = "checkpoint", broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-                       stats: dict | None = None, fetch: int | None = None) -> DataFrame:
+                       stats: dict | None = None) -> DataFrame:
     """Batched lazy greedy.  Same picks as :func:`greedy_select`.
 
     Gains only shrink as the selection grows (submodularity), so a gain
-    computed earlier is an upper bound.  The driver keeps a candidate list:
-    the best ``fetch`` documents by initial gain (a distributed take-ordered,
-    extended only when exhausted).  Every step re-evaluates the ``batch``
-    candidates with the best bounds in one Spark job; a freshly evaluated doc
-    wins once its (rounded gain, -id) key beats every remaining bound,
-    including the bound of all documents beyond the list (at most the
-    initial gain of the list's last entry).  Memory on the driver is the
-    list, not the corpus.  ``stats`` receives the share re-evaluated.
+    computed earlier is an upper bound.  The bounds of all documents stay in a
+    table.  A round evaluates the ``batch`` best-bounded documents, which gives a
+    gain to beat, and then every document whose bound is not below it; whatever
+    is left cannot win.  At most ``batch`` ids and one row per round reach the
+    driver, however many documents share a bound.  ``stats`` receives the share
+    re-evaluated.  Not for ``exactly_one`` cells, whose gains may grow.
     """
-    spark = cells.sparkSession
     c = cells if prepared else prepare_cells(cells, cache)
     eng = _Engine(c, broadcast_rows)
-    # one row per doc, derived from the checkpointed cells (short lineage): cached
-    base = materialize(eng.gains().withColumnRenamed("gain", "base"), "persist" if cache != "none" else "none")
-    n_docs = base.count()
-    fetch = fetch or max(16 * batch, 2 * batch * k)
-    cand: list[tuple[int, float, int]] = []        # (doc_id, base, n_cells) in base order
-    exhausted = False
-
-    def extend():
-        nonlocal exhausted
-        q = base if not cand else base.filter(_after("base", cand[-1]))
-        rows = q.orderBy(*_order("base")).limit(fetch).collect()
-        cand.extend((r["doc_id"], r["base"], r["n_cells"]) for r in rows)
-        exhausted = len(rows) < fetch
-
-    extend()
-    fresh: dict[int, float] = {}
-    chosen: set[int] = set()
-    picks, evaluated_per_round = [], []
+    if EXACTLY_ONE in eng.kinds:
+        raise ValueError("lazy greedy needs gains that only shrink; use greedy_select for exactly_one cells")
+    staging = "table" if cache == "checkpoint" else cache
+    bounds = materialize(eng.gains().select("doc_id", F.col("gain").alias("bound"), "n_cells"), staging)
+    n_docs = bounds.count()
+    picks, evaluated = [], []
+    rounded = F.round(F.col("bound"), GAIN_DIGITS)
     for rnd in range(min(k, n_docs)):
-        exact: dict[int, float] = {}
-        step = batch
+        head = bounds.orderBy(rounded.desc(), F.col("doc_id")).limit(batch if rnd else 1).collect()
         if rnd == 0:
-            exact[cand[0][0]] = cand[0][1]      # initial gains are exact
-        while True:
-            live = [(d, fresh.get(d, b)) for d, b, _ in cand if d not in chosen]
-            todo = [d for d, g in sorted(live, key=lambda x: _key(x[1], x[0]), reverse=True) if d not in exact][:step]
-            if len(todo) < step and not exhausted:
-                extend()
-                continue
-            if rnd > 0 and todo:
-                for r in eng.gains(only=todo).collect():
-                    exact[r["doc_id"]] = r["gain"]
-                for d in todo:
-                    exact.setdefault(d, 0.0)
-                fresh.update(exact)
-            best = max(exact.items(), key=lambda kv: _key(kv[1], kv[0]))
-            stale = [_key(g, d) for d, g in live if d not in exact]
-            if not exhausted:
-                stale.append(_key(cand[-1][1], cand[-1][0]))
-            if not stale or _key(best[1], best[0]) >= max(stale):
-                break
-            if rnd == 0:
-                break
-            step *= 4                            # geometric growth: O(log) jobs per round
-        evaluated_per_round.append(len(exact))
-        eng.select(best[0], next(n for d, _, n in cand if d == best[0]))
-        chosen.add(best[0])
-        picks.append(best)
+            best, gain, n_cells = head[0]["doc_id"], head[0]["bound"], head[0]["n_cells"]   # first gains are exact
+            evaluated.append(0)
+        else:
+            to_beat = eng.gains(only=[r["doc_id"] for r in head]).orderBy(*_order()).first()
+            due = bounds.filter(rounded >= F.lit(round(to_beat["gain"], GAIN_DIGITS))).select("doc_id")
+            fresh = materialize(eng.gains(due=due), staging)
+            top = fresh.orderBy(*_order()).first()
+            best, gain, n_cells = top["doc_id"], top["gain"], top["n_cells"]
+            evaluated.append(fresh.count())
+            old = bounds
+            bounds = materialize(old.join(fresh.select("doc_id", "gain"), "doc_id", "left")
+                                 .select("doc_id", F.coalesce("gain", "bound").alias("bound"), "n_cells"), staging)
+            old.unpersist()
+            fresh.unpersist()
+        bounds = bounds.filter(F.col("doc_id") != F.lit(best))
+        eng.select(best, n_cells)
+        picks.append((best, gain))
     eng.release()
-    base.unpersist()
+    bounds.unpersist()
     if not prepared:
         c.unpersist()
     if stats is not None:
-        stats["n_docs"] = n_docs
-        stats["evaluated_per_round"] = evaluated_per_round
-        stats["candidates_fetched"] = len(cand)
-        later = evaluated_per_round[1:]
-        stats["share_evaluated"] = (sum(later) / max(1, len(later))) / max(1, n_docs)
-    return _to_frame(spark, picks)
+        later = evaluated[1:]
+        stats.update(n_docs=n_docs, evaluated_per_round=evaluated,
+                     share_evaluated=(sum(later) / max(1, len(later))) / max(1, n_docs))
+    return _to_frame(cells.sparkSession, picks)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -74,13 +75,20 @@ def materialize(df: DataFrame, mode: str = "checkpoint") -> DataFrame:
     of any executor), then keeps a columnar in-memory copy for the repeated
     scans of iterative operators; a lost cached block is re-read from the
     checkpoint, not recomputed.  ``persist`` only caches (lost blocks are
-    recomputed from lineage); ``none`` is a no-op.
+    recomputed from lineage); ``table`` writes Parquet below the checkpoint
+    folder and reads it back, for tables that a loop joins again and again (a
+    checkpoint keeps the optimizer's constraints of its plan, which double with
+    every such round); ``none`` is a no-op.
     """
     if mode == "none":
         return df
     if mode == "persist":
         return df.persist(StorageLevel.MEMORY_AND_DISK)
-    ensure_checkpoint_dir(df.sparkSession)
+    folder = ensure_checkpoint_dir(df.sparkSession)
+    if mode == "table":
+        path = f"{folder}/table-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
     return df.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
 
 

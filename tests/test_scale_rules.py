@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions import objectives as O
 from corpuslens.functions.pages import document_date
 from corpuslens.operators.greedi import greedi_first, greedi_select, part_of
-from corpuslens.operators.greedy import greedy_select
+from corpuslens.operators.greedy import greedy_select, lazy_greedy_select
 from corpuslens.operators.ordered import ordered_predecessor
 from corpuslens.sources.files import read_edge_list, read_revision_stats
 
@@ -74,3 +74,14 @@ def test_predecessor_of_ids_above_two_to_the_53(spark):
     for parts in (1, 4):
         got = {r.doc_id - big: r.prev and r.prev - big for r in ordered_predecessor(df, ["g"], ["doc_id"], "doc_id", "prev", parts).collect()}
         assert got == {1: None, 3: 1, 5: 3, 7: None}
+
+
+def test_lazy_greedy_with_a_term_that_all_documents_share(spark):
+    """All bounds fall together after the first pick; only ids of a batch may leave Spark."""
+    rows = [(d, "shared", 10.0, 1.0) for d in range(60)] + [(d, f"own{d}", 1.0, 0.1 + 0.001 * d) for d in range(60)]
+    cells = cells_of(spark, rows)
+    stats = {}
+    assert picks(lazy_greedy_select(cells, 4, batch=2, stats=stats)) == picks(greedy_select(cells, 4))
+    assert stats["evaluated_per_round"][1] >= 59
+    with pytest.raises(ValueError, match="exactly_one"):
+        lazy_greedy_select(cells_of(spark, rows, kind="exactly_one"), 2)

@@ -15,7 +15,7 @@ LIST, OTHER, ARTICLE, NON_ARTICLE = "LIST", "OTHER", "ARTICLE", "NON_ARTICLE"
 # Title prefixes of list pages and the disambiguation suffix.
 LIST_PREFIXES = ("List of", "List_of", "Glossary of", "Glossary_of")
 DISAMBIGUATION_SUFFIX = "(disambiguation)"
-# A page whose title is longer than this share of its content is OTHER.
+# Fixed value: a page whose title is longer than this share of its content is OTHER.
 TITLE_SHARE = 0.01
 
 # Default flag rules for raw HTML pages (arguments of ``html_pages``).
@@ -40,10 +40,23 @@ def strip_html(html: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"[ \t\r\n]+", " "))
 
 
+def template_depth(text: Column) -> Column:
+    """How deep templates are nested in wiki markup."""
+    signs = F.regexp_extract_all(text, F.lit(r"\{\{|\}\}"), F.lit(0))
+    state = lambda now, most: F.struct(now.alias("now"), most.alias("most"))
+
+    def step(a: Column, sign: Column) -> Column:
+        now = F.greatest(F.lit(0), a["now"] + F.when(sign == "{{", F.lit(1)).otherwise(F.lit(-1)))
+        return state(now, F.greatest(a["most"], now))
+    return F.aggregate(signs, state(F.lit(0), F.lit(0)), step, lambda a: a["most"])
+
+
 def strip_wikitext(text: Column) -> Column:
-    """Plain text of wiki markup: templates, refs, links, emphasis, headings."""
-    x = F.regexp_replace(text, r"(?s)<ref[^>]*>.*?</ref>", " ")
-    x = F.regexp_replace(x, r"(?s)\{\{[^{}]*\}\}", " ")
+    """Plain text of wiki markup: templates (from the innermost outwards),
+    refs, links, emphasis, headings."""
+    x = F.regexp_replace(text, r"(?s)<ref[^>/]*/>|<ref[^>]*>.*?</ref>", " ")
+    x = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), template_depth(x))), x,
+                    lambda t, _: F.regexp_replace(t, r"\{\{[^{}]*\}\}", " "))
     x = F.regexp_replace(x, r"\[\[(?:[^|\]]*\|)?([^\]]*)\]\]", "$1")
     x = F.regexp_replace(x, r"\[https?://[^ \]]* ?([^\]]*)\]", "$1")
     x = F.regexp_replace(x, r"'{2,}", "")
@@ -100,6 +113,14 @@ def pages_to_text(classified: DataFrame) -> DataFrame:
     return classified.filter(F.col("page_type") == ARTICLE).select("doc_id", F.col("content").alias("text"))
 
 
+def articles_of_dump(dump: DataFrame, fmt: str | None = None) -> DataFrame:
+    """B1 + B3 + B4 on a page table of ``read_wiki_dump``: ``(doc_id, text, period)`` of
+    its ARTICLE pages; the period is null where the timestamp cannot be read."""
+    pages = classify_pages(dump.withColumn("content", strip_wikitext(F.col("text"))))
+    return pages.filter(F.col("page_type") == ARTICLE).select(
+        "doc_id", F.col("content").alias("text"), document_date(F.col("ts"), fmt).alias("period"))
+
+
 def document_date(ts: Column, fmt: str | None = None) -> Column:
     """``YEAR * 1000 + DAY_OF_YEAR`` (UTC); strings are parsed leniently
     and unparsable values give null (callers drop those rows)."""
@@ -118,6 +139,7 @@ def aan_key(name: Column) -> Column:
     return F.concat((F.ascii(name) % 100).cast("string"), F.substring(name, 2, 2), F.substring(name, 5, 4)).try_cast("bigint")
 
 
+# The line prefix; the offsets in ``aan_key`` and ``nips_key`` follow the file names' format.
 NIPS_PREFIX = "file is ../nipsdata/txt/"
 
 

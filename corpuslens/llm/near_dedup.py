@@ -201,6 +201,17 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """Labels after new links: only the groups that the links join are walked."""
+    mine = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
+    groups = found.join(mine("a"), "a", "left").join(mine("b"), "b", "left").select(
+        F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).filter("a <> b").distinct()
+    moved = components(groups).select(F.col("node").alias("label"), F.col("label").alias("new"))
+    alone = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
+    every = labels.select("node", "label").union(alone.select("node", F.col("node").alias("label")))
+    return staged(every.join(moved, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
+
+
 def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs that lie between two groups (``of_a`` and ``of_b``)."""
     mine = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
@@ -257,7 +268,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, trees: int =
         news = found.limit(1).count()
         if news:
             links, asked = links.union(found), asked.union(ask)
-            labels = components(links)
+            labels = _merged(labels, found)
         if not hubs_left:
             break
         hubs_left = bool(news)                # else hubs bring no more: the pairs themselves

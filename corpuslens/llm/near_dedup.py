@@ -16,10 +16,15 @@ confirmed links), which finds borderline members that are like the group's
 original only.  That goes on until no link is found; then all pairs that still
 lie between two such groups are compared.
 
-Recall: a pair at similarity 0.8 shares a prefix of four values in a tree
-with probability 0.41, so that of 32 trees fewer than two do is a matter of
-1e-6.  Linked pairs are joined into groups by least-label propagation with
-pointer jumping.
+The orders only find most links early.  What they leave out is found exactly:
+with the shingles of each set in one global order, rare ones first, two sets
+at the asked similarity share a shingle among the first fifth or so of both.
+All pairs of classes in different groups that share one there, and that length
+and place do not rule out, are compared.  Pairs inside a group add nothing and
+are not formed, so a shingle that a large group shares costs its few rows from
+elsewhere times its many, not the square.  So the groups are those of all links.
+Linked pairs are joined into groups by least-label propagation with pointer
+jumping.
 
 Defined results: null and empty texts have an empty set and are linked with
 nothing; texts below ``size`` words have one shingle, the whole sequence;
@@ -47,6 +52,7 @@ LEAST_DEPTH, DEEP = 4, 6      # shortest common prefix; prefix that suffices alo
 MEETINGS = 2                  # orders in which a pair, or two groups, must meet else
 NEIGHBOURS = 2                # rows looked back at in each order
 HUBS = 8                      # classes of a group that its doubtful members are compared with
+COUNTERS = 16                 # bits of the counters that put rare shingles first (any order is right)
 HASHED_AT_ONCE = 1 << 16      # shingles whose hashes stay in a core's cache
 
 
@@ -237,6 +243,82 @@ def _hub_pairs(doubtful: DataFrame, links: DataFrame, labels: DataFrame) -> Data
     return ask.join(hubs, "group").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
+def _count_shingles(size: int):
+    def run(batches):
+        reader, total = SpanHasher(), np.zeros(1 << COUNTERS, np.int64)
+        for batch in batches:
+            for values, _ in shingle_sets(reader, batch["text"], size):
+                total += np.bincount((values >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["counter", "n"])
+    return run
+
+
+def _prefixes(size: int, percent: int, shared):
+    """``(node, set_key, text)`` -> of the texts with that set, the shingles of which two
+    sets of the asked similarity share one: the rarest, in one order for all sets."""
+    def run(batches):
+        reader, counts = SpanHasher(), shared.value
+        for batch in batches:
+            keys, row, n, first, at = batch["set_key"].to_pylist(), [], [], [], 0
+            for values, starts in shingle_sets(reader, batch["text"], size):
+                often = counts[(values >> np.uint64(64 - COUNTERS)).astype(np.int64)]
+                for a, b in zip(starts[:-1], starts[1:]):
+                    if b > a and set_key(values[a:b]) == keys[at]:
+                        few = b - a + (-percent * (b - a)) // 100 + 1
+                        row.append(at)
+                        n.append(int(b - a))
+                        first.append(values[a:b][np.lexsort((values[a:b], often[a:b]))[:few]].view(np.int64))
+                    at += 1
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch["node"].take(at), batch["copies"].take(at), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64()))],
+                ["node", "copies", "n", "shingles"])
+    return run
+
+
+def prefixes(texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """``(node, n, shingles)``: size and rarest shingles of each class's set."""
+    found = (texts.mapInArrow(_count_shingles(size), "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n"))
+             .collect())  # at most 2 ** COUNTERS rows
+    counts = np.zeros(1 << COUNTERS, np.int64)
+    for r in found:
+        counts[r["counter"]] = r["n"]
+    mine = join_small(texts.withColumnRenamed("doc_id", "node"), classes.select("node", "set_key", "copies"), "node")
+    rows = staged(mine.mapInArrow(_prefixes(size, percent, texts.sparkSession.sparkContext.broadcast(counts)),
+                                  "node bigint, copies bigint, n bigint, shingles array<bigint>"))
+    once, repeated = rows.filter("copies = 1"), rows.filter("copies > 1").dropDuplicates(["node"])
+    return once.unionByName(repeated).drop("copies")
+
+
+def pairs_left(firsts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: every pair of classes in different groups that may reach ``percent``.
+
+    Of the groups that meet in a shingle the largest is not paired with itself."""
+    rows = (firsts.join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), F.posexplode("shingles").alias("at", "shingle")))
+    met = (rows.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+           .filter("low <> high").select("shingle"))
+    shared = staged(join_small(rows, staged(met), "shingle").select("shingle", "node", "label", "n", "at"))
+    most = (shared.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("rows"))
+            .groupBy("shingle").agg(F.max(F.struct("rows", "label")).alias("m")).select("shingle", F.col("m.label").alias("most")))
+    sided = staged(join_small(shared, staged(most), "shingle"))
+    x, y = sided.filter("label <> most").alias("x"), sided.alias("y")
+    least, largest = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+    rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))  # common shingles from here on
+    may = ((F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label"))
+           & ((F.col("y.label") == F.col("y.most")) | (F.col("x.node") < F.col("y.node")))
+           & (100 * least >= percent * largest) & ((100 + percent) * rest >= percent * (F.col("x.n") + F.col("y.n"))))
+    return (x.join(y, may).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+
+
+def sets_of(texts: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """``(node, set_key, members)`` of the classes in ``pairs``."""
+    wanted = staged(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"))
+    sets = (join_small(texts.withColumnRenamed("doc_id", "node"), wanted, "node")
+            .mapInArrow(_sets(size), "node bigint, set_key binary, members binary"))
+    return staged(sets.join(classes.select("node", "set_key"), ["node", "set_key"]).dropDuplicates(["node", "set_key"]))
+
+
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row per row of ``docs``.
 
@@ -246,14 +328,11 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, trees: int =
     signed = staged(texts.mapInArrow(_sign(size, trees, depth),
                                      "doc_id bigint, n_shingles bigint, set_key binary, signature binary"))
     classes = staged(signed.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key")
-                     .agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")))
+                     .agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.count(F.lit(1)).alias("copies")))
     pairs = staged(candidates(classes.select("node", "signature"), trees, depth))
 
     met = (F.col("trees") >= MEETINGS) | (F.col("same") >= DEEP)
-    wanted = staged(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"))
-    sets = (join_small(texts.withColumnRenamed("doc_id", "node"), wanted, "node")
-            .mapInArrow(_sets(size), "node bigint, set_key binary, members binary"))
-    sets = staged(sets.join(classes.select("node", "set_key"), ["node", "set_key"]).dropDuplicates(["node", "set_key"]))
+    sets = sets_of(texts, classes, pairs, size)
 
     best = pairs.filter(met).groupBy("b").agg(F.max(F.struct("trees", "same", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     links = staged(confirmed(best, sets, percent))
@@ -273,6 +352,11 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, trees: int =
             break
         hubs_left = bool(news)                # else hubs bring no more: the pairs themselves
 
+    pairs = staged(pairs_left(prefixes(texts, classes, size, percent), labels, percent).join(asked, ["a", "b"], "left_anti"))
+    found = staged(confirmed(pairs, sets_of(texts, classes, pairs, size), percent))
+    if found.limit(1).count():
+        labels = _merged(labels, found)
+
     ids = (classes.select("set_key", "node").join(labels, "node", "left")
            .select("set_key", F.coalesce("label", "node").alias("component_id")))
     linked = signed.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "set_key").join(ids, "set_key")

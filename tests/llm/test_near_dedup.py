@@ -95,3 +95,24 @@ def test_signature_agreement_follows_similarity():
     (values, starts), = N.shingle_sets(reader, pa.array([" ".join(a), " ".join(b)]), 1)
     s = N.signatures(values, starts, 1024)
     assert abs((s[0] == s[1]).mean() - 340 / 460) < 0.05
+
+
+def test_links_that_the_orders_miss_are_found(spark, monkeypatch):
+    """With orders that show no pair at all, the groups are still those of all links."""
+    rng = np.random.default_rng(5)
+    docs = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(100)]
+        for _ in range(12):
+            w = list(base)
+            for p in rng.choice(100, rng.integers(0, 11), replace=False):
+                w[p] = f"x{len(docs)}_{p}"
+            docs.append((len(docs), " ".join(w)))
+    docs += [(100, docs[3][1]), (3, docs[3][1]), (101, "one two"), (102, ""), (103, None)]
+    whole = N.candidates
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for size in (1, 2):
+        assert got(N.near_groups(table, size=size)) == brute(docs, size)
+    monkeypatch.setattr(N, "candidates", lambda *a, **b: whole(*a, **b).filter("a < 0"))
+    for size in (1, 2):
+        assert got(N.near_groups(table, size=size)) == brute(docs, size)

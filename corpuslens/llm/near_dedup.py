@@ -29,8 +29,9 @@ jumping.
 Defined results: null and empty texts have an empty set and are linked with
 nothing; texts below ``size`` words have one shingle, the whole sequence;
 rows with equal sets are in one group whatever their ids; a row without id is
-its own group (``component_id`` null) and is kept; an empty table gives an
-empty table.  Only ``doc_id`` and ``text`` are read, so other columns cannot
+its own group (``component_id`` null) and is kept; a group's ``component_id``
+is its least ``doc_id`` and one text of that id is kept, so if an id repeats with
+unlike texts, each goes by its own group; an empty table gives an empty table.  Only ``doc_id`` and ``text`` are read, so other columns cannot
 clash.
 """
 
@@ -40,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import join_small
@@ -102,8 +103,8 @@ def _sign(size: int, trees: int, depth: int):
                 keys += [set_key(values[starts[r]:starts[r + 1]]) if r in at else None for r in range(len(count))]
                 sigs += [sig[at[r]].tobytes() if r in at else None for r in range(len(count))]
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
-                ["doc_id", "n_shingles", "set_key", "signature"])
+                [batch["doc_id"], batch["text_key"], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
+                ["doc_id", "text_key", "n_shingles", "set_key", "signature"])
     return run
 
 
@@ -154,13 +155,10 @@ def _sets(size: int):
     def run(batches):
         reader = SpanHasher()
         for batch in batches:
-            sets, keys = [], []
+            sets = []
             for values, starts in shingle_sets(reader, batch["text"], size):
-                parts = [values[a:b] for a, b in zip(starts[:-1], starts[1:])]
-                sets += [p.tobytes() for p in parts]
-                keys += [set_key(p) for p in parts]
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(keys, pa.binary()), pa.array(sets, pa.binary())],
-                                             ["node", "set_key", "members"])
+                sets += [values[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:])]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.binary())], ["node", "members"])
     return run
 
 
@@ -284,7 +282,7 @@ def prefixes(texts: DataFrame, classes: DataFrame, size: int, percent: int) -> D
     counts = np.zeros(1 << COUNTERS, np.int64)
     for r in found:
         counts[r["counter"]] = r["n"]
-    mine = join_small(texts.withColumnRenamed("doc_id", "node"), classes.select("node", "set_key", "copies"), "node")
+    mine = join_small(texts, classes.select("doc_id", "text_key", "node", "set_key", "copies"), ["doc_id", "text_key"])
     rows = staged(mine.mapInArrow(_prefixes(size, percent, texts.sparkSession.sparkContext.broadcast(counts)),
                                   "node bigint, copies bigint, n bigint, shingles array<bigint>"))
     once, repeated = rows.filter("copies = 1"), rows.filter("copies > 1").dropDuplicates(["node"])
@@ -312,23 +310,35 @@ def pairs_left(firsts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
 
 def sets_of(texts: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """``(node, set_key, members)`` of the classes in ``pairs``."""
+    """``(node, members)`` of the classes in ``pairs``."""
     wanted = staged(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"))
-    sets = (join_small(texts.withColumnRenamed("doc_id", "node"), wanted, "node")
-            .mapInArrow(_sets(size), "node bigint, set_key binary, members binary"))
-    return staged(sets.join(classes.select("node", "set_key"), ["node", "set_key"]).dropDuplicates(["node", "set_key"]))
+    rows = staged(classes.select("doc_id", "text_key", "node").join(wanted, "node"))
+    sets = join_small(texts, rows, ["doc_id", "text_key"]).mapInArrow(_sets(size), "node bigint, members binary")
+    return staged(sets.dropDuplicates(["node"]))
+
+
+def text_key(docs: DataFrame) -> Column:
+    """Tells the texts of one id apart."""
+    return F.unhex(F.md5(docs["text"].cast("string")))
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row per row of ``docs``.
 
     ``size``: words per shingle; ``percent``: least similarity of a link."""
+    return _decided(docs, size, percent, trees, depth).drop("text_key")
+
+
+def _decided(docs: DataFrame, size: int, percent: int, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+    """The rows of ``near_groups`` with their ``text_key``; equal rows are decided alike."""
     arrow_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                        text_key(docs).alias("text_key"))
     signed = staged(texts.mapInArrow(_sign(size, trees, depth),
-                                     "doc_id bigint, n_shingles bigint, set_key binary, signature binary"))
+                                     "doc_id bigint, text_key binary, n_shingles bigint, set_key binary, signature binary"))
     classes = staged(signed.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key")
-                     .agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.count(F.lit(1)).alias("copies")))
+                     .agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.first("signature").alias("signature"), F.count(F.lit(1)).alias("copies"))
+                     .select("set_key", "least.*", "signature", "copies", F.monotonically_increasing_id().alias("node")))
     pairs = staged(candidates(classes.select("node", "signature"), trees, depth))
 
     met = (F.col("trees") >= MEETINGS) | (F.col("same") >= DEEP)
@@ -357,19 +367,25 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, trees: int =
     if found.limit(1).count():
         labels = _merged(labels, found)
 
-    ids = (classes.select("set_key", "node").join(labels, "node", "left")
-           .select("set_key", F.coalesce("label", "node").alias("component_id")))
-    linked = signed.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "set_key").join(ids, "set_key")
-    alone = signed.filter("set_key IS NULL OR doc_id IS NULL").withColumn("component_id", F.col("doc_id"))
-    out = ["doc_id", "n_shingles", "component_id"]
-    return linked.select(*out).unionByName(alone.select(*out)).withColumn(
-        "kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
+    least = F.struct("doc_id", "text_key")
+    linked = classes.select("node", least.alias("least")).join(labels, "node")
+    heads = linked.groupBy("label").agg(F.min("least").alias("head"))
+    heads = join_small(linked.select("node", "label"), staged(heads), "label").select("node", "head")
+    ids = (classes.select("set_key", "node", least.alias("least")).join(heads, "node", "left")
+           .select("set_key", F.coalesce("head", "least").alias("head")))
+    rows = signed.select("doc_id", "text_key", "n_shingles", "set_key")
+    out = ["doc_id", "text_key", "n_shingles", "component_id", "kept"]
+    grouped = (rows.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").join(ids, "set_key")
+               .withColumns({"component_id": F.col("head.doc_id"), "kept": least == F.col("head")}))
+    alone = rows.filter("set_key IS NULL OR doc_id IS NULL").withColumns({"component_id": F.col("doc_id"), "kept": F.lit(True)})
+    return grouped.select(*out).unionByName(alone.select(*out))
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each group the row with the
-    least ``doc_id`` stays (one of them, if rows repeat that id); rows without
+    """The rows of ``docs`` without near copies: of each group one text of the
+    least ``doc_id`` stays (one row, if rows repeat that id and text); rows without
     an id all stay.  All columns of ``docs`` are returned unchanged."""
-    drop = near_groups(docs, size, percent).filter("NOT kept").select("doc_id").distinct()
-    with_id = docs.filter("doc_id IS NOT NULL").join(drop, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return with_id.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    key = "text_key_of_near_copies"
+    drop = _decided(docs, size, percent).filter("NOT kept").select("doc_id", F.col("text_key").alias(key)).distinct()
+    with_id = docs.withColumn(key, text_key(docs)).filter("doc_id IS NOT NULL").join(drop, ["doc_id", key], "left_anti")
+    return with_id.dropDuplicates(["doc_id", key]).select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))

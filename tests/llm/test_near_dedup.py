@@ -116,3 +116,14 @@ def test_links_that_the_orders_miss_are_found(spark, monkeypatch):
     monkeypatch.setattr(N, "candidates", lambda *a, **b: whole(*a, **b).filter("a < 0"))
     for size in (1, 2):
         assert got(N.near_groups(table, size=size)) == brute(docs, size)
+
+
+def test_an_id_with_unlike_texts_loses_only_its_copies(spark):
+    """Texts go by their own group, whatever other texts their id has."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    docs = [(3, a), (5, a), (5, b), (5, b), (7, b + " end"), (8, c), (8, d), (9, d + " end"), (9, c + " end"), (8, c.upper())]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    left = sorted((r.doc_id, r.text.lower()) for r in N.drop_near_copies(table).collect())
+    assert left == [(3, a), (5, b), (8, c), (8, d)]
+    out = [(r.doc_id, r.component_id) for r in N.near_groups(table).collect()]
+    assert sorted(out) == [(3, 3), (5, 3), (5, 5), (5, 5), (7, 5), (8, 8), (8, 8), (8, 8), (9, 8), (9, 8)]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 BATCH_BYTES = 8 << 20
+PLACES = 1 << 63              # places of a sample
 
 
 def arrow_batches(spark: SparkSession) -> None:
@@ -37,5 +38,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def place(doc_id: Column) -> Column:
+    """Place of a document in a sample's order, from 0 to ``PLACES`` - 1."""
+    return F.shiftrightunsigned(F.xxhash64(doc_id.cast("string")), 1)
+
+
+def last_place(rows: int, count: int) -> int:
+    """Last place in a sample of about ``rows`` out of ``count`` rows, in whole
+    numbers, so that the share holds however many rows there are."""
+    return min(PLACES, -(-rows * PLACES // count)) - 1
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, held_out
+from .common import arrow_batches, held_out, last_place, place
 
 FEATURES = 1 << 13
 TRAIN_PER_LANGUAGE = 400
@@ -143,10 +143,8 @@ def training_rows(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> li
     sizes = known.groupBy("lang").count().collect()
     if not sizes:
         return []
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20))
-    top = [(r["lang"], int(min(1.0, per_language / r["count"]) * (1 << 20))) for r in sizes]
-    limit = F.create_map(*[F.lit(x) for pair in top for x in pair])[F.col("lang")]
-    return sorted((r["text"], r["lang"]) for r in known.filter(place < limit).select("text", "lang").collect())
+    limit = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(last_place(per_language, r["count"])).cast("bigint"))])[F.col("lang")]
+    return sorted((r["text"], r["lang"]) for r in known.filter(place(F.col("doc_id")) <= limit).select("text", "lang").collect())
 
 
 def _predict(shared, features: int):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, held_out
+from .common import arrow_batches, held_out, last_place, place
 from .words import SpanHasher, Words, text_slices, word_bytes
 
 TRAIN_ROWS = 4000
@@ -267,11 +267,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[d
     known = (labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20))
-    part = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, rows / n) * (1 << 20)))]) if sizes else None
+    part = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(last_place(rows, n)).cast("bigint"))]) if sizes else None
     if part is None:
         return {}, {"constant": 0.0}
-    chosen = known.filter(place < part[F.col("toxic")])  # about 2 * rows rows, whatever the input: broadcast
+    chosen = known.filter(place(F.col("doc_id")) <= part[F.col("toxic")])  # about 2 * rows rows, whatever the input: broadcast
     sample = (docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
               .join(F.broadcast(chosen), "doc_id")
               .select("text", "toxic", F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(4)).cast("int").alias("fold")).persist())

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 
 import corpus_pipeline
+from corpuslens.llm import common as C
 from corpuslens.llm import language as L
 from corpuslens.llm import queries
 from corpuslens.llm import toxicity as X
@@ -108,3 +109,12 @@ def test_pipeline_run(spark, sf_dir):
     for r in out:
         used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
     assert out and max(used.values()) <= 2048
+
+
+def test_samples_hold_at_every_input_size(spark):
+    for count in (401, 10**6, 419 * 10**6, 10**9, 10**10, 10**13):
+        assert abs((C.last_place(400, count) + 1) / C.PLACES * count - 400) < 0.01
+    assert C.last_place(400, 400) == C.last_place(400, 1) == C.PLACES - 1
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "if(id < 20, 'few', 'many') AS lang")
+    got = [lang for _, lang in L.training_rows(docs, 300)]
+    assert got.count("few") == sum(not out_of_training(i) for i in range(20)) and 220 < got.count("many") < 380

@@ -40,7 +40,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,7 +55,7 @@ LEAST_DEPTH, DEEP = 4, 6      # shortest common prefix; prefix that suffices alo
 MEETINGS = 2                  # orders in which a pair, or two groups, must meet else
 NEIGHBOURS = 2                # rows looked back at in each order
 HUBS = 8                      # classes of a group that its doubtful members are compared with
-COUNTERS = 16                 # bits of the counters that put rare shingles first (any order is right)
+COUNTERS, CHUNKS = 21, 64     # bits of the counters that put rare shingles first (any order is right); parts they are summed in
 HASHED_AT_ONCE = 1 << 16      # shingles whose hashes stay in a core's cache
 
 
@@ -247,11 +249,18 @@ def _count_shingles(size: int):
         for batch in batches:
             for values, _ in shingle_sets(reader, batch["text"], size):
                 total += np.bincount((values >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["counter", "n"])
+        few = np.minimum(total, 65535).astype("<u2").reshape(CHUNKS, -1)
+        salt = TaskContext.get().partitionId() % 32
+        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([salt] * CHUNKS, pa.int32()),
+                                          pa.array([x.tobytes() for x in few], pa.binary())], ["chunk", "salt", "counts"])
     return run
 
 
+def _add_counts(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(x, "<u2").astype(np.int64) for x in pdf["counts"])
+    return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "counts": [np.minimum(total, 65535).astype("<u2").tobytes()]})
+
+
 def _prefixes(size: int, percent: int, shared):
     """``(node, set_key, text)`` -> of the texts with that set, the shingles of which two
     sets of the asked similarity share one: the rarest, in one order for all sets."""
@@ -277,11 +286,10 @@ def _prefixes(size: int, percent: int, shared):
 
 def prefixes(texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """``(node, n, shingles)``: size and rarest shingles of each class's set."""
-    found = (texts.mapInArrow(_count_shingles(size), "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n"))
-             .collect())  # at most 2 ** COUNTERS rows
-    counts = np.zeros(1 << COUNTERS, np.int64)
-    for r in found:
-        counts[r["counter"]] = r["n"]
+    kind = "chunk int, counts binary"
+    parts = texts.mapInArrow(_count_shingles(size), "chunk int, salt int, counts binary").groupBy("chunk", "salt").applyInPandas(_add_counts, kind)
+    found = sorted(parts.groupBy("chunk").applyInPandas(_add_counts, kind).collect())  # 4 MB, whatever the input
+    counts = np.frombuffer(b"".join(r["counts"] for r in found), "<u2") if found else np.zeros(1 << COUNTERS, "<u2")
     mine = join_small(texts, classes.select("doc_id", "text_key", "node", "set_key", "copies"), ["doc_id", "text_key"])
     rows = staged(mine.mapInArrow(_prefixes(size, percent, texts.sparkSession.sparkContext.broadcast(counts)),
                                   "node bigint, copies bigint, n bigint, shingles array<bigint>"))
@@ -306,7 +314,15 @@ def pairs_left(firsts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     may = ((F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label"))
            & ((F.col("y.label") == F.col("y.most")) | (F.col("x.node") < F.col("y.node")))
            & (100 * least >= percent * largest) & ((100 + percent) * rest >= percent * (F.col("x.n") + F.col("y.n"))))
-    return (x.join(y, may).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+    pairs = staged(x.join(y, may).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+    # a common shingle is in both lists or, of the list that ends first, behind it
+    wanted = staged(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"))
+    lists = staged(join_small(firsts, wanted, "node"))
+    of = lambda c: lists.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("shingles").alias(f"of_{c}"))
+    behind = F.greatest(F.col("n_a") - F.size("of_a"), F.col("n_b") - F.size("of_b"))
+    most_common = F.size(F.array_intersect("of_a", "of_b")) + behind
+    return (pairs.join(of("a"), "a").join(of("b"), "b")
+            .filter((100 + percent) * most_common >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
 
 
 def sets_of(texts: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:

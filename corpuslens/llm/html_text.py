@@ -64,7 +64,9 @@ complementary""".split())
 COMMENT_WORDS = {"comment", "comments", "reply", "replies", "respond", "disqus"}
 MAIN_WORDS = set("article articlebody post entry story main maincontent postcontent content body text".split())
 
-TOKENS = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?P<rawattrs>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)"
+MARKS, RESTS = "-!+~*", "-!"
+
+TOKENS = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?P<rawattrs>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)"
                     r"|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
                     r"|<[!?/][^>]*>|(?P<text>[^<]+|<)", re.S | re.I)
 ATTR = re.compile(r"""\b(class|id|role|hidden|itemprop|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -72,7 +74,8 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 def element(tag: str, attrs: str) -> str:
-    """Form of an element: its name, a mark (``-`` rest, ``+`` article, ``~`` header), its class words."""
+    """Form of an element: a mark (``-`` rest, ``!`` rest unless it holds most of the text, ``+`` article,
+    ``~`` header, ``*`` likely article), its name, its class words."""
     if not attrs or attrs.isspace():
         words: set[str] = set()
         hidden = False
@@ -81,21 +84,25 @@ def element(tag: str, attrs: str) -> str:
         hidden = any(k == "hidden" or k == "style" and "display:none" in v.replace(" ", "") or k == "aria-hidden" and v == "true"
                      for k, v in found)
         words = {w.lower() for k, v in found if k in ("class", "id", "role", "itemprop") for w in WORDS.findall(v)}
-    if hidden or tag in DROPPED:
+    if hidden or tag in DROPPED and tag != "form":
         mark = "-"
     elif tag in ("article", "main"):
         mark = "-" if words & COMMENT_WORDS else "+"
     elif tag in ("html", "body"):
         mark = ""
-    elif words & REST_WORDS:
-        mark = "-"
+    elif tag == "form" or words & REST_WORDS:
+        mark = "!"
     elif tag == "header" or words & {"header", "banner"}:
         mark = "~"
     elif tag in ("div", "section", "td") and words & MAIN_WORDS:
         mark = "*"
     else:
         mark = ""
-    return f"{tag}{mark}{'.' + '.'.join(sorted(words)) if words else ''}"
+    return f"{mark}{tag}{'.' + '.'.join(sorted(words)) if words else ''}"
+
+
+def mark_of(form: str) -> str:
+    return form[0] if form[0] in MARKS else " "
 
 
 def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
@@ -113,7 +120,7 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
         text = " ".join("".join(parts).split())
         parts.clear()
         n, links = links, 0
-        return (tuple(f for t, f in stack if t not in INLINE or "-" in f), text, min(n, len(text))) if text else None
+        return (tuple(f for t, f in stack if t not in INLINE or mark_of(f) in RESTS), text, min(n, len(text))) if text else None
 
     for m in TOKENS.finditer(page):
         text = m["text"]
@@ -136,7 +143,7 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
                 yield b
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if depth is not None and (block or not any(t not in INLINE for t, _ in stack[depth + 1:])):
-                if not block and "-" in stack[depth][1] and (b := flush()):
+                if not block and mark_of(stack[depth][1]) in RESTS and (b := flush()):
                     yield b
                 del stack[depth:]
             if tag == "a":
@@ -146,7 +153,7 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
         form = forms.get(key)
         if form is None:
             form = forms[key] = element(*key)
-        if block or "-" in form:
+        if block or mark_of(form) in RESTS:
             if b := flush():
                 yield b
         if tag in VOID:
@@ -303,21 +310,39 @@ class Wrapper:
         return cls(nodes, {tuple(p): s for p, s in slots})
 
 
-def mark_of(form: str) -> str:
-    m = re.match(r"[^-+~*.]+([-+~*]?)", form)
-    return m.group(1) if m else ""
-
-
 def article_slots(slots: dict[tuple[str, ...], list]) -> set[tuple[str, ...]]:
     """The paths whose texts are the article."""
+    marked = {path: [mark_of(f) for f in path] for path in slots}
+    below: dict[tuple[str, ...], int] = {}               # unlinked text of each box that is not the template's
+    for path, s in slots.items():
+        if "-" not in marked[path] and not (s[3] is not None and s[0] >= CONSTANT_PAGES):
+            for i in range(len(path) + 1):
+                below[path[:i]] = below.get(path[:i], 0) + s[1] - s[2]
+
+    def rest(path: tuple[str, ...], inside: int, any_box: bool) -> bool:
+        """Whether an element on the path takes it out of the article; a box of most text or, if
+        nothing else is left, one around an article element does not, comments only around one."""
+        for i, m in enumerate(marked[path]):
+            if m == "-":
+                return True
+            if m == "!" or m == "~" and i < inside:
+                around = i < inside < len(path)
+                most = 2 * below.get(path[:i + 1], 0) > below.get((), 0)
+                talk = not COMMENT_WORDS.isdisjoint(path[i].split(".")[1:])
+                if not (most and (around or not talk) or any_box and around):
+                    return True
+        return False
+
     ranked: dict[tuple[str, ...], int] = {}
-    for path in slots:
-        marks = [mark_of(f) for f in path]
-        names = [re.match(r"[^-+~*.]+", f).group() for f in path if re.match(r"[^-+~*.]+", f)]
-        inside = next((i for i, m in enumerate(marks) if m == "+"), len(marks))
-        if "-" in marks or "~" in marks[:inside]:
-            continue
-        ranked[path] = 3 if "article" in names else 2 if "+" in marks else 1 if "*" in marks else 0
+    for any_box in (False, True):
+        if ranked:
+            break
+        for path in slots:
+            marks = marked[path]
+            inside = next((i for i, m in enumerate(marks) if m == "+"), len(marks))
+            if not rest(path, inside, any_box):
+                names = [f.lstrip(MARKS).split(".")[0] for f in path]
+                ranked[path] = 3 if "article" in names else 2 if "+" in marks else 1 if "*" in marks else 0
     top = max(ranked.values(), default=0)
     if top >= 2:
         return {p for p, r in ranked.items() if r == top}

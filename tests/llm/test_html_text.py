@@ -84,3 +84,19 @@ def test_merged_wrappers_do_not_depend_on_the_split():
     pooled = H._pooled([p.dumps() for p in parts])
     assert pooled.slots == whole.slots
     assert H.article_slots(pooled.slots) == H.article_slots(whole.slots)
+
+
+BODY = "A rather long text of the article, with more words than the rest of its page has in all its parts."
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<article><svg-icon>i</svg-icon><p>One</p><title-bar>Two</title-bar><style-guide>Three</style-guide></article>", "i One Two Three"),
+    (f"<body><app-root><app-content><p>{BODY}</p></app-content></app-root>", BODY),
+    (f"<body><div class='page has-sidebar'><article><p>{BODY}</p></article><div class=sidebar>Links</div></div>", BODY),
+    (f"<body><form action=/><nav>Menu</nav><main><p>{BODY}</p><form>Sign up</form></main></form>", BODY),
+    (f"<body><form action=/><div><p>{BODY}</p><p>{BODY}</p></div><div class=notice>Note</div></form>", f"{BODY} {BODY}"),
+    (f"<body><div class='layout-header'><article><p>{BODY}</p></article></div>", BODY),
+    (f"<body><div class=comments><p>{BODY}</p></div><div class=post><p>Short</p></div>", "Short"),
+])
+def test_marks_of_ordinary_markup(page, want):
+    assert H.main_text(list(H.blocks(page)), set()) == want

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, language, near_dedup, packing, personal_data, sharding, token_counts, toxicity, weighted_sampling
+from . import (decontaminate, html_text, language, lexical_packing, near_dedup, packing, periodic_runs, personal_data, ranked_search, sharding,
+               token_counts, toxicity, weighted_sampling)
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +72,18 @@ def op4(spark, sf_dir):
 @register("op1_html_extraction")
 def op1(spark, sf_dir):
     return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
+@register("op11_ranked_search", ranked_search.SQL)
+def op11(spark, sf_dir):
+    return ranked_search.ranked(*(read_table(spark, sf_dir, t) for t in ("documents", "benchmark")))
+
+
+@register("op12_lexical_packing")
+def op12(spark, sf_dir):
+    return lexical_packing.pack_neighbours(read_table(spark, sf_dir, "documents"))
+
+
+@register("op13_periodic_runs")
+def op13(spark, sf_dir):
+    return periodic_runs.digest(periodic_runs.periodic_runs(periodic_runs.repeat_tails(read_table(spark, sf_dir, "documents"))))

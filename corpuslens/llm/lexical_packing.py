@@ -32,6 +32,7 @@ are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from itertools import islice
@@ -55,8 +56,10 @@ CACHE = 400_000               # pre-tokens kept by a task, and those of one shar
 LONG = 1 << 20                # signs of a text from which on its pre-tokens are not held as a list
 JOINED = 200                  # pre-tokens that the library takes as one text
 PLAIN = "\t\n\r -~ -įı-ɏ"
-#: The vocabulary file's own splitting pattern (a fixed value), for texts of PLAIN signs in lower case.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼-¾]+|[\d²³¹¼-¾]|(?:[^\s\w²³¹¼-¾]|_)+"
+LETTERS, DIGITS = "a-zªµºß-öø-ÿĀ-ɏ", "0-9²³¹¼-¾"      # of PLAIN, in lower case
+#: The vocabulary file's own splitting pattern (a fixed value), for PLAIN signs and for any.
+PLAIN_PATTERN = rf"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 
 
 class Slots(dict):
@@ -72,9 +75,12 @@ class Encoder:
 
     def __init__(self, tokenizer_json: str):
         self.library = load_tokenizer(tokenizer_json)
+        parts = json.loads(tokenizer_json)
+        parts |= {"added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+            {"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+        self.merges = load_tokenizer(json.dumps(parts))                   # for pre-tokens in lower case, put side by side
         self.added = added_tokens(tokenizer_json)
-        self.odd, self.pattern = re.compile(f"[^{PLAIN}]"), re.compile(PATTERN)
-        self.split = self.pattern.findall
+        self.odd, self.plain, self.any = re.compile(f"[^{PLAIN}]"), re.compile(PLAIN_PATTERN), re.compile(PATTERN)
         vocabulary = self.library.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)        # ids that end a pre-token
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -95,11 +101,14 @@ class Encoder:
         new = list(islice(self.slots, self.size, None))
         if not new:
             return
-        joined = [" ".join(new[i:i + JOINED]) for i in range(0, len(new), JOINED)]
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(joined, add_special_tokens=False)])
+        own = [k for k, w in enumerate(new) if not self.odd.search(w)]    # others are terms only
+        joined = [" ".join([new[k] for k in own[i:i + JOINED]]) for i in range(0, len(own), JOINED)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in self.merges.encode_batch_fast(joined, add_special_tokens=False))])
         ends = np.flatnonzero(self.closes[ids]) + 1
-        assert len(ends) == len(new), "a pre-token's last id must close it"
-        self.first = np.append(self.first, len(self.ids) + ends)
+        assert len(ends) == len(own), "a pre-token's last id must close it"
+        size = np.zeros(len(new), np.int64)
+        size[own] = np.diff(ends, prepend=0)
+        self.first = np.append(self.first, len(self.ids) + np.cumsum(size))
         self.ids = np.append(self.ids, ids)
         self.size = len(self.slots)
 
@@ -107,10 +116,11 @@ class Encoder:
         """``(terms, ids with the closing id)`` of each text."""
         terms, whole = [], {}
         for i, t in enumerate(texts):
-            words = self.split(t.lower()) if len(t) < LONG else map(re.Match.group, self.pattern.finditer(t.lower()))
-            if self.odd.search(t) or any(a in t for a in self.added):
+            odd = self.odd.search(t)
+            if odd or any(a in t for a in self.added):
                 whole[i] = np.array([*self.library.encode(t, add_special_tokens=False).ids, END], np.uint32)
-                words = (w for w in words if not self.odd.search(w))   # only these can be encoded side by side
+            pattern = self.any if odd else self.plain
+            words = pattern.findall(t.lower()) if len(t) < LONG else map(re.Match.group, pattern.finditer(t.lower()))
             terms.append(np.fromiter(map(self.slots.__getitem__, words), np.int64))
         self._encode_new()
         n = np.fromiter(map(len, terms), np.int64, len(terms))

@@ -25,7 +25,7 @@ library as a whole; other texts are split here (tested for every sign of
 ``PLAIN``) and the library encodes each distinct pre-token once per task.
 
 Defined results: null and empty texts have only the closing id and no terms;
-equal scores go by order in the shard; repeated rows and rows without id are
+equal scores go in the fixed order of the sort; repeated rows and rows without id are
 packed each; an empty table gives an empty table; only ``doc_id`` and ``text``
 are read, so other columns cannot clash.
 """
@@ -33,6 +33,7 @@ are read, so other columns cannot clash.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from itertools import islice
@@ -50,13 +51,13 @@ from .pretokens import added_tokens, load_tokenizer, text_lists, tokenizer_file
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 4096
 END = 2                       # id that closes a document
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75             # BM25
 CACHE = 400_000               # pre-tokens kept by a task, and those of one shard more
 LONG = 1 << 20                # signs of a text from which on its pre-tokens are not held as a list
 JOINED = 200                  # pre-tokens that the library takes as one text
-PLAIN = "\t\n\r -~ -įı-ɏ"
-LETTERS, DIGITS = "a-zªµºß-öø-ÿĀ-ɏ", "0-9²³¹¼-¾"      # of PLAIN, in lower case
+PLAIN = "\t\n\r -~\xa0-\u012f\u0131-\u017f"
+LETTERS, DIGITS = "a-zªµºß-öø-ÿ\u0100-\u017f", "0-9²³¹¼-¾"      # of PLAIN, in lower case
 #: The vocabulary file's own splitting pattern (a fixed value), for PLAIN signs and for any.
 PLAIN_PATTERN = rf"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
@@ -88,26 +89,30 @@ class Encoder:
 
     def reset(self) -> None:
         """Forgets all terms."""
-        self.slots, self.size = Slots(), 0
+        self.slots, self.size, self.met_odd = Slots(), 0, False
         self.ids, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def renumber(self, terms: list[np.ndarray]) -> list[np.ndarray]:
         """Forgets all terms but those given, which get new numbers."""
-        names = list(self.slots)
+        names, odd = list(self.slots), self.met_odd
         self.reset()
+        self.met_odd = odd
         return [np.fromiter((self.slots[names[k]] for k in t.tolist()), np.int64) for t in terms]
 
     def _encode_new(self) -> None:
         new = list(islice(self.slots, self.size, None))
         if not new:
             return
-        own = [k for k, w in enumerate(new) if not self.odd.search(w)]    # others are terms only
-        joined = [" ".join([new[k] for k in own[i:i + JOINED]]) for i in range(0, len(own), JOINED)]
+        own, at = new, slice(None)
+        if self.met_odd:                                                  # words with odd signs are terms only
+            at = [k for k, w in enumerate(new) if not self.odd.search(w)]
+            own = [new[k] for k in at]
+        joined = [" ".join(own[i:i + JOINED]) for i in range(0, len(own), JOINED)]
         ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in self.merges.encode_batch_fast(joined, add_special_tokens=False))])
         ends = np.flatnonzero(self.closes[ids]) + 1
         assert len(ends) == len(own), "a pre-token's last id must close it"
         size = np.zeros(len(new), np.int64)
-        size[own] = np.diff(ends, prepend=0)
+        size[at] = np.diff(ends, prepend=0)
         self.first = np.append(self.first, len(self.ids) + np.cumsum(size))
         self.ids = np.append(self.ids, ids)
         self.size = len(self.slots)
@@ -117,6 +122,7 @@ class Encoder:
         terms, whole = [], {}
         for i, t in enumerate(texts):
             odd = self.odd.search(t)
+            self.met_odd |= odd is not None
             if odd or any(a in t for a in self.added):
                 whole[i] = np.array([*self.library.encode(t, add_special_tokens=False).ids, END], np.uint32)
             pattern = self.any if odd else self.plain
@@ -202,7 +208,7 @@ class Shard:
             if room:
                 score = index.scores(seed)
                 near = np.flatnonzero(free & (score > 0))
-                near = near[np.argsort(-score[near], kind="stable")]
+                near = near[np.argsort(-score[near])]
                 for d, n in zip(near.tolist(), left[near].tolist()):
                     if n <= room:
                         row.append(take(d, n))
@@ -262,6 +268,7 @@ def _pack(shared, capacity: int, shard_tokens: int, with_ids: bool, kind: pa.Dat
         return number, pa.RecordBatch.from_arrays(arrays, names)
 
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"         # Spark runs the tasks side by side
         encoder, shard = Encoder(shared.value), Shard(capacity)
         number = TaskContext.get().partitionId() << 40
         for batch in batches:

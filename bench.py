@@ -54,7 +54,7 @@ def main():
     if extra["warmup"]:
         wc0 = C.build_corpus(TB.documents(spark, warm_dir), cache="persist")
         w0 = O.weighted_word_coverage_cells(wc0.postings, wc0.kept, counts_rows=wc0.vocab_size)
-        greedy_select(w0, 2, cache="persist").collect()
+        greedy_select(w0, 3, cache="persist").collect()
         lazy_greedy_select(w0, 2, cache="persist").collect()
         greedi_select(w0, 2, partitions=2, cache="persist").collect()
         lsh_buckets(wc0.postings, 9, 13).write.format("noop").mode("overwrite").save()
@@ -74,7 +74,7 @@ def main():
     f1 = O.word_coverage_cells(corpus.postings, corpus.vocab_size)
     timed("greedy_select", lambda: greedy_select(f1, 10).collect())
     stats = {}
-    timed("lazy_greedy_select", lambda: lazy_greedy_select(f1, 10, batch=16, stats=stats).collect())
+    timed("lazy_greedy_select", lambda: lazy_greedy_select(f1, 10, stats=stats).collect())
     extra["lazy_share_evaluated"] = round(stats.get("share_evaluated", 0.0), 4)
     wc = O.weighted_word_coverage_cells(corpus.postings, corpus.kept, counts_rows=corpus.vocab_size)
     timed("greedi_word_coverage", lambda: greedi_select(wc, 10, partitions=8).collect())
@@ -86,6 +86,15 @@ def main():
     infl = O.influence_cells(nov, dates, spread)
     timed("greedi_influence", lambda: greedi_select(infl, 10, partitions=8).collect())
 
+    # the published selections at their k, outside the total
+    graph = O.graph_coverage_cells(TB.doc_edges(spark, sf_dir), candidates=docs)
+    both = O.combine_cells({"wwc": (wc, 1.0), "lsh": (O.lsh_bucket_cells(buckets), 1.0)})
+    k40 = {}
+    for name, cells in (("greedi_word_coverage", wc), ("greedi_graph", graph), ("greedi_coverage_lsh", both), ("greedi_influence", infl)):
+        t0 = time.time()
+        greedi_select(cells, 40, partitions=8).collect()
+        k40[name] = round(time.time() - t0, 3)
+
     quality = {}
     if os.environ.get("BENCH_QUALITY", "0") == "1":
         # BASELINE quality table: random sets of k=40 relative to the selected set
@@ -106,7 +115,7 @@ def main():
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "total_sec", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
-                      "cpus": cpus, "docs": corpus.n_docs, "vocabulary": corpus.vocab_size, **extra,
+                      "queries_k40": k40, "cpus": cpus, "docs": corpus.n_docs, "vocabulary": corpus.vocab_size, **extra,
                       "quality_k40": quality}))
     spark.stop()
 

@@ -337,6 +337,11 @@ def _scored(cells, trials):
     return rounded(score_sets(cells, trials))
 
 
+def graph_candidates(spark, sf_dir) -> DataFrame:
+    """Every document and every node with inlinks, as ``GRAPH_CAND`` in SQL."""
+    return TB.doc_edges(spark, sf_dir).select("doc_id").union(TB.documents(spark, sf_dir).select("doc_id"))
+
+
 GRAPH_CAND = "SELECT doc_id FROM adj UNION SELECT doc_id FROM documents"
 CUT_CAND = "SELECT a AS doc_id FROM und UNION SELECT b FROM und"
 REV_CAND = "SELECT doc_id FROM rev"
@@ -347,7 +352,7 @@ BOOSTED = [*Q.CORPUS, Q.EDGES, Q.ADJ, Q.REV, Q.boost_cte(), Q.BOOSTED_POSTINGS,
 @register("graph_coverage", Q.with_(Q.EDGES, Q.ADJ, Q.GRAPH_CELLS, Q.random_sets(GRAPH_CAND, GREEDY_K, TRIALS))
           + Q.score_sets("gcells"))
 def q_graph_coverage(spark, sf_dir):
-    return _scored(graph_cells(spark, sf_dir), _trials_of(spark, TB.doc_edges(spark, sf_dir).select("doc_id").union(TB.documents(spark, sf_dir).select("doc_id"))))
+    return _scored(graph_cells(spark, sf_dir), _trials_of(spark, graph_candidates(spark, sf_dir)))
 
 
 @register("graph_cut", Q.with_(Q.LINES, Q.UND, Q.CUT_CELLS, Q.random_sets(CUT_CAND, GREEDY_K, TRIALS))
@@ -773,7 +778,7 @@ def q_read_adjacency(spark, sf_dir):
     from ..sources.files import read_adjacency
     path = _io(spark, "adjacency")
     build_adjacency(TB.doc_edges(spark, sf_dir)).write.mode("overwrite").parquet(path)
-    ids = _trials_of(spark, TB.doc_edges(spark, sf_dir)).select("doc_id")
+    ids = _trials_of(spark, graph_candidates(spark, sf_dir)).select("doc_id")
     return read_adjacency(spark, path, ids)
 
 

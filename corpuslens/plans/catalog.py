@@ -550,12 +550,20 @@ def q_word_spread(spark, sf_dir):
     return rounded(_lsh_state(spark, sf_dir)["spread"])
 
 
-@register("cosine_similarity", Q.with_(*Q.CORPUS) + """SELECT doc_a, doc_b, round(dot, 6) AS dot, round(1.0 - dot, 6) AS distance FROM (
-  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, sum(a.weight * b.weight) AS dot
-  FROM postings a JOIN postings b ON a.term = b.term WHERE a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id) q""")
+SIMILAR = 0.5
+
+
+@register("cosine_similarity", Q.with_(*Q.CORPUS, Q.VECTOR_CLASSES, Q.similar_pairs(SIMILAR))
+          + """SELECT 'pair' AS link, doc_a, doc_b, round(dot, 6) AS dot, round(1.0 - dot, 6) AS distance FROM pairs
+UNION ALL SELECT 'copy', class_id, doc_id, 1.0, 0.0 FROM classes WHERE doc_id <> class_id""")
 def q_cosine_similarity(spark, sf_dir):
-    from ..operators.neighbors import cosine_similarity
-    return rounded(cosine_similarity(ctx(spark, sf_dir).corpus.postings))
+    """Similar pairs between documents of unlike vectors, and every copy with its representative."""
+    from ..operators.similarity import cosine_similarity, vector_classes
+    postings = ctx(spark, sf_dir).corpus.postings
+    pairs = cosine_similarity(postings, SIMILAR).select(F.lit("pair").alias("link"), "doc_a", "doc_b", "dot", "distance")
+    copies = vector_classes(postings).filter(F.col("doc_id") != F.col("class_id"))
+    return rounded(pairs.unionByName(copies.select(F.lit("copy").alias("link"), F.col("class_id").alias("doc_a"), F.col("doc_id").alias("doc_b"),
+                                                   F.lit(1.0).alias("dot"), F.lit(0.0).alias("distance"))))
 
 
 # ------------------------------------------- F/G on lsh and influence cells

@@ -7,7 +7,8 @@ from corpuslens.operators import graph as G
 from corpuslens.operators.baseline import score_sets
 from corpuslens.operators.greedi import greedi_select
 from corpuslens.operators.greedy import greedy_select
-from corpuslens.operators.neighbors import cosine_similarity, past_neighbor_exact
+from corpuslens.operators.neighbors import past_neighbor_exact
+from corpuslens.operators.similarity import cosine_similarity
 from corpuslens.operators.report import score_variants
 
 LINES = [(10, 1), (10, 2), (10, 3), (10, 3), (11, 3), (11, 4), (12, 10), (12, 11), (12, 1), (12, 2)]
@@ -91,7 +92,7 @@ def test_neighbours_and_cosine(spark, small):
     dates = spark.createDataFrame([(1, 2000), (2, 2001), (3, 2001)], "doc_id long, period int")
     nb = {r.doc_id: (r.neighbor_id, round(r.dot, 6)) for r in past_neighbor_exact(post, dates).collect()}
     assert nb == {2: (1, 0.6), 3: (1, 0.0)}
-    dots = {(r.doc_a, r.doc_b): round(r.dot, 6) for r in cosine_similarity(post).collect()}
+    dots = {(r.doc_a, r.doc_b): round(r.dot, 6) for r in cosine_similarity(post, 1e-6).collect()}
     assert dots == {(1, 2): 0.6}
 
 
@@ -105,8 +106,8 @@ def test_salted_pair_joins_equal_plain(spark):
     buckets = spark.createDataFrame([(b, d % 3, d) for b in range(2) for d in range(25)], "band int, bucket long, doc_id long")
     from corpuslens.operators.neighbors import past_neighbor_lsh
     rnd6 = lambda df, cols: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(*cols).collect())
-    assert rnd6(cosine_similarity(post, max_group_rows=1), ["doc_a", "doc_b", "dot"]) == \
-        rnd6(cosine_similarity(post), ["doc_a", "doc_b", "dot"])
+    assert rnd6(cosine_similarity(post, 1e-6, max_group_rows=1), ["doc_a", "doc_b", "dot"]) == \
+        rnd6(cosine_similarity(post, 1e-6), ["doc_a", "doc_b", "dot"])
     assert rnd6(past_neighbor_exact(post, dates, max_group_rows=1), ["doc_id", "neighbor_id", "dot"]) == \
         rnd6(past_neighbor_exact(post, dates), ["doc_id", "neighbor_id", "dot"])
     assert rnd6(past_neighbor_lsh(post, buckets, dates, max_group_rows=2), ["doc_id", "neighbor_id", "dot"]) == \

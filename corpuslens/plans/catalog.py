@@ -943,7 +943,7 @@ def q_kmeans_docs(spark, sf_dir):
 def q_sketch_kmeans(spark, sf_dir):
     from ..operators.cluster import dense_features, sketch_kmeans
     feats = dense_features(TB.table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    return sketch_kmeans(feats, KMEANS_K, sketch_size=100, partitions=4)
+    return sketch_kmeans(feats, KMEANS_K, sketch_size=100, partitions=GREEDI_P, fan_in=4)
 
 
 @register("choose_objective", Q.greedi_query([*LSH, Q.LSH_CELLS, *Q.weighted_cells(name="wcells"),

@@ -32,8 +32,9 @@ SKETCH = "part int, x array<double>, weight double, cost double"
 
 
 def dense_features(df: DataFrame, id_col: str = "doc_id", array_col: str = "embedding") -> DataFrame:
-    """``(doc_id, features)`` from an array column (JVM-side conversion)."""
-    return df.select(F.col(id_col).alias("doc_id"), array_to_vector(F.col(array_col).cast("array<double>")).alias("features"))
+    """``(doc_id, features)`` from an array column (JVM-side conversion); rows without a vector are left out."""
+    return (df.filter(F.col(array_col).isNotNull())
+            .select(F.col(id_col).alias("doc_id"), array_to_vector(F.col(array_col).cast("array<double>")).alias("features")))
 
 
 def tfidf_features(tokens: DataFrame, num_features: int = 1 << 18) -> DataFrame:

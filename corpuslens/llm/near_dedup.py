@@ -4,17 +4,18 @@ Every text becomes a set of word shingles.  Texts with equal sets form one
 class and go on as one row.  A class has one short signature per tree; each
 tree is the list of all classes sorted by signature (range-partitioned, so a
 signature shared by a third of all rows is split like any other stretch).
-A class's candidates are its neighbours in that order, nearest first: they
-share the longest prefix, so the depth at which a stretch of the order is
-compared grows with how crowded it is.  A pair goes on if its two classes are
-neighbours in two orders, or in one with a long common prefix; by chance
+A class's candidates are the rows before it in that order, as far as the common
+prefix reaches the depth of the region: the least depth at which fewer than
+``BACK`` rows before it share its prefix, so a sparse stretch is compared at
+``LEAST_DEPTH`` and a crowded one deeper; the row just before it is a candidate
+in any case.  A pair goes on if its two classes are
+candidates in two orders, or in one with a long common prefix; by chance
 neither happens to unlike texts.  Pairs are compared on their full sets.  A
-first round compares each class with its best partner only.  Groups so found
-pool their evidence: where two met in two orders, a further round compares the
-classes that met with the other group's hubs (its classes with the most
-confirmed links), which finds borderline members that are like the group's
-original only.  That goes on until no link is found; then all pairs that still
-lie between two such groups are compared.
+first round compares each class with its best partner only.  Where candidates
+still lie between two groups so found, a further round compares them with the
+other group's hubs (its classes with the most confirmed links), which finds
+borderline members that are like the group's original only.  That goes on until
+no link is found; then all candidates that still lie between two groups are compared.
 
 The orders only find most links early.  What they leave out is found exactly:
 with the shingles of each set in one global order, rare ones first, two sets
@@ -52,8 +53,8 @@ from .words import SpanHasher, Words, distinct_in_rows, mix64, not_space, random
 
 TREES, DEPTH = 32, 8          # signature orders, values per signature
 LEAST_DEPTH, DEEP = 4, 6      # shortest common prefix; prefix that suffices alone
-MEETINGS = 2                  # orders in which a pair, or two groups, must meet else
-NEIGHBOURS = 2                # rows looked back at in each order
+MEETINGS = 2                  # orders in which a pair must meet else
+BACK = 4                      # rows looked back at in each order, as far as the region's depth allows
 HUBS = 8                      # classes of a group that its doubtful members are compared with
 COUNTERS, CHUNKS = 21, 64     # bits of the counters that put rare shingles first (any order is right); parts they are summed in
 HASHED_AT_ONCE = 1 << 16      # shingles whose hashes stay in a core's cache
@@ -121,26 +122,24 @@ def _neighbours(back: int, least: int, depth: int):
             fresh = len(node)
             if kept is not None:
                 tree, sig, node = (np.concatenate(x) for x in zip(kept, (tree, sig, node)))
-            out = [], [], []
-            for d in range(1, back + 1):
-                lo = max(0, len(node) - fresh - d)
-                if len(node) <= lo + d:
-                    continue
-                a, b = np.arange(lo, len(node) - d), np.arange(lo + d, len(node))
-                a, b = a[b >= len(node) - fresh], b[b >= len(node) - fresh]
-                same = np.logical_and.accumulate(sig[a] == sig[b], axis=1).sum(axis=1)
-                same[tree[a] != tree[b]] = 0
-                ok = (same >= least) & (node[a] != node[b])
-                for store, x in zip(out, (np.minimum(node[a], node[b])[ok], np.maximum(node[a], node[b])[ok], same[ok])):
-                    store.append(x)
+            first, pairs = len(node) - fresh, []
+            crowd = np.zeros(len(node), np.int64)       # prefix that the row ``back`` places before still shares
+            for d in range(back, 0, -1):
+                b = np.arange(max(first, d), len(node))
+                same = np.logical_and.accumulate(sig[b - d] == sig[b], axis=1).sum(axis=1)
+                same[tree[b - d] != tree[b]] = 0
+                if d == back:
+                    crowd[b] = same
+                region = np.maximum(least, crowd[b] + 1) if d > 1 else least
+                ok = (same >= region) & (node[b - d] != node[b])
+                pairs.append((np.minimum(node[b - d], node[b])[ok], np.maximum(node[b - d], node[b])[ok], same[ok]))
             kept = tree[-back:], sig[-back:], node[-back:]
-            if out[0]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x).astype(np.int64)) for x in out], ["a", "b", "same"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*pairs)], ["a", "b", "same"])
     return run
 
 
-def candidates(nodes: DataFrame, trees: int = TREES, depth: int = DEPTH, back: int = NEIGHBOURS,
+def candidates(nodes: DataFrame, trees: int = TREES, depth: int = DEPTH, back: int = BACK,
                least: int = LEAST_DEPTH) -> DataFrame:
     """``(a, b, trees, same)`` for ``nodes(node, signature)``: pairs a < b that are
     neighbours in ``trees`` orders, and the longest prefix that they share there."""
@@ -221,17 +220,10 @@ def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
 def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs that lie between two groups (``of_a`` and ``of_b``)."""
     mine = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
-    return staged(pairs.select("a", "b", "trees", "same").join(mine("a"), "a", "left").join(mine("b"), "b", "left")
+    return staged(pairs.select("a", "b").join(mine("a"), "a", "left").join(mine("b"), "b", "left")
                   .withColumns({"of_a": F.coalesce("of_a", "a"), "of_b": F.coalesce("of_b", "b")}).filter("of_a <> of_b"))
 
 
-def _doubtful(between: DataFrame, met) -> DataFrame:
-    """Of these, the pairs of groups that pooled together met often enough."""
-    sides = between.withColumns({"p": F.least("of_a", "of_b"), "q": F.greatest("of_a", "of_b")})
-    groups = sides.groupBy("p", "q").agg(F.sum("trees").alias("trees"), F.max("same").alias("same")).filter(met)
-    return staged(sides.join(groups.select("p", "q"), ["p", "q"]).select("a", "b", "of_a", "of_b"))
-
-
 def _hub_pairs(doubtful: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs (a, b) of each doubtful class and the hubs of the group it may belong to."""
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
@@ -302,9 +294,15 @@ def pairs_left(firsts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
     Of the groups that meet in a shingle the largest is not paired with itself."""
     rows = (firsts.join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), F.posexplode("shingles").alias("at", "shingle")))
-    met = (rows.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-           .filter("low <> high").select("shingle"))
-    shared = staged(join_small(rows, staged(met), "shingle").select("shingle", "node", "label", "n", "at"))
+    # the only move of all shingles; a row without a next or last row near enough in size has no partner in its list
+    every = Window.partitionBy("shingle")
+    by_size = every.orderBy("n")
+    near = lambda other: 100 * F.least("n", other) >= percent * F.greatest("n", other)
+    shared = staged(rows.repartition("shingle")
+                    .withColumns({"below": F.lag("n").over(by_size), "above": F.lead("n").over(by_size)})
+                    .withColumns({"low": F.min("label").over(every), "high": F.max("label").over(every)})
+                    .filter(F.col("low") != F.col("high")).filter(near(F.col("below")) & F.col("below").isNotNull() | near(F.col("above")) & F.col("above").isNotNull())
+                    .select("shingle", "node", "label", "n", "at"))
     most = (shared.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("rows"))
             .groupBy("shingle").agg(F.max(F.struct("rows", "label")).alias("m")).select("shingle", F.col("m.label").alias("most")))
     sided = staged(join_small(shared, staged(most), "shingle"))
@@ -355,19 +353,17 @@ def _decided(docs: DataFrame, size: int, percent: int, trees: int = TREES, depth
     classes = staged(signed.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key")
                      .agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.first("signature").alias("signature"), F.count(F.lit(1)).alias("copies"))
                      .select("set_key", "least.*", "signature", "copies", F.monotonically_increasing_id().alias("node")))
-    pairs = staged(candidates(classes.select("node", "signature"), trees, depth))
-
     met = (F.col("trees") >= MEETINGS) | (F.col("same") >= DEEP)
+    pairs = staged(candidates(classes.select("node", "signature"), trees, depth).filter(met))
     sets = sets_of(texts, classes, pairs, size)
 
-    best = pairs.filter(met).groupBy("b").agg(F.max(F.struct("trees", "same", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    best = pairs.groupBy("b").agg(F.max(F.struct("trees", "same", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     links = staged(confirmed(best, sets, percent))
     labels = components(links)
     asked, hubs_left = best, True
     while True:
         pairs = _between(pairs, labels)
-        doubtful = _doubtful(pairs, met)
-        ask = _hub_pairs(doubtful, links, labels) if hubs_left else doubtful.select("a", "b")
+        ask = _hub_pairs(pairs, links, labels) if hubs_left else pairs.select("a", "b")
         ask = staged(ask.join(asked, ["a", "b"], "left_anti"))
         found = staged(confirmed(ask, sets, percent))
         news = found.limit(1).count()
@@ -402,6 +398,8 @@ def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     least ``doc_id`` stays (one row, if rows repeat that id and text); rows without
     an id all stay.  All columns of ``docs`` are returned unchanged."""
     key = "text_key_of_near_copies"
+    while key in docs.columns:
+        key += "_"
     drop = _decided(docs, size, percent).filter("NOT kept").select("doc_id", F.col("text_key").alias(key)).distinct()
     with_id = docs.withColumn(key, text_key(docs)).filter("doc_id IS NOT NULL").join(drop, ["doc_id", key], "left_anti")
     return with_id.dropDuplicates(["doc_id", key]).select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))

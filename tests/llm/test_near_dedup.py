@@ -127,3 +127,26 @@ def test_an_id_with_unlike_texts_loses_only_its_copies(spark):
     assert left == [(3, a), (5, b), (8, c), (8, d)]
     out = [(r.doc_id, r.component_id) for r in N.near_groups(table).collect()]
     assert sorted(out) == [(3, 3), (5, 3), (5, 5), (5, 5), (7, 5), (8, 8), (8, 8), (8, 8), (9, 8), (9, 8)]
+
+
+def test_a_column_with_the_name_of_the_key_is_kept(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    table = spark.createDataFrame([(1, a, "own"), (2, a, "x"), (3, "other text", "mine")], "doc_id bigint, text string, text_key_of_near_copies string")
+    assert sorted(map(tuple, N.drop_near_copies(table).collect())) == [(1, a, "own"), (3, "other text", "mine")]
+
+
+def order_pairs(sigs, back=4):
+    depth = sigs.shape[1]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sigs), np.int64)), pa.array([s.astype(">u2").tobytes() for s in sigs]), pa.array(np.arange(len(sigs)))],
+                                       ["tree", "prefix", "node"])
+    return [tuple(r.values()) for b in N._neighbours(back, 4, depth)(iter([batch.slice(0, 7), batch.slice(7)])) for r in b.to_pylist()]
+
+
+def test_depth_follows_the_region():
+    sparse = np.array([[1, 1, 1, 1, k, 0, 0, 0] for k in range(4)])            # four rows share four values
+    crowd = np.array([[2, 2, 2, 2, 2, k // 3, k, 0] for k in range(12)])       # twelve share five, by threes six
+    got = order_pairs(np.concatenate([sparse, crowd]))
+    assert {(a, b) for a, b, _ in got if b < 4} == {(a, b) for b in range(4) for a in range(b)}
+    late = {(a, b): n for a, b, n in got if b >= 8}
+    assert all((b - 1, b) in late for b in range(8, 16))                       # the row before, at any depth
+    assert all(n >= 6 for (a, b), n in late.items() if b - a > 1) and (13, 15) in late and (9, 11) not in late

@@ -38,6 +38,7 @@ clash.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -183,12 +184,21 @@ def _confirm(percent: int):
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union of their full sets."""
-    x = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
-    y = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
-    return (pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    pairs = pairs.select("a", "b")
+
+    def side(c: str, name: str) -> DataFrame:           # only the sets that these pairs ask for are moved
+        mine = join_small(sets, staged(pairs.select(F.col(c).alias("node")).distinct()), "node", "left_semi")
+        return mine.select(F.col("node").alias(c), F.col("members").alias(name))
+
+    return (pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
             .mapInArrow(_confirm(percent), "a bigint, b bigint"))
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """``(node)``: a row for each end of each pair."""
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, label)``: the least node reachable from each node of ``edges(a, b)``."""
     both = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -212,7 +222,7 @@ def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
     groups = found.join(mine("a"), "a", "left").join(mine("b"), "b", "left").select(
         F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).filter("a <> b").distinct()
     moved = components(groups).select(F.col("node").alias("label"), F.col("label").alias("new"))
-    alone = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
+    alone = ends(found).distinct().join(labels, "node", "left_anti")
     every = labels.select("node", "label").union(alone.select("node", F.col("node").alias("label")))
     return staged(every.join(moved, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
 
@@ -226,7 +236,7 @@ def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _hub_pairs(doubtful: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs (a, b) of each doubtful class and the hubs of the group it may belong to."""
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    degree = ends(links).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("links"), "node"))
     hubs = (labels.join(degree, "node").withColumn("rank", rank).filter(F.col("rank") <= HUBS)
             .select(F.col("label").alias("group"), F.col("node").alias("hub")))
@@ -235,14 +245,14 @@ def _hub_pairs(doubtful: DataFrame, links: DataFrame, labels: DataFrame) -> Data
     return ask.join(hubs, "group").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def _count_shingles(size: int):
+def _count_shingles(size: int, salts: int):
     def run(batches):
         reader, total = SpanHasher(), np.zeros(1 << COUNTERS, np.int64)
         for batch in batches:
             for values, _ in shingle_sets(reader, batch["text"], size):
                 total += np.bincount((values >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=len(total))
         few = np.minimum(total, 65535).astype("<u2").reshape(CHUNKS, -1)
-        salt = TaskContext.get().partitionId() % 32
+        salt = TaskContext.get().partitionId() % salts
         yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([salt] * CHUNKS, pa.int32()),
                                           pa.array([x.tobytes() for x in few], pa.binary())], ["chunk", "salt", "counts"])
     return run
@@ -279,7 +289,8 @@ def _prefixes(size: int, percent: int, shared):
 def prefixes(texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """``(node, n, shingles)``: size and rarest shingles of each class's set."""
     kind = "chunk int, counts binary"
-    parts = texts.mapInArrow(_count_shingles(size), "chunk int, salt int, counts binary").groupBy("chunk", "salt").applyInPandas(_add_counts, kind)
+    salts = 1 + math.isqrt(texts.rdd.getNumPartitions())       # as many counts meet in the first sum as in the second
+    parts = texts.mapInArrow(_count_shingles(size, salts), "chunk int, salt int, counts binary").groupBy("chunk", "salt").applyInPandas(_add_counts, kind)
     found = sorted(parts.groupBy("chunk").applyInPandas(_add_counts, kind).collect())  # 4 MB, whatever the input
     counts = np.frombuffer(b"".join(r["counts"] for r in found), "<u2") if found else np.zeros(1 << COUNTERS, "<u2")
     mine = join_small(texts, classes.select("doc_id", "text_key", "node", "set_key", "copies"), ["doc_id", "text_key"])
@@ -310,17 +321,14 @@ def pairs_left(firsts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     least, largest = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
     rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))  # common shingles from here on
     may = ((F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label"))
-           & ((F.col("y.label") == F.col("y.most")) | (F.col("x.node") < F.col("y.node")))
-           & (100 * least >= percent * largest) & ((100 + percent) * rest >= percent * (F.col("x.n") + F.col("y.n"))))
-    pairs = staged(x.join(y, may).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+           & ((F.col("y.label") == F.col("y.most")) | (F.col("x.node") < F.col("y.node"))) & (100 * least >= percent * largest))
+    total = F.col("x.n") + F.col("y.n")
+    meets = x.join(y, may).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), total.alias("total"), largest.alias("largest"),
+                                  ((100 + percent) * rest >= percent * total).alias("early"))
     # a common shingle is in both lists or, of the list that ends first, behind it
-    wanted = staged(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"))
-    lists = staged(join_small(firsts, wanted, "node"))
-    of = lambda c: lists.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("shingles").alias(f"of_{c}"))
-    behind = F.greatest(F.col("n_a") - F.size("of_a"), F.col("n_b") - F.size("of_b"))
-    most_common = F.size(F.array_intersect("of_a", "of_b")) + behind
-    return (pairs.join(of("a"), "a").join(of("b"), "b")
-            .filter((100 + percent) * most_common >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
+    behind = F.expr(f"({percent} * largest + 99) div 100 - 1")
+    return (meets.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.max("early").alias("early"), F.first("total").alias("total"), F.first("largest").alias("largest"))
+            .filter(F.col("early") & ((100 + percent) * (F.col("common") + behind) >= percent * F.col("total"))).select("a", "b"))
 
 
 def sets_of(texts: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:

@@ -56,6 +56,7 @@ TREES, DEPTH = 32, 8          # signature orders, values per signature
 LEAST_DEPTH, DEEP = 4, 6      # shortest common prefix; prefix that suffices alone
 MEETINGS = 2                  # orders in which a pair must meet else
 BACK = 4                      # rows looked back at in each order, as far as the region's depth allows
+FIRST = 3                     # first common shingles that a pair must have met in
 HUBS = 8                      # classes of a group that its doubtful members are compared with
 COUNTERS, CHUNKS = 21, 64     # bits of the counters that put rare shingles first (any order is right); parts they are summed in
 HASHED_AT_ONCE = 1 << 16      # shingles whose hashes stay in a core's cache
@@ -320,15 +321,16 @@ def pairs_left(firsts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     x, y = sided.filter("label <> most").alias("x"), sided.alias("y")
     least, largest = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
     rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))  # common shingles from here on
-    may = ((F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label"))
-           & ((F.col("y.label") == F.col("y.most")) | (F.col("x.node") < F.col("y.node"))) & (100 * least >= percent * largest))
     total = F.col("x.n") + F.col("y.n")
-    meets = x.join(y, may).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), total.alias("total"), largest.alias("largest"),
-                                  ((100 + percent) * rest >= percent * total).alias("early"))
-    # a common shingle is in both lists or, of the list that ends first, behind it
-    behind = F.expr(f"({percent} * largest + 99) div 100 - 1")
-    return (meets.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.max("early").alias("early"), F.first("total").alias("total"), F.first("largest").alias("largest"))
-            .filter(F.col("early") & ((100 + percent) * (F.col("common") + behind) >= percent * F.col("total"))).select("a", "b"))
+    asked = F.ceil((percent * total) / (100 + percent))                         # common shingles of a link, at least
+    may = ((F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label"))
+           & ((F.col("y.label") == F.col("y.most")) | (F.col("x.node") < F.col("y.node")))
+           & (100 * least >= percent * largest) & (rest > asked - FIRST))
+    meets = x.join(y, may).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"),
+                                  (asked - F.ceil(percent * largest / 100) + 1).alias("inside"))
+    # of a link's first common shingles, those not behind the longer set's list are in both lists: FIRST of them are met
+    return (meets.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.first("inside").alias("inside"))
+            .filter(F.col("common") >= F.least(F.lit(FIRST), F.col("inside"))).select("a", "b"))
 
 
 def sets_of(texts: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:

@@ -5,10 +5,15 @@ How pieces combine depends on their lengths only, so the search runs on the
 histogram of lengths (at most ``capacity`` numbers, whatever the corpus):
 around the largest length left, undominated fillings are enumerated (no
 member can be swapped for a larger free one, none can be added), the one with
-the least waste first; a filling is applied to as many sequences at once as the
-counts allow.  A best-fit-decreasing solution is the first incumbent;
-branches whose waste cannot beat the incumbent are pruned, and the search
-ends at the bound ceil(tokens / capacity) or after ``NODES`` fillings.
+the least waste first and only as far as the search asks for them; bitsets of
+the sums that the free lengths can reach keep the enumeration free of dead
+ends.  A filling is applied to as many sequences at once as the counts allow,
+then to half as many, down to one.  A best-fit-decreasing solution is the
+first incumbent; branches whose waste cannot beat the incumbent are pruned,
+and the search ends at a lower bound (the larger of ceil(tokens / capacity) and
+the bound that counts lengths which cannot share a sequence), when the tree is
+exhausted, or after ``nodes`` fillings (20 000, a parameter): then the best solution so
+far stands, and a filling that the budget cut short is never used.
 
 Pieces then take their places: range-partitioned by (length, doc_id, piece),
 a piece's rank among its length follows from its position in its partition
@@ -25,7 +30,9 @@ table gives an empty table; only ``doc_id`` and ``text`` are read.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,48 +45,64 @@ from .token_counts import VOCABULARY, RankMerger
 
 CAPACITY = 2048
 END = 0                       # id that closes a document
-NODES = 6_000                 # fillings tried in the search
-FILL_STEPS = 400              # steps of one enumeration of fillings
-ALTERNATIVES = 4              # fillings kept for backtracking
+NODES = 20_000                # fillings tried in the search
+LIVE = 64                     # enumerations held open; deeper ones are begun anew when needed
 
 Filling = tuple[int, ...]     # lengths, largest first
 
 
-def fillings(room: int, sizes: list[int], free: list[int]) -> list[Filling]:
+def reachable(sizes: list[int], free: list[int], room: int) -> list[int]:
+    """Entry k: the sums up to ``room`` that the first k sizes can make, as bits."""
+    mask, sums = (1 << room + 1) - 1, 1
+    out = [sums]
+    for s in sizes:
+        left, n = min(free[s], room // s), 1
+        while left:
+            n = min(n, left)
+            sums |= sums << s * n & mask
+            left -= n
+            n *= 2
+        out.append(sums)
+    return out
+
+
+def exact(sums: list[int], sizes: list[int], free: list[int], target: int, k: int) -> Iterator[Filling]:
+    """Every way to make ``target`` of the first ``k`` sizes, those of small members first
+    (extremes kept for later leave fewer sequences that nothing fills)."""
+    if not target:
+        yield ()
+        return
+    k = min(k, bisect_right(sizes, target))
+    if not sums[k] >> target & 1:
+        return
+    first = bisect_left(range(k + 1), True, key=lambda j: bool(sums[j] >> target & 1))
+    for j in range(first - 1, k):
+        s = sizes[j]
+        for n in range(min(free[s], target // s), 0, -1):
+            if sums[j] >> target - n * s & 1:
+                for rest in exact(sums, sizes, free, target - n * s, j):
+                    yield (s,) * n + rest
+
+
+def fillings(room: int, sizes: list[int], free: list[int], most_waste: int) -> Iterator[Filling | None]:
     """Undominated ways to fill ``room`` from ``sizes`` (ascending, with ``free``
-    counts by length), least waste first; an exact one ends the search."""
-    found: dict[Filling, int] = {}
-    steps = 0
-
-    def dominated(members: list[int], waste: int) -> bool:
-        for m in set(members):
-            k = bisect_right(sizes, m + waste) - 1
-            while k >= 0 and sizes[k] > m:
-                if free[sizes[k]] > members.count(sizes[k]):
-                    return True
-                k -= 1
-        return False
-
-    def search(rest: int, top: int, members: list[int]) -> bool:
-        nonlocal steps
-        k = bisect_right(sizes, min(rest, top)) - 1
-        any_fits = False
-        while k >= 0 and steps < FILL_STEPS:
-            s = sizes[k]
-            k -= 1
-            if free[s] <= members.count(s):
-                continue
-            any_fits = True
-            steps += 1
-            if search(rest - s, s, members + [s]):
-                return True
-        if not any_fits and not dominated(members, rest):
-            found[tuple(members)] = rest
-            return rest == 0
-        return False
-
-    search(room, room, [])
-    return sorted(found, key=lambda f: (found[f], len(f), [-x for x in f]))[:ALTERNATIVES] or [()]
+    counts by length) with at most ``most_waste`` places empty, least waste first;
+    ``None`` stands for a dominated one, so that a budget can count it."""
+    sizes = sizes[:bisect_right(sizes, room)]
+    sums = reachable(sizes, free, room)
+    ends = sums[-1]
+
+    def dominated(members: Filling, waste: int) -> bool:
+        return any(free[s] > members.count(s)
+                   for m in {0, *members} for s in sizes[bisect_right(sizes, m):bisect_right(sizes, m + waste)])
+
+    while ends:
+        target = ends.bit_length() - 1
+        if room - target > most_waste:
+            return
+        ends ^= 1 << target
+        for members in exact(sums, sizes, free, target, len(sizes)):
+            yield None if dominated(members, room - target) else members
 
 
 def best_fit(counts: list[int], capacity: int) -> list[tuple[int, Filling]]:
@@ -107,39 +130,90 @@ def _take(free: list[int], members: list[int]) -> tuple[int, Filling]:
     return copies, tuple(members)
 
 
-def bin_completion(counts: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[int, Filling]]:
-    """``(copies, lengths)`` of sequences that hold ``counts[length]`` pieces of each length."""
+def least_sequences(counts: list[int], capacity: int) -> int:
+    """A lower bound: for each ``small``, lengths over half share no sequence, and
+    those from ``small`` to half only fill what lengths up to capacity - small leave."""
+    n = np.array(counts, np.int64)
+    number, tokens = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(n * np.arange(len(n))))
+    half, best = capacity // 2, -(-int(tokens[-1]) // capacity)
+    for small in range(1, half + 1):
+        top = capacity - small
+        paired = int(number[top + 1] - number[half + 1])
+        room = paired * capacity - int(tokens[top + 1] - tokens[half + 1])
+        over = int(tokens[half + 1] - tokens[small]) - room
+        best = max(best, int(number[-1] - number[half + 1]) + max(0, -(-over // capacity)))
+    return best
+
+
+class Level:
+    """One choice of the search: the fillings of the largest length left, each in ever fewer copies."""
+
+    def __init__(self, free: list[int], capacity: int, most_waste: int):
+        self.capacity, self.most_waste = capacity, most_waste
+        self.asked, self.ways = 0, None
+        self.copies, self.filling = 0, ()
+        self.largest = next(s for s in range(capacity, 0, -1) if free[s])
+
+    def _open(self, free: list[int]) -> Iterator[Filling | None]:
+        rest = list(free)
+        rest[self.largest] -= 1
+        sizes = [s for s in range(1, self.largest + 1) if rest[s]]
+        return islice(fillings(self.capacity - self.largest, sizes, rest, self.most_waste), self.asked, None)
+
+    def advance(self, free: list[int]) -> bool | None:
+        """Give back the present choice and take the next one; None: it was dominated, False: there is none."""
+        for s in self.filling:
+            free[s] += self.copies
+        if self.copies > 1:
+            self.copies //= 2
+        else:
+            self.ways = self.ways or self._open(free)
+            way = next(self.ways, False)
+            self.asked += 1
+            if not isinstance(way, tuple):
+                self.filling, self.copies = (), 0
+                return way
+            self.filling = (self.largest, *way)
+            self.copies = min(free[s] // self.filling.count(s) for s in set(self.filling))
+        for s in self.filling:
+            free[s] -= self.copies
+        return True
+
+    def waste(self) -> int:
+        return self.copies * (self.capacity - sum(self.filling)) if self.copies else 0
+
+
+def search(counts: list[int], capacity: int, best: list[tuple[int, Filling]], nodes: int) -> list[tuple[int, Filling]]:
+    """Branch and bound from the incumbent ``best``, over at most ``nodes`` fillings."""
     total = sum(s * n for s, n in enumerate(counts))
-    bound = -(-total // capacity)
-    best = best_fit(counts, capacity)
+    bound = least_sequences(counts, capacity)
     incumbent = sum(n for n, _ in best)
-    free, chosen, waste = list(counts), [], 0
-    stack: list[tuple[list[int], int, int, list[Filling]]] = []   # counts, depth, waste, fillings left
+    free, levels, deeper = list(counts), [], True
     while incumbent > bound and nodes > 0:
-        sizes = [s for s in range(1, capacity + 1) if free[s]]
-        if not sizes:
-            best, incumbent = list(chosen), sum(n for n, _ in chosen)
-        elif waste <= (incumbent - 1) * capacity - total:
-            largest = sizes[-1]
-            free[largest] -= 1
-            ways = fillings(capacity - largest, sizes, free)
-            free[largest] += 1
-            stack.append((list(free), len(chosen), waste, [(largest, *w) for w in ways]))
-        while stack and not stack[-1][3]:
-            stack.pop()
-        if not stack:
+        spare = (incumbent - 1) * capacity - total - sum(v.waste() for v in levels)
+        if deeper and not any(free):
+            best, deeper = [(v.copies, v.filling) for v in levels], False
+            incumbent = sum(n for n, _ in best)
+            continue
+        if deeper:
+            levels.append(Level(free, capacity, spare))
+            if len(levels) > LIVE:
+                levels[-LIVE - 1].ways = None
+        elif not levels:
             break
+        taken = levels[-1].advance(free)
         nodes -= 1
-        was, depth, waste, ways = stack[-1]
-        free, chosen = list(was), chosen[:depth]
-        way = ways.pop(0)
-        chosen.append(_take(free, list(way)))
-        waste += chosen[-1][0] * (capacity - sum(way))
-        if len(stack) > 64 and not stack[0][3]:
-            stack.pop(0)
+        deeper = bool(taken) and sum(v.waste() for v in levels) <= (incumbent - 1) * capacity - total
+        if taken is False:
+            levels.pop()
     return best
 
 
+def bin_completion(counts: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[int, Filling]]:
+    """``(copies, lengths)`` of sequences that hold ``counts[length]`` pieces of each length."""
+    return search(counts, capacity, best_fit(counts, capacity), nodes)
+
+
 class Encoder:
     """Token ids of whole texts, with a cache of the ids of pre-tokens."""
 

@@ -140,3 +140,55 @@ def test_bin_completion_improves_on_best_fit():
     for s in (6, 5, 5, 4, 3, 3, 2, 2):
         counts[s] += 1
     assert sum(n for n, _ in K.bin_completion(counts, 10)) == 3
+
+
+def perfect_triplets(n, seed, capacity=2048):
+    """Counts of lengths, between a quarter and a half, that fill n sequences exactly."""
+    rng, counts = random.Random(seed), [0] * (capacity + 1)
+    for _ in range(n):
+        a = rng.randrange(capacity * 38 // 100, capacity * 49 // 100)
+        b = rng.randrange((capacity - a) // 2, max((capacity - a) // 2 + 1, min(capacity * 49 // 100, capacity - a - capacity // 4)))
+        for s in (a, b, capacity - a - b):
+            counts[s] += 1
+    return counts
+
+
+def test_perfect_triplets_are_nearly_found():
+    for n, most in ((20, 20), (60, 61), (300, 304)):
+        counts = perfect_triplets(n, 1)
+        kinds = K.bin_completion(counts)
+        assert sum(m for m, _ in K.best_fit(counts, 2048)) > most
+        assert n <= sum(m for m, _ in kinds) <= most
+        used = [0] * 2049
+        for m, members in kinds:
+            for s in members:
+                used[s] += m
+        assert used == counts
+
+
+def test_fillings_are_complete_and_undominated():
+    """Against every subset of small instances; thousands of equal lengths fill in one step."""
+    rng = random.Random(5)
+    for _ in range(40):
+        free = [0] * 16
+        for _ in range(rng.randrange(1, 7)):
+            free[rng.randrange(1, 16)] += 1
+        room, sizes = rng.randrange(1, 16), [s for s in range(16) if free[s]]
+        every = [()]
+        for s in sizes:
+            every = [f + (s,) * n for f in every for n in range(free[s] + 1)]
+        every = [f for f in every if sum(f) <= room]
+        want = {tuple(sorted(f)) for f in every
+                if not any(free[s] > f.count(s) and m < s <= m + room - sum(f) for m in {0, *f} for s in sizes)}
+        got = [f for f in K.fillings(room, sizes, free, room) if f is not None]
+        assert sorted(map(sum, got), reverse=True) == list(map(sum, got))
+        assert len(got) == len(set(got)) and {tuple(sorted(f)) for f in got} == want
+    free = [0, 3000]
+    assert next(K.fillings(1248, [1], free, 0)) == (1,) * 1248
+
+
+def test_lower_bound_counts_lengths_that_share_nothing():
+    counts = [0] * 11
+    counts[6], counts[5] = 3, 1
+    assert K.least_sequences(counts, 10) == 4 and K.bin_completion(counts, 10, nodes=0)
+    assert K.least_sequences([0] * 11, 10) == 0 and K.bin_completion([0] * 11, 10) == []

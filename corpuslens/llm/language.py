@@ -4,17 +4,24 @@ A text's n-grams (of one to three UTF-8 bytes of its lower-cased letters,
 word ends included) are hashed to ``FEATURES`` counters; counts are damped,
 weighted by inverse document frequency and normalised.  Each language has a
 few centroids (spherical k-means over its training vectors) and a text takes
-the language of the centroid with the largest cosine.  A text whose cosine is
-far below what its language's training texts reach is rejected.
+the language of the centroid with the largest cosine.
+
+A text is rejected when that cosine is below the bound of its language and
+class of length (the power of two of its different n-grams, so that a word
+repeated a thousand times is a short text).  The bounds come from beginnings
+of the training texts of several lengths: ``SAFE`` of the ``QUANTILE`` that a
+language's own beginnings reach, raised to what the other languages' beginnings
+reach against its centroids but never above ``NEAR`` of its own.
 
 Training reads at most about ``TRAIN_PER_LANGUAGE`` documents of each language,
 picked by a hash of the id among the labelled rows that are not held out; the
 bound is a parameter.  Prediction reads whole texts, row by row, so skew and
-lost executors need no care.
+lost executors need no care; a very long text costs one row of counters.
 
-Defined results: null texts and texts without a letter are ``und`` with score
+Defined results: only ``doc_id``, ``text`` and ``lang`` are read, so extra columns
+may have any names, and rows without id are predicted like others; null texts and texts without a letter are ``und`` with score
 0 and rejected; a text whose n-grams the training never met takes the first
-language with score 0; without training rows every text is ``und``; repeated
+language with score 0 and is rejected; without training rows every text is ``und``; repeated
 rows get equal results; empty tables give empty tables.
 """
 
@@ -33,8 +40,10 @@ FEATURES = 1 << 13
 TRAIN_PER_LANGUAGE = 400
 CENTROIDS = 3
 ROUNDS = 10
-REJECT_SHARE = 0.15        # of the language's low quantile of training cosines
-QUANTILE = 0.02
+QUANTILE = 0.01            # of the cosines of a language's own beginnings
+SAFE, NEAR = 0.4, 0.6      # shares of that quantile between which the bound lies
+STARTS = (16, 64, 256, 1024, 4096)   # characters of the beginnings that set the bounds
+ENOUGH = 20                # beginnings that a class of length needs for a bound of its own
 ROWS_AT_ONCE = 64
 UNKNOWN = "und"
 
@@ -101,6 +110,37 @@ def spherical_means(v: np.ndarray, k: int) -> np.ndarray:
     return centre
 
 
+def length_class(counts: np.ndarray) -> np.ndarray:
+    """Power of two of the number of different n-grams of each row."""
+    return np.log2(1 + (counts > 0).sum(axis=1)).astype(np.int64)
+
+
+def rejection_bounds(rows: list[tuple[str, str]], model: dict, grams: "Grams") -> np.ndarray:
+    """The least cosine that is accepted, by language and class of length."""
+    names, of = model["names"], model["of"]
+    pieces = [(t[:n], y) for t, y in rows for n in (*(n for n in STARTS if n < len(t)), len(t)) if has_letter(t[:n])]
+    reached, size = np.zeros((len(pieces), len(names))), np.zeros(len(pieces), np.int64)
+    for i in range(0, len(pieces), ROWS_AT_ONCE):
+        counts = grams.counts([t for t, _ in pieces[i:i + ROWS_AT_ONCE]])
+        cosine = weighted(counts, model["idf"]) @ model["centre"].T
+        size[i:i + ROWS_AT_ONCE] = length_class(counts)
+        for c in range(len(names)):
+            reached[i:i + ROWS_AT_ONCE, c] = cosine[:, of == c].max(axis=1)
+    y = np.array([names.index(x) for _, x in pieces], np.int64)
+    classes = grams.features.bit_length()
+    low = np.zeros((len(names), classes))
+    for c in range(len(names)):
+        known = [k for k in range(classes) if ((y == c) & (size == k)).sum() >= ENOUGH] or [None]
+        for k in range(classes):
+            at = min(known, key=lambda j: (abs(j - k), j)) if known != [None] else None
+            here = np.ones(len(size), bool) if at is None else size == at
+            own, other = reached[here & (y == c), c], reached[here & (y != c), c]
+            least = float(np.quantile(own, QUANTILE)) if len(own) else 0.0
+            foreign = float(np.quantile(other, 1 - QUANTILE)) if len(other) else 0.0
+            low[c, k] = min(NEAR * least, max(SAFE * least, foreign))
+    return low
+
+
 def train(rows: list[tuple[str, str]], features: int = FEATURES, centroids: int = CENTROIDS) -> dict:
     """The model of ``(text, language)`` rows: languages, idf, centroids, rejection bounds."""
     rows = [(t, y) for t, y in rows if y is not None and has_letter(t)]
@@ -111,9 +151,9 @@ def train(rows: list[tuple[str, str]], features: int = FEATURES, centroids: int
     v = weighted(counts, idf)
     y = np.array([names.index(x) for _, x in rows], np.int64)
     centre = [spherical_means(v[y == c], centroids) for c in range(len(names))]
-    low = [float(np.quantile((v[y == c] @ centre[c].T).max(axis=1), QUANTILE)) * REJECT_SHARE for c in range(len(names))]
-    return {"names": names, "idf": idf, "centre": np.concatenate(centre).astype(np.float32) if centre else np.zeros((0, features), np.float32),
-            "of": np.repeat(np.arange(len(names)), [len(c) for c in centre]), "low": np.array(low)}
+    model = {"names": names, "idf": idf, "of": np.repeat(np.arange(len(names)), [len(c) for c in centre]),
+             "centre": np.concatenate(centre).astype(np.float32) if centre else np.zeros((0, features), np.float32)}
+    return model | {"low": rejection_bounds(rows, model, Grams(features))}
 
 
 def predict(model: dict, grams: Grams, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -124,14 +164,15 @@ def predict(model: dict, grams: Grams, texts: list[str | None]) -> tuple[list[st
         part = texts[i:i + ROWS_AT_ONCE]
         if not names:
             break
-        cosine = weighted(grams.counts(part), model["idf"]) @ model["centre"].T
+        counts = grams.counts(part)
+        cosine, size = weighted(counts, model["idf"]) @ model["centre"].T, length_class(counts)
         best = np.argmax(cosine, axis=1)
         for r, t in enumerate(part):
             if has_letter(t):
                 c = int(model["of"][best[r]])
                 out[i + r] = names[c]
                 scores[i + r] = min(1.0, max(0.0, float(cosine[r, best[r]])))
-                rejected[i + r] = scores[i + r] < model["low"][c]
+                rejected[i + r] = scores[i + r] < model["low"][c, size[r]]
     return out, scores, rejected
 
 

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -28,6 +29,85 @@ def test_language_query_is_right_on_held_out_rows(spark):
     assert sum(r.rejected for r in out) <= 2
 
 
+def plain_counts(text):
+    """Hashed n-grams of a text, one at a time."""
+    b = []
+    for x in (" " + (text or "").lower() + " ").encode("utf-8", "replace"):
+        x = x if 97 <= x <= 122 or x >= 128 else 32
+        if x != 32 or not b or b[-1] != 32:
+            b.append(x)
+    out = {}
+    if len(b) >= 3:
+        grams = [(x, 1) for x in b if x != 32] + [(x << 8 | y, 2) for x, y in zip(b, b[1:])]
+        for code, seed in grams + [(x << 16 | y << 8 | z, 3) for x, y, z in zip(b, b[1:], b[2:])]:
+            h = code * 2654435761 % 2**32 ^ seed
+            h ^= h >> 15
+            place = (h * 2246822519 % 2**32) >> 32 - (L.FEATURES.bit_length() - 1)
+            out[place] = out.get(place, 0) + 1
+    return out
+
+
+def plain_prediction(model, text):
+    """Language, cosine and rejection by sums over dictionaries."""
+    counts = plain_counts(text)
+    v = {k: math.log1p(n) * float(model["idf"][k]) for k, n in counts.items()}
+    norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+    cosines = [sum(x * float(c[k]) for k, x in v.items()) / norm for c in model["centre"]]
+    best = max(range(len(cosines)), key=lambda c: cosines[c])
+    language = int(model["of"][best])
+    bound = model["low"][language][int(math.log2(1 + len(counts)))]
+    return model["names"][language], cosines, cosines[best], bound
+
+
+FOREIGN = """Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.
+Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.
+Alle mennesker er født frie og med samme menneskeverd og menneskerettigheter. De er utstyrt med fornuft og samvittighet.
+Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza.
+Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel bírván.""".split("\n")
+
+
+def test_language_equals_plain_cosines_and_rejects_what_was_not_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model, grams = L.train(L.training_rows(docs)), L.Grams()
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    junk = [" ".join("".join(rng.choice(letters, rng.integers(2, 9))) for _ in range(n)) for n in (8, 16, 64, 256) for _ in range(20)]
+    own = [r.text for r in docs.filter("text IS NOT NULL").orderBy("doc_id").limit(60).collect()]
+    texts = own + junk + FOREIGN + ["", None, "12 !", "x"]
+    names, score, rejected = L.predict(model, grams, texts)
+    for t, name, s, no in zip(texts, names, score, rejected):
+        if not L.has_letter(t):
+            assert (name, s, no) == ("und", 0.0, True)
+            continue
+        want, cosines, cosine, bound = plain_prediction(model, t)
+        assert abs(s - min(1, max(0, cosine))) < 1e-4
+        assert name == want or sorted(cosines)[-1] - sorted(cosines)[-2] < 1e-4
+        assert no == (cosine < bound) or abs(cosine - bound) < 1e-4
+    assert rejected[len(own):len(own) + len(junk) + len(FOREIGN)].mean() > 0.98 and rejected[-9:-4].all()
+    assert rejected[:len(own)].sum() <= 1
+
+
+def test_bounds_are_those_of_the_beginnings(spark):
+    rows = [(" ".join(f"{a}{k % 7}{a}o the{a}r" for k in range(n)), y) for n in (1, 3, 9, 40, 200) for a, y in (("b", "x"), ("zw", "y")) for _ in range(25)]
+    model = L.train(rows)
+    reached = {}
+    for t, y in rows:
+        for n in {*(n for n in L.STARTS if n < len(t)), len(t)}:
+            _, cosines, _, _ = plain_prediction(model, t[:n])
+            size = int(math.log2(1 + len(plain_counts(t[:n]))))
+            for c, z in enumerate(model["names"]):
+                best = max(x for x, of in zip(cosines, model["of"]) if of == c)
+                reached.setdefault((c, size, y == z), []).append(best)
+    checked = 0
+    for (c, size, own), values in reached.items():
+        if own and len(values) >= L.ENOUGH:
+            least, other = np.quantile(values, L.QUANTILE), reached.get((c, size, False))
+            foreign = np.quantile(other, 1 - L.QUANTILE) if other else 0
+            assert abs(model["low"][c, size] - min(L.NEAR * least, max(L.SAFE * least, foreign))) < 1e-4
+            checked += 1
+    assert checked >= 3 and model["low"].shape == (2, L.FEATURES.bit_length())
+
+
 def test_language_edge_cases(edge, nothing, spark):
     out = L.languages(edge)
     assert out.columns == ["doc_id", "held_out", "lang_pred", "score", "rejected"]
@@ -94,7 +174,10 @@ def test_pipeline_stages(spark, sf_dir):
     known, near, clean, private, packed = (f for _, f in corpus_pipeline.STAGES)
     have = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     left = known(spark, docs, sf_dir)
-    assert left.columns == docs.columns and {i for i, t in have if not L.has_letter(t)} == {i for i, _ in have} - {r.doc_id for r in left.collect()}
+    model = L.train(L.training_rows(docs))
+    assert left.columns == docs.columns
+    gone = {i for i, _ in have} - {r.doc_id for r in left.collect()}
+    assert gone == {i for i, t in have if not L.has_letter(t) or plain_prediction(model, t)[2] < plain_prediction(model, t)[3]}
     unique = near(spark, docs, sf_dir)
     assert {r.doc_id for r in unique.collect()} == {i for i, (_, c) in groups(have, 5).items() if i == c}
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]

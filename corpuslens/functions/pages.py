@@ -108,6 +108,16 @@ def page_type_counts(classified: DataFrame) -> DataFrame:
     return per.unionByName(total)
 
 
+PAGE_TYPES = (REDIRECT, EMPTY, DISAMBIGUATION, STUB, LIST, OTHER, ARTICLE, NON_ARTICLE)
+
+
+def write_classified(classified: DataFrame, path: str) -> dict[str, int]:
+    """B1 + B2 in one pass: writes the classified pages as Parquet to ``path`` and returns
+    the pages of each type (0 where none) and their ``TOTAL``."""
+    from ..sources.files import write_counted
+    return write_counted(classified, path, {t: F.col("page_type") == t for t in PAGE_TYPES})
+
+
 def pages_to_text(classified: DataFrame) -> DataFrame:
     """ARTICLE pages only, as ``documents(doc_id, text)``."""
     return classified.filter(F.col("page_type") == ARTICLE).select("doc_id", F.col("content").alias("text"))

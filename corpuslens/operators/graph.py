@@ -8,11 +8,15 @@ partial aggregation, so hot nodes cost one partial row per map task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
+MERGED = 16  # levels of a category tree that are kept as tables of their own
+
 
 def build_adjacency(edges: DataFrame) -> DataFrame:
     """Distinct inlinks per node, long form ``(doc_id, src_id)``."""
@@ -45,25 +49,30 @@ def category_closure(category_links: DataFrame, roots: list[str], max_depth: int
     """Categories reachable from ``roots`` (inclusive) as ``(category)``.
 
     Breadth-first frontier expansion: join the frontier with the links,
-    drop what was visited (anti join), stop when the frontier is empty or
-    ``max_depth`` is reached.  Each level is materialised, so lineage does
-    not grow with depth and a lost executor only repeats one level."""
+    drop what earlier levels hold (anti join), stop when the frontier is
+    empty or ``max_depth`` is reached, so cycles end.  Only what a level adds is
+    materialised, so lineage does not grow with depth and a lost executor only
+    repeats one level; ``MERGED`` levels become one table, which keeps the plan
+    short on deep trees and rewrites a category once in so many levels."""
     spark = category_links.sparkSession
     links = category_links.select("parent", "child").distinct()
-    visited = spark.createDataFrame([(r,) for r in roots], "category string").distinct()
-    frontier = visited
+    frontier = spark.createDataFrame([(r,) for r in roots], "category string").distinct()
+    older, levels = None, [frontier]
     depth = 0
     while max_depth is None or depth < max_depth:
+        visited = reduce(DataFrame.unionByName, levels if older is None else [older, *levels])
         nxt = (frontier.join(links, frontier.category == links.parent)
-               .select(F.col("child").alias("category")).distinct()
+               .select(F.col("child").alias("category")).filter("category IS NOT NULL").distinct()
                .join(visited, "category", "left_anti"))
         nxt = materialize(nxt, cache)
         if nxt.isEmpty():
             break
-        visited = materialize(visited.unionByName(nxt), cache)
+        levels.append(nxt)
+        if len(levels) > MERGED:
+            older, levels = materialize(visited.unionByName(nxt), cache), []
         frontier = nxt
         depth += 1
-    return visited
+    return reduce(DataFrame.unionByName, levels if older is None else [older, *levels])
 
 
 def category_extract(category_links: DataFrame, page_categories: DataFrame, roots: list[str],

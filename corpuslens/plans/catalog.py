@@ -9,6 +9,7 @@ results compare with the SQL oracle by value.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -946,15 +947,29 @@ def q_sketch_kmeans(spark, sf_dir):
     return sketch_kmeans(feats, KMEANS_K, sketch_size=100, partitions=GREEDI_P, fan_in=4)
 
 
-@register("choose_objective", Q.greedi_query([*LSH, Q.LSH_CELLS, *Q.weighted_cells(name="wcells"),
-                                              Q.combine([("wwc", "wcells", 1.0), ("lsh", "lcells", 1.0)])],
-                                             GREEDY_K, GREEDI_P, "mcells").replace(
-    "SELECT CAST(r AS INTEGER) AS rank", "SELECT 'word_coverage_lsh' AS objective, CAST(r AS INTEGER) AS rank"))
+# every branch of the dispatch, with the cells it stands for
+DISPATCH = {
+    "boosted_word_coverage": (BOOSTED, "bcells"),
+    "word_coverage_lsh": ([*LSH, Q.LSH_CELLS, *Q.weighted_cells(name="wcells"),
+                           Q.combine([("wwc", "wcells", 1.0), ("lsh", "lcells", 1.0)])], "mcells"),
+    "graph_coverage": ([Q.EDGES, Q.ADJ, Q.GRAPH_CELLS], "gcells"),
+    "weighted_word_coverage": ([*Q.CORPUS, *Q.weighted_cells()], "cells"),
+    "word_coverage": ([*Q.CORPUS, Q.F1_CELLS], "cells"),
+}
+
+
+@register("choose_objective", "\nUNION ALL\n".join(
+    f"SELECT '{name}' AS objective, b.* FROM ({Q.greedi_query(ctes, GREEDY_K, GREEDI_P, cells)}) b"
+    for name, (ctes, cells) in DISPATCH.items()))
 def q_choose_objective(spark, sf_dir):
     from .summarize import choose_objective, summarize
     c = ctx(spark, sf_dir).corpus
-    obj = choose_objective(c.postings, c.vocab_size, counts=c.kept, buckets=_lsh_state(spark, sf_dir)["buckets"])
-    return rounded(summarize(obj, GREEDY_K, method="greedi", partitions=GREEDI_P))
+    docs, edges = TB.documents(spark, sf_dir), TB.doc_edges(spark, sf_dir)
+    given = [{"counts": c.kept, "edges": edges, "revisions": TB.revisions(spark, sf_dir)},
+             {"counts": c.kept, "buckets": _lsh_state(spark, sf_dir)["buckets"]}, {"edges": edges}, {"counts": c.kept}, {}]
+    out = [summarize(choose_objective(c.postings, c.vocab_size, docs=docs, **g), GREEDY_K, method="greedi", partitions=GREEDI_P)
+           for g in given]
+    return rounded(reduce(DataFrame.unionByName, out))
 
 
 # ------------------------------------------------ extension surface

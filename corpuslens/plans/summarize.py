@@ -39,12 +39,18 @@ class CellsObjective:
 
 def choose_objective(postings: DataFrame, vocab_size: int, counts: DataFrame | None = None,
                      buckets: DataFrame | None = None, edges: DataFrame | None = None,
-                     revisions: DataFrame | None = None, docs: DataFrame | None = None) -> CellsObjective:
-    """The objective the given inputs call for."""
+                     revisions: DataFrame | None = None, docs: DataFrame | None = None, use_inlinks: bool = True,
+                     use_count: bool = True, use_volume: bool = True) -> CellsObjective:
+    """The objective the given inputs call for, in this order: ``revisions``
+    (coverage boosted by the factors that ``use_inlinks``, ``use_count`` and
+    ``use_volume`` switch), ``buckets`` (coverage and LSH buckets), ``edges`` (graph
+    coverage over every document, with or without inlinks), ``counts`` (weighted
+    coverage), nothing (plain coverage).  ``docs(doc_id)`` are the documents; without
+    it those that have postings."""
+    base_docs = docs if docs is not None else postings.select("doc_id").distinct()
     if revisions is not None:
         from ..operators.graph import document_boost
-        base_docs = docs if docs is not None else postings.select("doc_id").distinct()
-        boost = document_boost(base_docs, edges, revisions)
+        boost = document_boost(base_docs, edges, revisions, use_inlinks, use_count, use_volume)
         if counts is None:
             boosted = postings.join(boost, "doc_id", "left").withColumn(
                 "weight", F.col("weight") * F.coalesce(F.col("boost"), F.lit(1.0)))
@@ -56,7 +62,7 @@ def choose_objective(postings: DataFrame, vocab_size: int, counts: DataFrame | N
         return CellsObjective("word_coverage_lsh", O.combine_cells({"wwc": (words, 1.0),
                                                                      "lsh": (O.lsh_bucket_cells(buckets), 1.0)}))
     if edges is not None:
-        return CellsObjective("graph_coverage", O.graph_coverage_cells(edges))
+        return CellsObjective("graph_coverage", O.graph_coverage_cells(edges, candidates=base_docs))
     if counts is not None:
         return CellsObjective("weighted_word_coverage", O.weighted_word_coverage_cells(postings, counts))
     return CellsObjective("word_coverage", O.word_coverage_cells(postings, vocab_size))

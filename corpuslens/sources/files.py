@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -250,3 +250,15 @@ def read_wiki_tables(spark: SparkSession, pages_path: str, links_path: str, cate
         "category_links": load(categories_path, "parent string, child string"),
         "page_categories": load(page_categories_path, "doc_id long, category string"),
     }
+
+
+def write_counted(df: DataFrame, path: str, counters: dict[str, Column]) -> dict[str, int]:
+    """Write ``df`` as Parquet and count, in the same pass, its rows (``TOTAL``) and those
+    for which each condition of ``counters`` holds (null: not counted).  A task that is
+    repeated after a lost executor counts once; an empty table gives zeros."""
+    names = list(counters)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("total"),
+               *[F.count_if(c).alias(f"c{i}") for i, c in enumerate(counters.values())]).write.parquet(path)
+    got = seen.get
+    return {"TOTAL": got["total"]} | {n: got[f"c{i}"] for i, n in enumerate(names)}

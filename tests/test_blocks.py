@@ -106,3 +106,13 @@ def test_queries_make_only_what_they_ask_for(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(catalog.Context, "_cache", {})
     monkeypatch.setattr("corpuslens.operators.tfidf.l2_normalize", refuse)
     assert catalog.QUERIES["term_frequency"](spark, sf_dir).count() > 0
+
+
+def test_text_folder_is_written_by_all_tasks(spark, tmp_path):
+    """One input partition, as a small file gives; each task commits its own files."""
+    from corpuslens.sources.files import read_text_dir, write_text_dir
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string").coalesce(1)
+    write_text_dir(docs, str(tmp_path / "t"))
+    files = list((tmp_path / "t").glob("doc_id=*/part-*.txt"))
+    assert len(files) == 40 and len({f.name.split("-")[1] for f in files}) > 1
+    assert sorted((r.doc_id, r.text) for r in read_text_dir(spark, str(tmp_path / "t")).collect()) == [(i, f"text {i}") for i in range(40)]

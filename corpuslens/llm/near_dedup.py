@@ -201,20 +201,34 @@ def ends(pairs: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``(node, label)``: the least node reachable from each node of ``edges(a, b)``."""
-    both = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = staged(both.groupBy("a").agg(F.min("b").alias("m"))
-                    .select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
-    while True:
-        heard = (both.join(labels.select(F.col("node").alias("b"), "label"), "b")
-                 .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m")))
-        step = labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = staged(step.join(jump, "label").select("node", "old", F.least("label", "up").alias("label")))
-        moved = new.filter(F.col("old") != F.col("label")).limit(1).count()
-        labels = new.select("node", "label")
-        if not moved:
-            return labels
+    """``(node, label)``: the least node reachable from each node of ``edges(a, b)``.
+
+    In each round a node takes the least of its neighbours and itself, choices are followed
+    to their end, and the edges are drawn anew between the ends: those inside a group go, and
+    at most half of the nodes still have edges, so later rounds see only what is still apart."""
+    rounds, left = [], staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    while not rounds or left.limit(1).count():
+        both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        label = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+        moved = True
+        while moved:                                                # each step doubles the length that is followed
+            new = _pointed(label, label)
+            moved = new.filter("old <> label").limit(1).count()
+            label = new.select("node", "label")
+        rounds.append(label)
+        to = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
+        drawn = left.join(to("a"), "a").join(to("b"), "b").select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b"))
+        left = staged(drawn.filter("a <> b").distinct())
+    labels = rounds.pop()
+    while rounds:                                                   # the few nodes of the last rounds first
+        labels = _pointed(rounds.pop(), labels).select("node", "label")
+    return labels
+
+
+def _pointed(labels: DataFrame, further: DataFrame) -> DataFrame:
+    """``(node, old, label)``: each label of ``labels`` and its own label in ``further``, if it has one."""
+    up = further.select(F.col("node").alias("label"), F.col("label").alias("up"))
+    return staged(labels.join(up, "label", "left").select("node", F.col("label").alias("old"), F.coalesce("up", "label").alias("label")))
 
 
 def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:

@@ -135,6 +135,25 @@ def test_a_column_with_the_name_of_the_key_is_kept(spark):
     assert sorted(map(tuple, N.drop_near_copies(table).collect())) == [(1, a, "own"), (3, "other text", "mine")]
 
 
+def test_components_draw_only_the_edges_left(spark, monkeypatch):
+    """A group's edges are not joined again in every round: the work stays near the number of edges."""
+    rng = np.random.default_rng(3)
+    ids = rng.permutation(600)
+    links = {(int(ids[k]), int(ids[k + 1])) for k in range(399)} | {(int(ids[400]), int(i)) for i in ids[401:]} | {(700, 700)}
+    made, whole = [], N.staged
+
+    def counted(df):
+        out = whole(df)
+        made.append((out.columns, out.count()))
+        return out
+    monkeypatch.setattr(N, "staged", counted)
+    labels = {r.node: r.label for r in N.components(spark.createDataFrame(sorted(links), "a bigint, b bigint")).collect()}
+    chain, star = {int(i) for i in ids[:400]}, {int(i) for i in ids[400:]}
+    assert labels == {i: min(g) for g in (chain, star, {700}) for i in g}
+    drawn = [n for columns, n in made if columns == ["a", "b"]]
+    assert all(2 * y <= x for x, y in zip(drawn, drawn[1:])) and drawn[-1] == 0
+
+
 def order_pairs(sigs, back=4):
     depth = sigs.shape[1]
     batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sigs), np.int64)), pa.array([s.astype(">u2").tobytes() for s in sigs]), pa.array(np.arange(len(sigs)))],

@@ -56,9 +56,11 @@ def novelty_stats(postings: DataFrame, neighbors: DataFrame, buckets: DataFrame
 
 def dedup_by_id(vectors: DataFrame, key: str = "band") -> DataFrame:
     """Several vectors per doc (one per ``key`` value) -> one: the vector
-    of the smallest key.  Aggregate + semi join, no per-doc window."""
-    pick = vectors.groupBy("doc_id").agg(F.min(key).alias(key))
-    return vectors.join(pick, ["doc_id", key], "left_semi").drop(key)
+    of the smallest key.  Aggregate + join by document, no per-doc window: vectors that
+    are dealt by document stay where they are (an equality would become a key of the
+    join, and they would be dealt again by both)."""
+    pick = vectors.groupBy("doc_id").agg(F.min(key).alias("_least"))
+    return vectors.join(pick, "doc_id").filter(F.col(key) <= F.col("_least")).drop(key, "_least")
 
 
 def word_spread(postings: DataFrame, dates: DataFrame) -> DataFrame:

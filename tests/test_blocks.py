@@ -116,3 +116,60 @@ def test_text_folder_is_written_by_all_tasks(spark, tmp_path):
     files = list((tmp_path / "t").glob("doc_id=*/part-*.txt"))
     assert len(files) == 40 and len({f.name.split("-")[1] for f in files}) > 1
     assert sorted((r.doc_id, r.text) for r in read_text_dir(spark, str(tmp_path / "t")).collect()) == [(i, f"text {i}") for i in range(40)]
+
+
+def test_a_document_is_packed_once_however_many_groups_it_has(spark, sizes):
+    docs = corpus(6)
+    rows = spark.createDataFrame([(d, d % 3, [d % 2, 10 + d % 4, 20]) for d in docs], "doc_id long, period int, groups array<long>")
+    blocks = [{c: np.frombuffer(r[c], kind) for c, kind in B.PACKED.items()} for r in B.pack(frame(spark, docs), rows).collect()]
+    assert sorted(d for b in blocks for d in b["docs"]) == sorted(docs)
+    assert sum(len(b["weights"]) for b in blocks) == sum(map(len, docs.values()))
+    held = sorted((int(b["docs"][m]), int(g)) for b in blocks for m, g in zip(b["members"], b["groups"]))
+    assert held == sorted((d, g) for d in docs for g in (d % 2, 10 + d % 4, 20))
+
+
+def test_a_task_returns_one_neighbour_a_document(spark, sizes):
+    """Not one for each pair of blocks: what is moved does not follow the pairs."""
+    docs = corpus(7)
+    rows = spark.createDataFrame([(d, 0, [0, 1]) for d in docs], "doc_id long, period int, groups array<long>")
+    joined = B.pairs(B.pack(frame(spark, docs), rows)).coalesce(1)
+    rows = B.best_earlier(joined, 9, "doc_id long, neighbor_id long, dot double").collect()
+    got = {r.doc_id: r.neighbor_id for r in rows}
+    assert got and len(rows) == len(got)
+    for d, best in got.items():
+        assert best == min(range(d), key=lambda e: (-round(dot(docs[d], docs[e]), 9), e))
+
+
+def test_staged_writes_leave_no_shuffles(spark):
+    from corpuslens.session import SHUFFLE_CLEANUP, materialize
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = tracker.shuffleStatuses().size()
+    out = materialize(spark.range(1000).selectExpr("id % 7 AS g").groupBy("g").count(), "table")
+    assert tracker.shuffleStatuses().size() <= before and spark.conf.get(SHUFFLE_CLEANUP) == "false"
+    assert sorted(r[0] for r in out.collect()) == list(range(7))
+
+
+def test_blocks_go_when_their_neighbours_are_staged(spark, sizes):
+    from pathlib import Path
+    from urllib.parse import urlparse
+    from corpuslens.session import ensure_checkpoint_dir
+    docs = corpus(8)
+    folder = Path(urlparse(ensure_checkpoint_dir(spark)).path)
+    before = set(folder.glob("table-*"))
+    rows = past_neighbor_lsh(frame(spark, docs), spark.createDataFrame([(0, 0, d) for d in docs], "band int, bucket long, doc_id long"),
+                             spark.createDataFrame([(d, 0) for d in docs], "doc_id long, period int"))
+    left = [spark.read.parquet(str(p)).columns for p in set(folder.glob("table-*")) - before]
+    assert left == [["doc_id", "neighbor_id", "dot"]]
+    assert rows.count() == len(docs) - 1
+
+
+def test_novelty_is_the_same_without_broadcasts(spark, monkeypatch):
+    import corpuslens.operators.novelty as N
+    docs = corpus(9)
+    post = frame(spark, docs)
+    near = spark.createDataFrame([(d, d // 2 if d > 3 else None) for d in docs if d % 9], "doc_id long, neighbor_id long")
+    want = sorted((d, t, x) for d, v in docs.items() for t, w in v.items()
+                  if (x := round(max(0.0, w - (docs[d // 2].get(t, 0.0) if d > 3 and d % 9 else 0.0)), 9)) > 0)
+    for rows in (N.DEFAULT_BROADCAST_ROWS, 0):
+        monkeypatch.setattr(N, "DEFAULT_BROADCAST_ROWS", rows)
+        assert sorted((r.doc_id, r.term, round(r.weight, 9)) for r in N.novelty(post, near).collect()) == want

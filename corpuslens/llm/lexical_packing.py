@@ -36,6 +36,7 @@ import json
 import os
 import re
 import zlib
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -71,20 +72,25 @@ class Slots(dict):
         return n
 
 
+@lru_cache(maxsize=1)
+def vocabulary_parts(tokenizer_json: str):
+    """What a vocabulary file alone decides, made once per Python worker and not per task: the
+    library, the library for pre-tokens in lower case put side by side, added tokens, ids that end a pre-token."""
+    library, parts = load_tokenizer(tokenizer_json), json.loads(tokenizer_json)
+    parts |= {"added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+    vocabulary = library.get_vocab()
+    closes = np.zeros(max(vocabulary.values()) + 1, bool)
+    closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+    return library, load_tokenizer(json.dumps(parts)), added_tokens(tokenizer_json), closes
+
+
 class Encoder:
     """Terms and token ids of texts; ids of a term are made once and kept."""
 
     def __init__(self, tokenizer_json: str):
-        self.library = load_tokenizer(tokenizer_json)
-        parts = json.loads(tokenizer_json)
-        parts |= {"added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
-            {"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
-        self.merges = load_tokenizer(json.dumps(parts))                   # for pre-tokens in lower case, put side by side
-        self.added = added_tokens(tokenizer_json)
+        self.library, self.merges, self.added, self.closes = vocabulary_parts(tokenizer_json)
         self.odd, self.plain, self.any = re.compile(f"[^{PLAIN}]"), re.compile(PLAIN_PATTERN), re.compile(PATTERN)
-        vocabulary = self.library.get_vocab()
-        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)        # ids that end a pre-token
-        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.reset()
 
     def reset(self) -> None:
@@ -127,7 +133,7 @@ class Encoder:
                 whole[i] = np.array([*self.library.encode(t, add_special_tokens=False).ids, END], np.uint32)
             pattern = self.any if odd else self.plain
             words = pattern.findall(t.lower()) if len(t) < LONG else map(re.Match.group, pattern.finditer(t.lower()))
-            terms.append(np.fromiter(map(self.slots.__getitem__, words), np.int64))
+            terms.append(np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words) if isinstance(words, list) else -1))
         self._encode_new()
         n = np.fromiter(map(len, terms), np.int64, len(terms))
         flat = np.concatenate(terms) if len(terms) else np.zeros(0, np.int64)
@@ -149,9 +155,9 @@ class Index:
         n = np.fromiter(map(len, terms), np.int64, len(terms))
         flat = np.concatenate([*terms, np.zeros(0, np.int64)])
         doc = np.repeat(np.arange(len(terms)), n)
-        _, term = np.unique(flat, return_inverse=True)
-        key, tf = np.unique(term * max(1, len(terms)) + doc, return_counts=True)
-        self.doc, term = key % max(1, len(terms)), key // max(1, len(terms))
+        key, tf = np.unique(flat * max(1, len(terms)) + doc, return_counts=True)
+        number, self.doc = np.divmod(key, max(1, len(terms)))
+        term = np.cumsum(np.append(False, number[1:] != number[:-1])[:len(key)])   # from 0, without gaps
         df = np.bincount(term)
         idf = np.log1p((len(terms) - df + 0.5) / (df + 0.5))
         length = n[self.doc] / max(1.0, n.mean() if len(n) else 1.0)

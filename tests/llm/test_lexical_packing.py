@@ -36,6 +36,19 @@ def test_ids_equal_the_library(encoder):
         assert [g[1].tolist() for g in got] == [ids_of(t) for t in texts[a:a + 100]]
 
 
+def test_vocabulary_is_loaded_once_per_worker(monkeypatch):
+    """Tasks that follow each other in one Python worker share the loaded library, not the terms."""
+    loads = []
+    monkeypatch.setattr(L, "load_tokenizer", lambda text: loads.append(1) or Tokenizer.from_str(text))
+    L.vocabulary_parts.cache_clear()
+    with open(FILE, encoding="utf-8") as f:
+        text = f.read()
+    first, second = L.Encoder(text), L.Encoder(text)
+    assert len(loads) == 2 and first.encode(["red green"])[0][1].tolist() == ids_of("red green")
+    assert not second.slots and second.encode(["green"])[0][1].tolist() == ids_of("green")
+    assert L.Index([np.zeros(0, np.int64)]).scores(0).tolist() == [0.0]
+
+
 def test_terms_survive_renumbering(encoder):
     (before, _), = encoder.encode(["red green blue green"])
     (after,) = encoder.renumber([before])

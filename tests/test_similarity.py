@@ -69,6 +69,32 @@ def test_best_earlier_neighbour(spark, seed):
     assert stats["pairs"] < stats["all_pairs"] / 2
 
 
+def test_pairs_of_documents_are_not_staged(spark, monkeypatch):
+    """Every document shares a term with every other; what is staged follows the documents.
+    Copies of a date row weigh a document's vector like before."""
+    import corpuslens.operators.blocks as B
+    import corpuslens.operators.neighbors as N
+    keep, staged = N.materialize, []
+
+    def counting(df, mode="checkpoint"):
+        out = keep(df, mode)
+        staged.append(out.count())
+        return out
+    monkeypatch.setattr(N, "materialize", counting)
+    monkeypatch.setattr(B, "materialize", counting)
+    monkeypatch.setattr(B, "BLOCK_DOCS", 50)
+    n = 300
+    docs = {d: {"all": 0.5, f"w{d % 40}": 0.5 + (d * 7 % 11) / 100} for d in range(n)}
+    dates = [(d, d * 13 % 5) for d in range(n)] + [(7, 7 * 13 % 5)]
+    got = {r["doc_id"]: (r["neighbor_id"], round(r["dot"], 9)) for r in past_neighbor_exact(
+        frame(spark, docs), spark.createDataFrame(dates, "doc_id long, period int")).collect()}
+    when, times = dict(dates), lambda d: 2 if d == 7 else 1
+    for d in docs:
+        before = [(round(times(d) * times(e) * dot(docs[d], docs[e]), 9), -e) for e in docs if (when[e], e) < (when[d], d)]
+        assert got.get(d) == ((-max(before)[1], max(before)[0]) if before else None)
+    assert staged and max(staged) < n * n / 10
+
+
 def test_bad_threshold_and_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, term string, weight double")
     with pytest.raises(ValueError):

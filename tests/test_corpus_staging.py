@@ -31,3 +31,17 @@ def test_dedup_by_id_leaves_dealt_vectors_in_place(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == [(1, "t0", 1.0), (1, "t0", 1.0), (1, "t1", 1.1), (2, "t0", 2.0), (2, "t1", 2.1)]
     assert plan.count("Exchange hashpartitioning") == 2                                # the two readings of the dealt table
+
+
+def test_term_counts_of_a_task_are_bounded(spark, sf_dir, monkeypatch):
+    """More text gives more tasks, not larger ones; the counts stay the same."""
+    from corpuslens.operators import tfidf as C
+    docs = spark.createDataFrame([(d % 90, f"word{d} word{d % 7} other " * 20, "en" if d % 2 else None) for d in range(100)] + [(None, "x y", "en"), (5, None, "en")],
+                                 "doc_id long, text string, lang string")
+    few = C.build_corpus(docs).tf
+    size = sum(len(r["text"] or "") for r in docs.collect())
+    monkeypatch.setattr(C, "TASK_TEXT", size // 20)
+    many = C.build_corpus(docs).tf
+    assert many.rdd.getNumPartitions() >= 20 > few.rdd.getNumPartitions()
+    assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
+    assert C.build_corpus(docs.limit(0)).tf.count() == 0

@@ -173,3 +173,25 @@ def test_novelty_is_the_same_without_broadcasts(spark, monkeypatch):
     for rows in (N.DEFAULT_BROADCAST_ROWS, 0):
         monkeypatch.setattr(N, "DEFAULT_BROADCAST_ROWS", rows)
         assert sorted((r.doc_id, r.term, round(r.weight, 9)) for r in N.novelty(post, near).collect()) == want
+
+
+def test_exact_neighbours_of_all_documents(spark, sizes):
+    """Every earlier document counts; copies tie, within a block and between blocks."""
+    from corpuslens.operators.neighbors import past_neighbor_exact
+    docs = corpus(10)
+    dates = {d: d * 7 % 5 for d in docs}
+    got = {r.doc_id: (r.neighbor_id, r.dot) for r in past_neighbor_exact(frame(spark, docs), spark.createDataFrame(sorted(dates.items()), "doc_id long, period int")).collect()}
+    first = min(docs, key=lambda d: (dates[d], d))
+    assert got.keys() == docs.keys() - {first}
+    for d in got:
+        before = [e for e in docs if (dates[e], e) < (dates[d], d)]
+        best = min(before, key=lambda e: (-round(dot(docs[d], docs[e]), 9), e))
+        assert got[d][0] == best and abs(got[d][1] - dot(docs[d], docs[best])) < 1e-9
+
+
+def test_ranks_of_two_blocks():
+    """One comparison of small numbers tells which document of a pair is earlier."""
+    a = {"docs": np.array([3, 5, 9]), "periods": np.array([2, 0, 1], np.int32)}
+    b = {"docs": np.array([1, 5, 8]), "periods": np.array([1, 0, -4], np.int32)}
+    ra, rb = B._ranks(a, b)
+    assert ra.tolist() == [4, 1, 3] and rb.tolist() == [2, 1, 0] and ra.dtype == np.int32
